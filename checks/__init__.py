@@ -1,0 +1,2 @@
+from . import base_checks, function_checks  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

@@ -19,7 +19,9 @@ LOG_FIELDS = [
     ("decoder", "string"), ("location", "string"), ("full_log", "string"),
     ("raw", "string"), ("policy_id", "string"),
 ]
-LOG_SCHEMA = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in LOG_FIELDS))
+_TYPES = {"timestamp": T.TimestampType(), "string": T.StringType(), "smallint": T.ShortType(),
+          "bigint": T.LongType(), "double": T.DoubleType()}
+LOG_SCHEMA = T.StructType([T.StructField(n, _TYPES[t]) for n, t in LOG_FIELDS])
 
 # state log -> (key columns, version column)
 STATE_KEYS = {
