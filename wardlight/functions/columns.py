@@ -29,6 +29,10 @@ def _joined(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
+def row_count(name: str) -> Column:
+    return F.count(F.lit(1)).alias(name)
+
+
 # --- plain picks ----------------------------------------------------------
 
 def filled(value: Column) -> Column:

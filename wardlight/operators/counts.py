@@ -3,14 +3,12 @@ once; a caller filters the result and the filter reaches the scan."""
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import row_count
 from ..functions.times import ago, moment, since
 from .sequence import top_per
 
-N = F.count(F.lit(1))
-
-
 def event_counts(logs):
-    return logs.groupBy("src_ip").agg(N.alias("events"))
+    return logs.groupBy("src_ip").agg(row_count("events"))
 
 
 def first_last_seen(logs):
@@ -18,19 +16,19 @@ def first_last_seen(logs):
 
 
 def threat_counts(logs, limit=50):
-    counted = logs.groupBy("src_ip", "threat_type").agg(N.alias("events"))
+    counted = logs.groupBy("src_ip", "threat_type").agg(row_count("events"))
     return top_per(counted, ["src_ip"], [F.desc("events"), "threat_type"], limit)
 
 
 def severity_counts(logs):
-    return logs.groupBy("src_ip", "severity").agg(N.alias("events"))
+    return logs.groupBy("src_ip", "severity").agg(row_count("events"))
 
 
 def trail_summary(logs):
     """Total, first, last, per-severity counts and whether anything was hot."""
     sev = lambda s: F.count_if(F.col("severity") == s)
     return (logs.groupBy("src_ip").agg(
-        N.alias("total"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
+        row_count("total"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
         sev("critical").alias("critical"), sev("high").alias("high"),
         sev("medium").alias("medium"), sev("low").alias("low"))
         .withColumn("is_hot", (F.col("critical") > 0) | (F.col("high") > 0)))
@@ -63,7 +61,7 @@ def global_severities(rollup):
 def technique_counts(logs, days=90, as_of=None):
     """Events per technique id; a field may list several."""
     recent = since(logs, ago(moment(as_of, logs), days=days)).where("mitre != ''")
-    fields = recent.groupBy("mitre").agg(N.alias("events"))
+    fields = recent.groupBy("mitre").agg(row_count("events"))
     return (fields.select(F.explode(F.split(F.upper("mitre"), r"[,\s]+")).alias("technique"), "events")
             .where("technique != ''").groupBy("technique").agg(F.sum("events").alias("events")))
 
@@ -73,7 +71,7 @@ def ips_with_prefix(rollup, prefix, limit=20):
 
 
 def top_values(logs, column, limit=200):
-    return (logs.where(F.col(column) != "").groupBy(column).agg(N.alias("events"))
+    return (logs.where(F.col(column) != "").groupBy(column).agg(row_count("events"))
             .orderBy(F.desc("events"), column).limit(limit))
 
 
@@ -84,7 +82,7 @@ def user_countries(logs):
 def entity_aggregates(logs, column="username", limit=500):
     """Volume and breadth per entity (blank values count as a value)."""
     ranked = (logs.where(F.col(column) != "").groupBy(F.col(column).alias("entity")).agg(
-        N.alias("events"), F.count_if(F.col("severity") == "critical").alias("crit"),
+        row_count("events"), F.count_if(F.col("severity") == "critical").alias("crit"),
         F.countDistinct("dst_ip").alias("dsts"), F.countDistinct("dst_port").alias("ports"),
         F.countDistinct("country").alias("countries"), F.countDistinct("src_ip").alias("srcs")))
     return ranked.orderBy(F.desc("events"), "entity").limit(limit)
@@ -100,7 +98,7 @@ def entity_summary(logs, column="src_ip", limit=50):
     Rows are counted by the full combination before the dimensions are unrolled."""
     entity = F.col(column).alias("entity")
     cells = (logs.where(F.col(column) != "").groupBy(entity, *SUMMARY_DIMENSIONS)
-             .agg(N.alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")))
+             .agg(row_count("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")))
     pairs = [F.struct(F.lit("total").alias("dimension"), F.lit("").alias("value"))]
     pairs += [F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in SUMMARY_DIMENSIONS]
     long = (cells.select("entity", F.explode(F.array(*pairs)).alias("p"), "events", "first_seen", "last_seen")
@@ -123,7 +121,7 @@ def threat_recurrence(logs, window_days=30, as_of=None):
     """How often and how badly each threat type recurs."""
     recent = since(logs, ago(moment(as_of, logs), days=window_days)).where("threat_type != ''")
     return recent.groupBy("threat_type").agg(
-        N.alias("events"), F.countDistinct("src_ip").alias("ips"), F.max("rule_level").alias("max_lvl"),
+        row_count("events"), F.countDistinct("src_ip").alias("ips"), F.max("rule_level").alias("max_lvl"),
         F.count_if(F.col("severity").isin("high", "critical")).alias("hi"),
         F.count_if(F.col("severity") == "critical").alias("crit"),
         (F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))) + 1).alias("span_days"),
@@ -138,22 +136,22 @@ def blast_radius(members, logs, as_of=None):
     return touched.groupBy("incident_id").agg(
         F.countDistinct("agent").alias("hosts"),
         F.countDistinct(F.nullif("username", F.lit(""))).alias("users"),
-        F.countDistinct("dst_ip").alias("dst_ips"), N.alias("events"),
+        F.countDistinct("dst_ip").alias("dst_ips"), row_count("events"),
         F.count_if(F.col("ts") >= recent).alias("events_24h"))
 
 
 def alert_counts(newest):
     """Alerts and critical alerts per address, over the newest state."""
-    return newest.groupBy("ip").agg(N.alias("baseline_alerts"),
+    return newest.groupBy("ip").agg(row_count("baseline_alerts"),
                                     F.count_if(F.col("severity") == "critical").alias("critical_alerts"))
 
 
 def alert_type_counts(newest):
-    return newest.groupBy("type").agg(N.alias("alerts"))
+    return newest.groupBy("type").agg(row_count("alerts"))
 
 
 def alert_totals(newest):
-    return newest.agg(N.alias("alerts"),
+    return newest.agg(row_count("alerts"),
                       F.countDistinct(F.when(F.col("severity") == "critical", F.col("ip"))).alias("critical_ips"))
 
 
@@ -164,7 +162,7 @@ def deviation_summaries(newest, window=50, sample=10):
     recent = top_per(newest, ["ip"], [F.desc("ts"), "type"], window, rank="rank")
     alert = F.when(F.col("rank") <= sample, F.struct("rank", "type", "severity", "ts"))
     return recent.groupBy("ip").agg(
-        N.alias("alert_count"), F.sum(points).alias("deviation_score"),
+        row_count("alert_count"), F.sum(points).alias("deviation_score"),
         F.array_sort(F.collect_set("type")).alias("alert_types"),
         F.array_sort(F.collect_list(alert)).alias("alerts"))
 
@@ -173,13 +171,13 @@ def subnet_clusters(rollup, newest):
     """/24 networks with more than one address."""
     from ..functions.columns import band, subnet24
     events = rollup.groupBy("src_ip").agg(F.sum("events").alias("events"))
-    alerts = newest.groupBy(F.col("ip").alias("src_ip")).agg(N.alias("alerts"))
+    alerts = newest.groupBy(F.col("ip").alias("src_ip")).agg(row_count("alerts"))
     joined = (events.join(alerts, "src_ip", "left").withColumn("subnet24", subnet24(F.col("src_ip")))
               .where("subnet24 != ''"))
     level = F.when(F.col("total_events") > 500, "critical").when(F.col("total_events") > 100, "high") \
         .otherwise("medium")
     return (joined.groupBy("subnet24").agg(
-        N.alias("ip_count"), F.sum("events").alias("total_events"),
+        row_count("ip_count"), F.sum("events").alias("total_events"),
         F.sum(F.coalesce("alerts", F.lit(0))).alias("total_alerts"))
         .where("ip_count > 1").withColumn("threat_level", level))
 

@@ -83,7 +83,7 @@ def gap_statistics(df: DataFrame, keys: list[str], number: Column, ts: str = "ts
     mean = F.when(some, F.col("s") / F.col("gaps"))
     spread = F.when(some, F.col("q") / F.col("gaps")) - mean * mean
     return merged.select(*keys, "gaps", mean.alias("mean_gap"), "min_gap", "max_gap",
-                         F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std_gap"))
+                         F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std_gap"))
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, limit: int, rank: str | None = None) -> DataFrame:
