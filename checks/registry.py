@@ -161,14 +161,14 @@ def define(name, sql):
 
 
 def with_tables(sql):
-    needed = []
+    needed, seen = [], set()
 
     def visit(text):
         for name in TABLES:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in seen and re.search(rf"\b{name}\b", text):
+                seen.add(name)
                 visit(TABLES[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
     visit(sql)
     if not needed:
         return sql

@@ -14,17 +14,26 @@ def sliced(df: DataFrame, ts: str = "ts", slice_: str = "hour") -> DataFrame:
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], ts: str = "ts",
-             slice_: str = "hour", name: str = "seq") -> DataFrame:
+             slice_: str = "hour", name: str = "seq", counted: Column | None = None,
+             today: str = "today") -> DataFrame:
     """1-based position of every row within its key in the given order (whose
-    first column must be the time)."""
-    cut = sliced(df, ts, slice_)
+    first column must be the time).  With a ``counted`` condition also the running
+    number of such rows within the UTC day, as ``today``."""
+    cut = sliced(df, ts, slice_).withColumn("_hit", (F.lit(True) if counted is None else counted).cast("long"))
     by_slice = [*keys, "_slice"]
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (cut.groupBy(*by_slice).agg(F.count(F.lit(1)).alias("_rows"))
-               .withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0))).drop("_rows"))
-    inside = cut.withColumn("_pos", F.row_number().over(W.partitionBy(*by_slice).orderBy(*order)))
-    return (inside.join(offsets, by_slice)
-            .withColumn(name, F.col("_before") + F.col("_pos")).drop("_before", "_pos", "_slice"))
+    this_day = W.partitionBy(*keys, F.to_date("_slice")).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = lambda col, w: F.coalesce(F.sum(col).over(w), F.lit(0))
+    offsets = (cut.groupBy(*by_slice).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_hit").alias("_hits"))
+               .withColumns({"_before": before("_rows", earlier), "_hits_before": before("_hits", this_day)})
+               .drop("_rows", "_hits"))
+    local = W.partitionBy(*by_slice).orderBy(*order)
+    inside = cut.withColumns({"_pos": F.row_number().over(local),
+                              "_hit_pos": F.sum("_hit").over(local.rowsBetween(W.unboundedPreceding, 0))})
+    out = inside.join(offsets, by_slice).withColumn(name, F.col("_before") + F.col("_pos"))
+    if counted is not None:
+        out = out.withColumn(today, F.col("_hits_before") + F.col("_hit_pos"))
+    return out.drop("_before", "_pos", "_slice", "_hit", "_hit_pos", "_hits_before")
 
 
 def overlapping(df: DataFrame, seq: str, overlap: int, chunk: int = 20_000) -> DataFrame:
@@ -55,6 +64,29 @@ def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list
             .withColumn(name, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_slice"))
 
 
+def with_latest_mark(df: DataFrame, keys: list[str], order: list[str], mark: str,
+                     ts: str = "ts", slice_: str = "hour") -> DataFrame:
+    """Fills ``mark`` forward: every row gets the newest mark at or before it."""
+    cut = sliced(df, ts, slice_)
+    by_slice = [*keys, "_slice"]
+    until_now = W.partitionBy(*by_slice).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    newest = cut.groupBy(*by_slice).agg(F.max(mark).alias("_mark"))
+    carried = newest.select(*by_slice, F.max("_mark").over(earlier).alias("_carried"))
+    inside = cut.withColumn("_near", F.max(mark).over(until_now))
+    return (inside.join(carried, by_slice)
+            .withColumn(mark, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_slice"))
+
+
+def chunk_list(df: DataFrame, keys: list[str], chunk: int = 20_000) -> DataFrame:
+    """All (keys, ``_chunk``) that :func:`overlapping` makes of numbered rows.  A
+    table joined to this list can be joined to the rows chunk by chunk, on the
+    partitioning they already have, instead of sending a whole key to one task."""
+    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    last = F.floor((F.col("_total") - 1) / chunk)
+    return total.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
+
+
 def gap_statistics(df: DataFrame, keys: list[str], number: Column, ts: str = "ts",
                    slice_: str = "hour") -> DataFrame:
     """Per key: count, mean, minimum, maximum and population deviation of the gaps
