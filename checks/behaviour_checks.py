@@ -147,9 +147,9 @@ def _(t):
     return B.judged(t.plogs, base(t), AS_OF).select("event_id", "recent_dsts")
 
 
-@check("o412_recent_gaps", "SELECT event_id, gaps AS recent_gaps, round(avg_gap,2) AS avg_gap, round(std_gap,2) AS std_gap FROM judged")
+@check("o412_recent_gaps", "SELECT event_id, gaps AS recent_gaps, round(avg_gap,1) AS avg_gap, round(std_gap,1) AS std_gap FROM judged")
 def _(t):
-    return r(B.judged(t.plogs, base(t), AS_OF).select("event_id", "recent_gaps", "avg_gap", "std_gap"), 2, "avg_gap", "std_gap")
+    return r(B.judged(t.plogs, base(t), AS_OF).select("event_id", "recent_gaps", "avg_gap", "std_gap"), 1, "avg_gap", "std_gap")
 
 
 @check("o413_daily_position", "SELECT event_id, today FROM judged")

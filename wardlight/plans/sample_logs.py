@@ -5,6 +5,8 @@ scenarios are added to the derived rows for detectors that evenly random data
 cannot trigger.
 """
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
@@ -149,11 +151,20 @@ def planted_sql(add_seconds: str) -> str:
     return " union all ".join(parts)
 
 
-def planted_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Derived rows plus the planted scenarios."""
+@lru_cache(maxsize=4)
+def _planted(application: str):
+    """The fixed planted rows (under a thousand), evaluated once per application,
+    so that plans hold one small relation and not one branch per scenario."""
     shift = ("timestampadd(MICROSECOND, cast(round({} * 1e6) as bigint), "
              "timestamp '2024-01-30 00:00:00')")
-    extra = spark.sql(planted_sql(shift)).withColumn("severity", C.severity_of_level(F.col("rule_level")))
+    return SparkSession.getActiveSession().sql(planted_sql(shift)).toArrow()
+
+
+def planted_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Derived rows plus the planted scenarios."""
+    in_utc(spark)
+    extra = (spark.createDataFrame(_planted(spark.sparkContext.applicationId))
+             .withColumn("severity", C.severity_of_level(F.col("rule_level"))))
     names = set(extra.columns)
     full = extra.select(*[F.col(n).cast(t).alias(n) if n in names else _filled({}, n, t)
                           for n, t in [("event_id", "bigint"), *LOG_FIELDS]])
