@@ -391,14 +391,17 @@ def techniques_of(threat: Column, mitre: Column, words: Column) -> Column:
 
 
 def lead_technique(threat: Column, mitre: Column, words: Column) -> Column:
-    """First of :func:`techniques_of`, written without arrays so that it runs in
-    generated code and stops at the first hit; null when nothing matches."""
+    """First of :func:`techniques_of`; null when nothing matches.  The alias search,
+    the costly part, only runs when neither the alert nor its type names one."""
     known = "|".join(t[0] for t in X.TECHNIQUES)
     own = F.regexp_extract(F.upper(mitre), rf"(?:^|[,; ])({known})(?:\.[^,; ]*)?(?=$|[,; ])", 1)
-    hay = _joined(threat, words)
-    alias = None
-    for word, tid in _alias_words():
-        alias = F.when(hay.contains(word), tid) if alias is None else alias.when(hay.contains(word), tid)
+    def by_alias(hay):
+        chain = None
+        for word, tid in _alias_words():
+            chain = F.when(hay.contains(word), tid) if chain is None else chain.when(hay.contains(word), tid)
+        return chain
+
+    alias = F.transform(F.array(_joined(threat, words)), by_alias)[0]     # the text is joined once
     return F.coalesce(F.nullif(own, F.lit("")), threat_technique(threat), alias)
 
 

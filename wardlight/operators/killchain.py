@@ -13,13 +13,18 @@ KEY = "src_ip"
 def cells(logs) -> DataFrame:
     """The one pass over the rows: counts and times per address, tactic, technique
     and severity.  Stages, phases and signals are folded from this small frame."""
+    raw = ["threat_type", "mitre", "rule_groups", "mitre_tactic", "mitre_technique"]
+    sums = lambda n: [n.alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    # equal texts are counted first; techniques are looked up once per combination
+    combos = (logs.select(KEY, "severity", *raw, c("ts").alias("first_seen"), c("ts").alias("last_seen"))
+              .groupBy(KEY, "severity", *raw).agg(*sums(F.count(F.lit(1)))))
     lead = C.lead_technique(c("threat_type"), c("mitre"), c("rule_groups"))
-    placed = logs.select(KEY, "ts", "severity", "mitre_tactic", "mitre", "mitre_technique", lead.alias("lead"))
+    placed = combos.withColumn("lead", lead)
     return placed.groupBy(
         KEY, C.tactic_of(c("mitre_tactic"), c("lead")).alias("tactic"),
         F.coalesce("lead", "mitre").alias("technique"),
         F.coalesce(C.technique_name(c("lead")), c("mitre_technique")).alias("technique_name"), "severity",
-    ).agg(row_count("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    ).agg(*sums(F.sum("events")))
 
 
 def _severity_sums():
