@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import columns as C, fixed as X
 from ..functions.columns import row_count
 from ..functions.times import ago, moment, seconds, since, until
-from .sequence import chunk_list, numbered, overlapping
+from .sequence import chunk_list, numbered, overlapping, top_per
 
 c = F.col
 MAPS = ["ports", "dst_ips", "subnets", "countries", "hours", "weekdays", "threat_types", "days"]
@@ -68,44 +68,57 @@ def build_baselines(logs, as_of=None, until_hours=24, least=10) -> DataFrame:
 # --- deviations ---------------------------------------------------------------------
 
 def judged(logs, base, as_of=None, hours=24) -> DataFrame:
-    """Events of the last ``hours`` with their baseline and running context: the
-    distinct destinations of the last 50 events, the gaps of the last 20, and the
-    position within the day.
+    """Events of the last ``hours`` with their baseline and running context."""
+    start = ago(moment(as_of, logs), hours=hours)
+    scan = since(logs, start)
+    older = until(logs, start)
+    context = newest_rows(older.join(scan.select("src_ip").distinct(), "src_ip", "left_semi"), CONTEXT)
+    # rows of the first day before the window count for the day's running number
+    earlier = day_counts(older.where(F.to_date("ts") == F.to_date(start)))
+    return in_context(scan, context, earlier, base)
+
+
+CONTEXT = 49
+
+
+def _tie(df):
+    return ["event_id"] if "event_id" in df.columns else []
+
+
+def newest_rows(logs, keep) -> DataFrame:
+    """The newest rows of each address."""
+    return top_per(logs, ["src_ip"], [F.desc("ts"), *[F.desc(t) for t in _tie(logs)]], keep)
 
-    Rows before the window feed the frames, as far back as the address's last 49
-    events reach.  Addresses are cut into numbered chunks, so none of the frames
+
+def day_counts(logs) -> DataFrame:
+    return logs.groupBy("src_ip", F.to_date("ts").alias("day")).agg(row_count("events"))
+
+
+def in_context(scan, context, earlier, base) -> DataFrame:
+    """``scan`` rows with the distinct destinations of the last 50 events, the gaps of
+    the last 20 and the position within the day.
+
+    ``context`` holds the rows before them (the newest 49 per address suffice) and
+    ``earlier`` the events per (src_ip, day) that are in neither.  Addresses are cut
+    into numbered chunks, and baselines are joined chunk by chunk, so none of this
     needs all rows of a busy address in one task."""
-    now = moment(as_of, logs)
-    start = ago(now, hours=hours)
-    tie = ["event_id"] if "event_id" in logs.columns else []
-    order = ["ts", *tie]
-    # Only rows that may be among the 49 before a judged row are worth moving:
-    # those of the scan window plus the newest 49 older ones of each active address.
-    scan = since(logs, start)
-    active = scan.select("src_ip").distinct()
-    older = until(logs, start).join(active, "src_ip", "left_semi")
-    spot = F.row_number().over(W.partitionBy("src_ip").orderBy(F.desc("ts"), *[F.desc(t) for t in tie]))
-    context = older.withColumn("_spot", spot).where("_spot <= 49").drop("_spot")
-    seq = numbered(scan.unionByName(context), ["src_ip"], order, counted=c("ts") >= start)
-    cut = overlapping(seq, "seq", 49)
+    rows = scan.withColumn("_new", F.lit(True)).unionByName(context.withColumn("_new", F.lit(False)))
+    seq = numbered(rows, ["src_ip"], ["ts", *_tie(scan)], counted=c("_new"))
+    cut = overlapping(seq, "seq", CONTEXT)
     frame = W.partitionBy("src_ip", "_chunk").orderBy("seq")
     gap = seconds(c("ts")) - F.lag(seconds(c("ts"))).over(frame)
-    dst = F.collect_set(_known("dst_ip")).over(frame.rowsBetween(-49, 0))
+    dst = F.collect_set(_known("dst_ip")).over(frame.rowsBetween(-CONTEXT, 0))
     last20 = frame.rowsBetween(-18, 0)
     timed = (cut.withColumns({"_gap": gap, "recent_dsts": F.size(dst)}).withColumns({
         "recent_gaps": F.count("_gap").over(last20), "avg_gap": F.avg("_gap").over(last20),
-        "std_gap": F.coalesce(F.stddev_samp("_gap").over(last20), F.lit(0.0))})
-        .where(c("_own") & (c("ts") >= start)))
-    # rows of the first day before the window count for the day's running number
-    head = (until(logs, start).where(F.to_date("ts") == F.to_date(start)).groupBy("src_ip")
-            .agg(F.count(F.lit(1)).alias("_earlier")))
-    known = base.withColumnRenamed("ip", "src_ip").join(head, "src_ip", "left")
-    per_chunk = known.join(chunk_list(scan.select("src_ip").unionByName(context.select("src_ip")), ["src_ip"]),
-                           "src_ip")
-    first_day = F.to_date("ts") == F.to_date(start)
+        "std_gap": F.coalesce(F.stddev_samp("_gap").over(last20), F.lit(0.0))}).where(c("_own") & c("_new")))
+    per_day = earlier.groupBy("src_ip").agg(
+        F.map_from_entries(F.collect_list(F.struct("day", "events"))).alias("_earlier"))
+    known = base.withColumnRenamed("ip", "src_ip").join(per_day, "src_ip", "left")
+    per_chunk = known.join(chunk_list(rows.select("src_ip"), ["src_ip"]), "src_ip")
     return (timed.join(per_chunk, ["src_ip", "_chunk"])
-            .withColumn("today", c("today") + F.when(first_day, F.coalesce("_earlier", F.lit(0))).otherwise(0))
-            .drop("_earlier", "_gap", "_chunk", "_own"))
+            .withColumn("today", c("today") + F.coalesce(c("_earlier")[F.to_date("ts")], F.lit(0)))
+            .drop("_earlier", "_gap", "_chunk", "_own", "_new"))
 
 
 def deviations(logs, base, as_of=None, hours=24) -> DataFrame:
@@ -167,9 +180,12 @@ def alerts_of(events) -> DataFrame:
 def deviation_scan(logs, base, as_of=None, hours=24) -> DataFrame:
     """Newest alert per (ip, type) of the scanned window."""
     found = deviations(logs, base, as_of, hours)
-    tie = ["event_id"] if "event_id" in found.columns else []
-    return found.groupBy("ip", "type").agg(
-        F.max_by(F.struct("severity", "detail", "ts"), F.struct("ts", *tie)).alias("a")).select("ip", "type", "a.*")
+    return newest_alerts(found)
+
+
+def newest_alerts(found) -> DataFrame:
+    return found.groupBy("ip", "type").agg(F.max_by(
+        F.struct("severity", "detail", "ts"), F.struct("ts", *_tie(found))).alias("a")).select("ip", "type", "a.*")
 
 
 def rebuild_due(old_counts, new_counts, every=100) -> DataFrame:
