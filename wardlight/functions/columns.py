@@ -104,8 +104,11 @@ def risk_weight(severity: Column) -> Column:
 
 
 def stream_threat(groups: Column, description: Column, pci: Column) -> Column:
-    return _first_group(_joined(groups, description, pci), X.STREAM_THREAT_WORDS,
-                        F.lit("unknown"))
+    return threat_of_words(_joined(groups, description, pci))
+
+
+def threat_of_words(words: Column) -> Column:
+    return _first_group(words, X.STREAM_THREAT_WORDS, F.lit("unknown"))
 
 
 def flat_class(text: Column, level: Column) -> Column:

@@ -1,5 +1,8 @@
 """Session helper: UTC time zone and adaptive execution."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -19,18 +22,20 @@ def in_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(spark: SparkSession, df):
-    """Cut lineage through the shared folder named by the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors can reach: below ``spark.checkpoint.dir``, or
+    a temporary one when Spark runs on this machine only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is not None:
+        return f"{base.rstrip('/')}/wardlight-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-")
 
-    ``spark.checkpoint.dir`` wins; a folder is chosen here only when neither
-    it nor a directory set on the context exists (local tests).
-    """
+
+def checkpointed(spark: SparkSession, df):
+    """Cut lineage through the shared folder, so that a lost executor costs no
+    recomputation from the source."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-            folder = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared_folder(spark))
     return df.checkpoint()

@@ -1,6 +1,6 @@
 """Nested alert JSON lines to log rows: one select over the parsed text."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from ..functions import columns as C
 from ..schema import LOG_FIELDS
@@ -48,22 +48,45 @@ PATHS = {
 TIME_PATHS = ["@timestamp", "timestamp"]
 
 
+EXTRA_PATHS = ["rule.level", "rule.firedtimes", "GeoLocation.location.lat", "GeoLocation.location.lon",
+               "data.gps_location.lat", "data.gps_location.lon", "id"]
+
+
+def alert_schema() -> T.StructType:
+    """Nested structure of the paths above.  Every leaf is text: a list or an object
+    in its place then arrives as its JSON text."""
+    tree: dict = {}
+    for path in [*[p for paths, _ in PATHS.values() for p in paths], *TIME_PATHS, *EXTRA_PATHS]:
+        at = tree
+        for part in path.split("."):
+            at = at.setdefault(part, {})
+    made = lambda sub: T.StructType([T.StructField(n, made(s) if s else T.StringType()) for n, s in sub.items()])
+    return made(tree)
+
+
+def leaf(alert: Column, path: str) -> Column:
+    for part in path.split("."):
+        alert = alert.getField(part)
+    return alert
+
+
 def field(alert: Column, path: str) -> Column:
-    """Text at a dotted path: scalars as they are, lists joined with ', '."""
-    at = "$" + "".join(f"['{p}']" for p in path.split("."))
-    items = F.try_variant_get(alert, at, "array<string>")
-    return F.coalesce(F.array_join(items, ", "), F.try_variant_get(alert, at, "string"))
+    """Text at a dotted path: scalars as they are, lists joined with ', '; an object
+    has no text of its own."""
+    text = leaf(alert, path)
+    return (F.when(text.startswith("["), F.array_join(F.from_json(text, "array<string>"), ", "))
+            .when(~text.startswith("{"), text))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """Lines holding one JSON object; blank and broken lines are left out."""
-    alert = F.try_parse_json("value")
-    return (lines.where(F.trim("value") != "").select("value", alert.alias("alert"))
-            .where(F.col("alert").isNotNull() & F.schema_of_variant("alert").startswith("OBJECT")))
+    """Lines with their JSON parsed once; blank lines are left out, and broken ones
+    have no fields."""
+    return (lines.where(F.trim("value") != "")
+            .select("value", F.from_json("value", alert_schema()).alias("alert")))
 
 
 def alert_level(alert: Column) -> Column:
-    return C.whole(F.try_variant_get(alert, "$.rule.level", "string"))
+    return C.whole(leaf(alert, "rule.level"))
 
 
 def kept_levels(level: Column, key: Column, min_level=4, sample_below=7, one_in=10) -> Column:
@@ -81,23 +104,29 @@ def to_log_rows(lines: DataFrame, received: Column | None = None, min_level=None
         alerts = alerts.where(kept_levels(F.col("level"), F.xxhash64("value"), min_level,
                                           sample_below, one_in))
     v = F.col("alert")
-    text = lambda paths: C.first_filled(*[field(v, p) for p in paths])
+    # lists occur in the rule part; elsewhere plain text is read without that test
+    one = lambda p: field(v, p) if p.startswith("rule.") else leaf(v, p)
+    text = lambda paths: C.first_filled(*[one(p) for p in paths])
     number = lambda paths: F.coalesce(text(paths).try_cast("double"), F.lit(0.0))
-    cells = {}
-    for name, (paths, longest) in PATHS.items():
-        cells[name] = F.substring(text(paths), 1, longest) if longest else text(paths)
-    cells |= {
-        "ts": C.event_time(text(TIME_PATHS), received),
+    # first the texts, each built once; then what is judged from them
+    cells = {name: F.substring(text(paths), 1, longest) if longest else text(paths)
+             for name, (paths, longest) in PATHS.items()}
+    words = C._joined(text(["rule.groups"]), text(["rule.description"]), text(["rule.pci_dss"]))
+    texts = alerts.select(
+        "value", "level", *[cell.alias(name) for name, cell in cells.items()], words.alias("_words"),
+        text(TIME_PATHS).alias("_time"), text(["rule.firedtimes"]).alias("_fired"),
+        number(["GeoLocation.location.lat", "data.gps_location.lat"]).alias("geo_lat"),
+        number(["GeoLocation.location.lon", "data.gps_location.lon"]).alias("geo_lon")).where("src_ip != ''")
+    judged = {
+        "ts": C.event_time(F.col("_time"), received),
         "ingested_at": received,
-        "threat_type": C.stream_threat(text(["rule.groups"]), text(["rule.description"]), text(["rule.pci_dss"])),
+        "threat_type": C.threat_of_words(F.col("_words")),
         "severity": C.severity_of_level(F.col("level")),
         "rule_level": F.greatest(F.lit(0), F.least(F.lit(255), F.col("level"))),
-        "rule_firedtimes": C.whole(text(["rule.firedtimes"])),
-        "geo_lat": number(["GeoLocation.location.lat", "data.gps_location.lat"]),
-        "geo_lon": number(["GeoLocation.location.lon", "data.gps_location.lon"]),
+        "rule_firedtimes": C.whole(F.col("_fired")),
         "raw": F.col("value"),
     }
-    return alerts.select(*[cells[n].cast(t).alias(n) for n, t in LOG_FIELDS]).where("src_ip != ''")
+    return texts.select(*[judged.get(n, F.col(n)).cast(t).alias(n) for n, t in LOG_FIELDS])
 
 
 def read_alerts(spark: SparkSession, path: str, **options) -> DataFrame:

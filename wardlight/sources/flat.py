@@ -58,7 +58,8 @@ def to_log_rows(rows: DataFrame, received=None) -> DataFrame:
     cells = lambda names: [F.col(f"`{n}`").cast("string") for n in names if n in have] or [F.lit(None).cast("string")]
     present = lambda *names: F.coalesce(*cells(names), F.lit(""))
     filled = lambda names: C.first_filled(*cells(names))
-    verdict = C.flat_class(C.flat_text([present(n) for n in X.FLAT_TEXT_FIELDS]), present("data.level", "rule.level"))
+    words = C.flat_text([present(n) for n in X.FLAT_TEXT_FIELDS])
+    verdict = C.flat_class(F.col("_words"), present("data.level", "rule.level"))
     level = C.whole(present("rule.level"))
     number = lambda names: F.coalesce(filled(names).try_cast("double"), F.lit(0.0))
     out = {n: present(*names) for n, names in FIRST_PRESENT.items()}
@@ -76,7 +77,7 @@ def to_log_rows(rows: DataFrame, received=None) -> DataFrame:
     }
     source = C.source_address(rows.columns)
     blank = F.lit("")
-    return (rows.withColumns({"_src": source, "_class": verdict}).where("_src is not null")
+    return (rows.withColumns({"_src": source, "_words": words}).where("_src is not null").withColumn("_class", verdict)
             .select(*[out.get(n, blank).cast(t).alias(n) for n, t in LOG_FIELDS]))
 
 

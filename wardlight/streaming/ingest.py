@@ -121,7 +121,8 @@ def start_folder(spark, folder: str, pattern: str, root: str, checkpoint: str, a
     each file is read once.  Files may differ in their columns, so each is read by
     its own header; only their names pass the driver."""
     reader = {"csv": flat.read_csv, "json": flat.read_json_body}.get(pattern.rsplit(".", 1)[-1], flat.read_json_lines)
-    names = (in_utc(spark).readStream.format("binaryFile").option("pathGlobFilter", pattern)
+    names = (in_utc(spark).readStream.format("binaryFile")
+             .schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
              .option("maxFilesPerTrigger", 100).load(folder).select("path"))
 
     def job(batch_df, batch):
