@@ -1,5 +1,7 @@
 """The derived tables themselves: row-by-row equality on both engines."""
 
+from wardlight.plans import sample_logs as S
+
 from .registry import check, ts
 
 _COLS = ("event_id, src_ip, dst_ip, dst_port, threat_type, severity, rule, rule_id, rule_level, action, country, "
@@ -9,11 +11,11 @@ _COLS = ("event_id, src_ip, dst_ip, dst_port, threat_type, severity, rule, rule_
 
 @check("derived_logs", f"SELECT {_COLS}, {ts('ts')} AS ts FROM logs")
 def _(t):
-    return t.logs.select(*_COLS.split(", "), "ts")
+    return S.logs(t.spark, t.folder).select(*_COLS.split(", "), "ts")
 
 
 @check("derived_planted_logs", f"""SELECT event_id, {ts('ts')} AS ts, src_ip, dst_ip, dst_port, threat_type, severity,
  username, agent, country, policy_id FROM plogs""")
 def _(t):
-    return t.plogs.select("event_id", "ts", "src_ip", "dst_ip", "dst_port", "threat_type", "severity",
+    return S.planted_logs(t.spark, t.folder).select("event_id", "ts", "src_ip", "dst_ip", "dst_port", "threat_type", "severity",
                           "username", "agent", "country", "policy_id")

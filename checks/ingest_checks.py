@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlight.functions import columns as C, fixed as X
 from wardlight.operators import baseline as B, rollups as R
-from wardlight.session import shared_folder
+from wardlight.session import checkpointed, shared_folder
 from wardlight.sources import alerts, flat, lookup, state as S, store
 from wardlight.streaming import ingest as G
 
@@ -31,7 +31,7 @@ def alert_lines(t, rows=None):
                  F.nullif("policy_id", F.lit("")).alias("policyid")).alias("data"),
         F.struct(F.struct(c("geo_lat").cast("string").alias("lat"), c("geo_lon").cast("string").alias("lon")).alias("location")).alias("GeoLocation"),
         F.struct(c("decoder").alias("name")).alias("decoder"), "full_log")
-    return rows.select(F.to_json(body).alias("value"))
+    return checkpointed(t.spark, rows.select(F.to_json(body).alias("value")))
 
 
 _GROUPS = "replace(rule_groups, ',', ', ')"

@@ -6,29 +6,45 @@ front as common table expressions.
 """
 
 import re
-from functools import cached_property
+from functools import cached_property, lru_cache
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from wardlight.plans import sample_logs as S
+from wardlight.session import shared_folder
+from wardlight.sources.store import read_logs, write_logs
 
 AS_OF = S.AS_OF
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
+@lru_cache(maxsize=16)
+def _log_store(application, folder):
+    """Log store of a folder's derived rows, written once per application in the
+    library's own layout, so that queries read what they read in production."""
+    spark = SparkSession.getActiveSession()
+    path = shared_folder(spark) + "/logs"
+    write_logs(S.logs(spark, folder, keep=("event_type", "k")), path)
+    return path
+
+
 class Tables:
     """Derived tables of one scale-factor folder."""
 
     def __init__(self, spark, folder):
         self.spark, self.folder = spark, folder
 
+    @cached_property
+    def _rows(self):
+        return read_logs(self.spark, _log_store(self.spark.sparkContext.applicationId, self.folder))
+
     @cached_property
     def logs(self):
-        return S.logs(self.spark, self.folder)
+        return self._rows.drop("event_type", "k")
 
     @cached_property
     def plogs(self):
-        return S.planted_logs(self.spark, self.folder)
+        return self.logs.unionByName(S.planted_rows(self.spark).withColumn("day", F.to_date("ts")))
 
     @cached_property
     def events(self):
@@ -36,7 +52,7 @@ class Tables:
 
     @cached_property
     def state(self):
-        return S.state_logs(self.spark, self.folder)
+        return S.state_logs(self._rows)
 
     def table(self, name):
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")

@@ -160,22 +160,27 @@ def _planted(application: str):
     return SparkSession.getActiveSession().sql(planted_sql(shift)).toArrow()
 
 
-def planted_logs(spark: SparkSession, folder: str) -> DataFrame:
-    """Derived rows plus the planted scenarios."""
+def planted_rows(spark: SparkSession) -> DataFrame:
+    """The planted scenarios as log rows."""
     in_utc(spark)
     extra = (spark.createDataFrame(_planted(spark.sparkContext.applicationId))
              .withColumn("severity", C.severity_of_level(F.col("rule_level"))))
     names = set(extra.columns)
     full = extra.select(*[F.col(n).cast(t).alias(n) if n in names else _filled({}, n, t)
                           for n, t in [("event_id", "bigint"), *LOG_FIELDS]])
-    return logs(spark, folder).unionByName(full.withColumn("ingested_at", F.col("ts")))
+    return full.withColumn("ingested_at", F.col("ts"))
+
+
+def planted_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """Derived rows plus the planted scenarios."""
+    return logs(spark, folder).unionByName(planted_rows(spark))
 
 
 # --- state logs (several versions per key; ties broken by event_id) ------------
 
-def state_logs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def state_logs(rows: DataFrame) -> dict[str, DataFrame]:
+    """State logs of derived log rows that kept ``event_type`` and ``k``."""
     c, lit, when = F.col, F.lit, F.when
-    rows = logs(spark, folder, keep=("event_type", "k"))
     k = c("k")
     tens = F.floor(k / 10)
     return {

@@ -80,9 +80,10 @@ def field(alert: Column, path: str) -> Column:
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Lines with their JSON parsed once; blank lines are left out, and broken ones
-    have no fields."""
-    return (lines.where(F.trim("value") != "")
-            .select("value", F.from_json("value", alert_schema()).alias("alert")))
+    have no fields.  Going through a one-element explode keeps later filters on
+    parsed fields above the parse, where the optimizer would otherwise repeat it."""
+    alert = F.from_json("value", alert_schema())
+    return lines.where(F.trim("value") != "").select("value", F.explode(F.array(alert)).alias("alert"))
 
 
 def alert_level(alert: Column) -> Column:

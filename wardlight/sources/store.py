@@ -5,12 +5,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.times import ago, moment
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_logs(df: DataFrame, path: str, mode: str = "append", spread: int = 64) -> None:
     """Day partitions, ordered by address and time inside each file.  Rows of one
-    day are spread over tasks by the address and a hash of the row time, so
-    neither a busy day nor a busy address makes one big task."""
+    day are spread over tasks by the address and a hash of the row time, so neither a
+    busy day nor a busy address makes one big task; small outputs are merged by
+    adaptive execution.  Times are written as microseconds, whose file statistics
+    let readers skip row groups."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     days = df.withColumn("day", F.to_date("ts"))
-    (days.repartition("day", "src_ip", F.pmod(F.hash("ts"), F.lit(64)))
+    (days.repartition("day", "src_ip", F.pmod(F.hash("ts"), F.lit(spread)))
      .sortWithinPartitions("day", "src_ip", "ts")
      .write.mode(mode).partitionBy("day").parquet(path))
 
