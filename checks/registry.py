@@ -6,9 +6,9 @@ front as common table expressions.
 """
 
 import re
-from functools import cached_property, lru_cache
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from wardlight.plans import sample_logs as S
 from wardlight.session import shared_folder
@@ -18,14 +18,18 @@ AS_OF = S.AS_OF
 NOW = f"TIMESTAMP '{AS_OF}'"
 
 
-@lru_cache(maxsize=16)
-def _log_store(application, folder):
+_STORES: dict = {}
+
+
+def _log_store(spark, folder):
     """Log store of a folder's derived rows, written once per application in the
     library's own layout, so that queries read what they read in production."""
-    spark = SparkSession.getActiveSession()
-    path = shared_folder(spark) + "/logs"
-    write_logs(S.logs(spark, folder, keep=("event_type", "k")), path)
-    return path
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        path = shared_folder(spark) + "/logs"
+        write_logs(S.logs(spark, folder, keep=("event_type", "k")), path)
+        _STORES[key] = path
+    return _STORES[key]
 
 
 class Tables:
@@ -36,7 +40,7 @@ class Tables:
 
     @cached_property
     def _rows(self):
-        return read_logs(self.spark, _log_store(self.spark.sparkContext.applicationId, self.folder))
+        return read_logs(self.spark, _log_store(self.spark, self.folder))
 
     @cached_property
     def logs(self):

@@ -5,14 +5,20 @@ tree is a small job of its own and trees grow in parallel.  Scoring streams the
 vectors through the forest in Arrow batches.
 """
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as X
 from ..session import checkpointed
 from .sequence import top_per
 
+# tasks carry the helpers below with them, so workers need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 c = F.col
 TREES = 150
 SAMPLE = 256

@@ -84,8 +84,11 @@ def _jumped_anchors(points) -> DataFrame:
 def clusters(placed, long_session=LONG_SESSION) -> DataFrame:
     """Events with the start of their five-second cluster, for runs that span more
     than one country (others cannot hold a finding)."""
-    spark = placed.sparkSession
-    runs = checkpointed(spark, sessions(placed))
+    return clusters_of(checkpointed(placed.sparkSession, sessions(placed)), long_session)
+
+
+def clusters_of(runs, long_session=LONG_SESSION) -> DataFrame:
+    """As :func:`clusters`, over events already marked with their run."""
     size = runs.groupBy("username", "session").agg(
         F.count(F.lit(1)).alias("n"), F.min("country").alias("a"), F.max("country").alias("b"))
     mixed = size.where("a <> b").select("username", "session", (c("n") > long_session).alias("long"))
@@ -148,12 +151,14 @@ def sequential(placed) -> DataFrame:
 
 def impossible_travel(events, tie="event_id", per_user=25) -> DataFrame:
     """Simultaneous findings, and sequential ones over the events outside them."""
-    placed = placed_events(events, tie)
-    grouped = clusters(placed)
+    spark = events.sparkSession
+    # both are read several times below; the second is only a small part of the first
+    runs = checkpointed(spark, sessions(placed_events(events, tie)))
+    grouped = checkpointed(spark, clusters_of(runs))
     at_once = simultaneous(grouped)
     handled = (grouped.join(at_once.select("username", "anchor"), ["username", "anchor"], "left_semi")
                .select("username", "ts", "event_id"))
-    rest = placed.join(handled, ["username", "ts", "event_id"], "left_anti")
+    rest = runs.drop("session").join(handled, ["username", "ts", "event_id"], "left_anti")
     found = at_once.unionByName(sequential(rest))
     order = [F.when(c("severity") == "critical", 0).otherwise(1), F.desc("distance_km"), "ts"]
     return top_per(found, ["username"], order, per_user).drop("anchor")

@@ -21,18 +21,20 @@ def peer_outliers(rows, least_z=2.5) -> DataFrame:
     names = X.PEER_FEATURES
     stats = rows.select(F.struct(row_count("n"), *[F.avg(f).alias(f"m_{f}") for f in names],
                                  *[F.stddev_pop(f).alias(f"s_{f}") for f in names]).alias("s")).scalar()
-    z = lambda f: F.when(c("_s")[f"s_{f}"] > 1e-9, (c(f) - c("_s")[f"m_{f}"]) / c("_s")[f"s_{f}"])
-    entry = lambda f: F.when(z(f) >= least_z, F.struct(
-        (-z(f)).alias("minus"), F.lit(f).alias("feature"), c(f).cast("double").alias("value"),
+    spread = lambda f: F.when(c("_s")[f"s_{f}"] > 1e-9, (c(f) - c("_s")[f"m_{f}"]) / c("_s")[f"s_{f}"])
+    rated = (rows.withColumn("_s", stats).where(c("_s")["n"] >= 5)
+             .select("entity", "_s", *names, *[spread(f).alias(f"z_{f}") for f in names]))
+    top = F.greatest(F.lit(0.0), *[c(f"z_{f}") for f in names])
+    entry = lambda f: F.when(c(f"z_{f}") >= least_z, F.struct(
+        (-c(f"z_{f}")).alias("minus"), F.lit(f).alias("feature"), c(f).cast("double").alias("value"),
         F.bround(c("_s")[f"m_{f}"], 2).alias("peer_mean")))
     hits = F.array_sort(F.filter(F.array(*[entry(f) for f in names]), lambda d: d.isNotNull()))
     drivers = F.transform(hits, lambda d: F.struct(d["feature"].alias("feature"), d["value"].alias("value"),
                                                    F.bround(-d["minus"], 2).alias("z"), d["peer_mean"].alias("peer_mean")))
-    top = F.greatest(*[F.coalesce(z(f), F.lit(0.0)) for f in names])
-    return (rows.withColumn("_s", stats).where(c("_s")["n"] >= 5)
-            .select("entity", F.bround(top, 2).alias("max_z"),
-                    F.when(top >= least_z * 1.6, "high").otherwise("medium").alias("severity"),
-                    drivers.alias("drivers")).where(F.size("drivers") > 0))
+    return (rated.withColumn("top", top).where(c("top") >= least_z)
+            .select("entity", F.bround("top", 2).alias("max_z"),
+                    F.when(c("top") >= least_z * 1.6, "high").otherwise("medium").alias("severity"),
+                    drivers.alias("drivers")))
 
 
 def entity_outliers(logs, column="username", limit=500) -> DataFrame:

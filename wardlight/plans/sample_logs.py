@@ -5,8 +5,6 @@ scenarios are added to the derived rows for detectors that evenly random data
 cannot trigger.
 """
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
@@ -151,19 +149,24 @@ def planted_sql(add_seconds: str) -> str:
     return " union all ".join(parts)
 
 
-@lru_cache(maxsize=4)
-def _planted(application: str):
+_PLANTED: dict = {}
+
+
+def _planted(spark: SparkSession):
     """The fixed planted rows (under a thousand), evaluated once per application,
     so that plans hold one small relation and not one branch per scenario."""
-    shift = ("timestampadd(MICROSECOND, cast(round({} * 1e6) as bigint), "
-             "timestamp '2024-01-30 00:00:00')")
-    return SparkSession.getActiveSession().sql(planted_sql(shift)).toArrow()
+    key = spark.sparkContext.applicationId
+    if key not in _PLANTED:
+        shift = ("timestampadd(MICROSECOND, cast(round({} * 1e6) as bigint), "
+                 "timestamp '2024-01-30 00:00:00')")
+        _PLANTED[key] = spark.sql(planted_sql(shift)).toArrow()
+    return _PLANTED[key]
 
 
 def planted_rows(spark: SparkSession) -> DataFrame:
     """The planted scenarios as log rows."""
     in_utc(spark)
-    extra = (spark.createDataFrame(_planted(spark.sparkContext.applicationId))
+    extra = (spark.createDataFrame(_planted(spark))
              .withColumn("severity", C.severity_of_level(F.col("rule_level"))))
     names = set(extra.columns)
     full = extra.select(*[F.col(n).cast(t).alias(n) if n in names else _filled({}, n, t)

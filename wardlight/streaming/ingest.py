@@ -7,7 +7,7 @@ lost and nothing is counted twice; the checkpoint keeps the read position.
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import baseline as B, rollups as R
 from ..session import in_utc
@@ -67,7 +67,6 @@ def capped(rows: DataFrame, batch: int, root: str, cap: int) -> DataFrame:
     past = _earlier(spark, root, "minutes", batch)
     if past is not None:
         used = past.groupBy("minute").agg(F.sum("rows").alias("used"))
-        from pyspark.sql import Window as W
         spot = F.row_number().over(W.partitionBy("minute").orderBy("ts", "src_ip"))
         best = (best.withColumn("minute", minute).join(used, "minute", "left").withColumn("_spot", spot)
                 .where(c("_spot") + F.coalesce("used", F.lit(0)) <= cap).drop("minute", "used", "_spot"))
