@@ -33,6 +33,13 @@ def row_count(name: str) -> Column:
     return F.count(F.lit(1)).alias(name)
 
 
+def with_one_value(df, name: str, value: Column):
+    """Adds a scalar subquery's value as a column that is worked out once.  Going
+    through a one-element explode keeps the optimizer from copying the subquery into
+    every expression that uses the column."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 # --- plain picks ----------------------------------------------------------
 
 def filled(value: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed as X
+from ..functions.columns import with_one_value
 from ..session import checkpointed
 from .sequence import top_per
 
@@ -33,7 +34,7 @@ def standardised(rows, names, key="ip") -> DataFrame:
     stats = rows.select(F.struct(*[F.avg(n).alias(f"m_{n}") for n in names],
                                  *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).alias("s")).scalar()
     spread = lambda n: F.when(c("_s")[f"s_{n}"] > 0, c("_s")[f"s_{n}"]).otherwise(1.0)
-    return (rows.withColumn("_s", stats)
+    return (with_one_value(rows, "_s", stats)
             .select(key, *[((c(n) - c("_s")[f"m_{n}"]) / spread(n)).alias(n) for n in names]))
 
 

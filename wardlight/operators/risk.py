@@ -36,10 +36,10 @@ def entity_risk(logs, dimension="ip", half_life_hours=72, window_days=30, limit=
 
 def ranked(top) -> DataFrame:
     """Score relative to the hottest entity of an already limited list."""
-    hottest = top.select(F.max("points")).scalar()
-    best = F.when(hottest > 0, hottest).otherwise(1.0)
+    top = C.with_one_value(top, "_hottest", top.select(F.max("points")).scalar())
+    best = F.when(c("_hottest") > 0, c("_hottest")).otherwise(1.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.rint(c("points") / best * 100))).cast("long")
-    return (top.withColumn("score", score).withColumn("band", C.band(c("score"), C.ENTITY_BANDS, "low"))
+    return (top.withColumn("score", score).drop("_hottest").withColumn("band", C.band(c("score"), C.ENTITY_BANDS, "low"))
             .withColumn("risk_points", F.bround("points", 1)).drop("points"))
 
 

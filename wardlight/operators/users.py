@@ -22,7 +22,7 @@ def peer_outliers(rows, least_z=2.5) -> DataFrame:
     stats = rows.select(F.struct(row_count("n"), *[F.avg(f).alias(f"m_{f}") for f in names],
                                  *[F.stddev_pop(f).alias(f"s_{f}") for f in names]).alias("s")).scalar()
     spread = lambda f: F.when(c("_s")[f"s_{f}"] > 1e-9, (c(f) - c("_s")[f"m_{f}"]) / c("_s")[f"s_{f}"])
-    rated = (rows.withColumn("_s", stats).where(c("_s")["n"] >= 5)
+    rated = (C.with_one_value(rows, "_s", stats).where(c("_s")["n"] >= 5)
              .select("entity", "_s", *names, *[spread(f).alias(f"z_{f}") for f in names]))
     top = F.greatest(F.lit(0.0), *[c(f"z_{f}") for f in names])
     entry = lambda f: F.when(c(f"z_{f}") >= least_z, F.struct(
