@@ -1,4 +1,4 @@
 """All registered queries of the subpackage and their SQL."""
 
-from wardlight.llm import packing, wavelet  # noqa: F401
+from wardlight.llm import chat, covertree, decontamination, language, packing, pii, simhash, toxicity, wavelet, wrapper  # noqa: F401
 from wardlight.llm.tables import ORACLES, QUERIES  # noqa: F401

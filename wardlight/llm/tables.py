@@ -57,3 +57,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 def file_path(name: str) -> str:
     import public_tokenizers
     return public_tokenizers.path(name)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """True where crc32 of the doc_id as text is divisible by 5; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def share_of(least: int, of: int, *columns: str):
+    """Keeps about ``least`` of ``of`` rows, the same ones at each run, by a hash of the columns."""
+    parts = 1_000_003
+    return F.pmod(F.xxhash64(*columns), F.lit(parts)) < (parts if of <= least else -(-parts * least // of))
