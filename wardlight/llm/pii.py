@@ -314,7 +314,7 @@ def _redaction(text: Column, spans: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The documents, in their own columns, with every span's text replaced."""
+    """The documents, in their own columns, with every span's text replaced (and n_chars, if there, counted anew)."""
     found = spans_and_candidates(docs.select(F.struct("*").alias("row"), "doc_id", "text"))
     model = fit(cells(found))
     added = F.transform(_added(model), lambda a: F.struct(a["s"].alias("s"), a["e"].alias("e"), a["kind"].alias("kind")))
@@ -322,7 +322,11 @@ def redacted(docs: DataFrame) -> DataFrame:
         x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"))))
     held = found.select("row", "text", spans.alias("spans"))
     text = F.when(F.size("spans") > 0, _redaction(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return held.select(F.col("row").withField("text", text).alias("row")).select("row.*")
+    row = F.col("row").withField("text", text)
+    if "n_chars" in docs.columns:
+        length = F.when(F.size("spans") > 0, F.length(text)).otherwise(F.col("row.n_chars"))
+        row = row.withField("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return held.select(row.alias("row")).select("row.*")
 
 
 @query("op3_candidate_boosting")

@@ -1,8 +1,8 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Words and their four- and five-letter beginnings are scored by the log-odds of toxic
-against clean documents under a Dirichlet prior of the whole sample's rates, less one
-standard error; those that differ clearly make the lexicon.  A word takes the score of
+against clean documents under a Dirichlet prior of the whole sample's rates, less one standard
+error; those whose rates differ clearly, by a likelihood-ratio test, make the lexicon.  A word takes the score of
 its longest listed form, and every other word costs ``COST``.  A linear scan finds all
 maximal segments of positive score in a text.  Segments are judged by extreme-value
 statistics: with ``lam`` from the scores' moment equation and ``k`` fitted to clean
@@ -33,7 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from wardlight.llm.tables import held_out, query, share_of, table, texts
 
 DOCS_PER_CLASS = 5_000
-CLEAR, PRIOR, COST, CHANCE = 2.5, 10.0, 0.08, 0.01
+#: A listed form's likelihood-ratio statistic and its ratio of rates, at least.
+CLEAR, RATIO = 20.0, 4.0
+PRIOR, COST, CHANCE = 10.0, 0.08, 0.01
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -108,6 +110,14 @@ def _keys(words):
     return [min(xxh64_intdigest(s, seed) for s in shingles) for seed in (1, 2, 3)]
 
 
+def _ratio(y1, n1, y0, n0):
+    """Twice the log of the likelihood ratio of two rates against one common rate."""
+    def part(y, n, rate):
+        return (y * math.log(y / (n * rate)) if y else 0.0) + ((n - y) * math.log((n - y) / (n * (1 - rate))) if y < n else 0.0)
+    rate = (y1 + y0) / (n1 + n0)
+    return 2 * (part(y1, n1, rate) + part(y0, n0, rate)) if 0 < rate < 1 else 0.0
+
+
 def learn(docs: list[tuple[str, int]]) -> Lexicon | None:
     """docs: (text, toxic) of a bounded sample, in a fixed order."""
     rows = [(_WORD.findall(text.lower()), toxic) for text, toxic in docs]
@@ -130,10 +140,12 @@ def learn(docs: list[tuple[str, int]]) -> Lexicon | None:
         y0 = df[0][form]
         if y1 < 2:
             continue
+        if y1 * n[0] < RATIO * y0 * n[1] or _ratio(y1, n[1], y0, n[0]) < CLEAR:
+            continue
         prior = PRIOR * (y1 + y0) / len(rows)
         odds = [math.log((y + prior) / (m + PRIOR - y - prior)) for y, m in ((y1, n[1]), (y0, n[0]))]
         error = math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        if odds[0] - odds[1] >= CLEAR * error:
+        if odds[0] - odds[1] > error:
             scores[form] = odds[0] - odds[1] - error
     lexicon = Lexicon(scores)
     _calibrate(lexicon, rows)

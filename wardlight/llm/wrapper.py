@@ -38,7 +38,9 @@ from wardlight.llm.tables import query, table
 from wardlight.session import checkpointed
 
 SAMPLE_PAGES = 8
-SAME_PAGES, SAME_SHARE, LINK_SHARE = 4, 0.5, 0.6
+SAME_PAGES, SAME_SHARE, LINK_SHARE = 4, 0.9, 0.6
+#: On a host whose pages are copies of few, in no node more different texts a page than this, nothing counts as template.
+DIVERSE = 0.3
 BROADCAST_BYTES = 16_000_000
 
 _DROPPED = frozenset("""script style noscript template nav footer aside form button select option input textarea iframe
@@ -50,7 +52,8 @@ _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     menu navbar navigation nav topbar footer masthead comment comments disqus reply replies respond search pagination
     pager skip""".split())
 _OWN = frozenset("article entry post story content main".split())
-_CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption article main body html #root".split())
+#: What the template can take off a page: containers, not the blocks and inline marks of running text.
+_CONTAINERS = frozenset("div section ul ol dl table center details fieldset header address hgroup".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -110,7 +113,7 @@ def _blocks(node, template, in_article, out):
             if child.tag in dom.BLOCKS:
                 out.append(None)
             continue
-        if child.id in template and child.tag not in _CONTENT:
+        if child.id in template and child.tag in _CONTAINERS:
             out.append(None)
             continue
         edge = child.tag in dom.BLOCKS
@@ -148,9 +151,10 @@ def _lines(pieces):
     return out
 
 
-def main_text(root: dom.Node, template=frozenset()) -> str:
-    """template: numbers of nodes that are no slots."""
+def main_text(root: dom.Node, template=frozenset(), links=frozenset()) -> str:
+    """template, links: numbers of nodes that are no slots; links count outside of a declared article."""
     pieces, articles = [], _articles(root, []) or _mains(root, [])
+    template = template if articles else template | links
     for part in articles or [root]:
         _blocks(part, template, bool(articles), pieces)
         pieces.append(None)
@@ -235,10 +239,10 @@ _COUNTS = pa.schema([("host", pa.string()), ("node", pa.int32()), ("text", pa.in
 def _extracted(batches):
     aligner = Aligner()
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:3]]
-        out = [main_text(aligner.page(host, packed, source.as_py()), frozenset(fixed or ()))
-               for host, packed, fixed, source in zip(*columns, batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(4), batch.column(5), pa.array(out, pa.string()),
+        columns = [c.to_pylist() for c in batch.columns[:4]]
+        out = [main_text(aligner.page(host, packed, source.as_py()), frozenset(fixed or ()), frozenset(linked or ()))
+               for host, packed, fixed, linked, source in zip(*columns, batch.column(4))]
+        yield pa.RecordBatch.from_arrays([batch.column(5), batch.column(6), pa.array(out, pa.string()),
                                           pa.array([len(t) for t in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
@@ -272,15 +276,18 @@ def extracted_text(pages: DataFrame) -> DataFrame:
     counts = with_template.select("host", "template", "html").mapInArrow(
         _counted, "host string, node int, text long, n long, chars long, links long")
     nodes = (counts.groupBy("host", "node", "text").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
-             .groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("chars").alias("chars"),
-                                          F.sum("links").alias("links")))
-    fixed = nodes.filter(((F.col("n") >= SAME_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n")))
-                         | (F.col("links") > LINK_SHARE * F.col("chars")))
-    fixed = fixed.groupBy("host").agg(F.array_sort(F.collect_set("node")).alias("fixed"))      # nodes of one template
-    wrappers = checkpointed(spark, templates.join(fixed, F.col("template_host") == F.col("host"), "left").select(
-        "template_host", "template", "fixed"))
+             .groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.count("*").alias("texts"),
+                                          F.sum("chars").alias("chars"), F.sum("links").alias("links")))
+    same = (F.col("n") >= SAME_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))
+    found = nodes.groupBy("host").agg(                                  # of the nodes of one template
+        F.array_sort(F.collect_set(F.when(same, F.col("node")))).alias("same"),
+        F.array_sort(F.collect_set(F.when(F.col("links") > LINK_SHARE * F.col("chars"), F.col("node")))).alias("linked"),
+        F.max(F.col("texts") / F.col("n")).alias("diverse"))
+    fixed = F.when(F.col("diverse") >= DIVERSE, F.col("same"))
+    wrappers = checkpointed(spark, templates.join(found, F.col("template_host") == F.col("host"), "left").select(
+        "template_host", "template", fixed.alias("fixed"), "linked"))
     rows = rows.join(_small(wrappers, "template"), F.col("host") == F.col("template_host"), "left")
-    return rows.select("host", "template", "fixed", "html", "page_id", "url").mapInArrow(
+    return rows.select("host", "template", "fixed", "linked", "html", "page_id", "url").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")
 
 
