@@ -131,10 +131,10 @@ def dual_search(search: Search, qtree: CoverTree, points, ids, rows, dtree: Cove
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, row (a number of its own), size, vector: of the rows that take part."""
+    """vec_id (null: the largest long), row (a number of its own), size, vector: of the rows that take part."""
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0) & good)
-    return rows.select("vec_id", F.monotonically_increasing_id().alias("row"), F.size("embedding").alias("size"),
+    return rows.select(F.coalesce("vec_id", F.lit(_NO_ID)).alias("vec_id"), F.monotonically_increasing_id().alias("row"), F.size("embedding").alias("size"),
                        F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
 
 
@@ -161,7 +161,7 @@ _BLOCK = "size int, block long, rows int, content binary"
 def _block(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("row")
     points = _whole(pdf["vector"])
-    ids = pdf["vec_id"].fillna(_NO_ID).astype("int64").to_numpy()
+    ids = pdf["vec_id"].to_numpy(np.int64)
     content = pickle.dumps((points, ids, pdf["row"].to_numpy(np.int64), CoverTree(points)), 5)
     return pd.DataFrame({"size": [int(pdf["size"].iloc[0])], "block": [int(pdf["block"].iloc[0])], "rows": [len(pdf)],
                          "content": [content]})
@@ -178,7 +178,7 @@ def _query_block(sample, k):
                 scores = _products(points[at:at + 256], known[0]).astype(np.float64)
                 scores[rows[at:at + 256, None] == known[1][None, :]] = float("-inf")
                 floor[at:at + 256] = np.partition(scores, -k, axis=1)[:, -k]
-        ids = pdf["vec_id"].astype("int64").to_numpy()
+        ids = pdf["vec_id"].to_numpy(np.int64)
         content = pickle.dumps((points, ids, rows, floor, CoverTree(points)), 5)
         return pd.DataFrame({"size": [int(pdf["size"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
                              "rows": [len(pdf)], "content": [content]})
@@ -198,7 +198,7 @@ def _searched(k):
                 sizes = [len(b[0]) for b in search.best]
                 yield pd.DataFrame({
                     "query_id": np.repeat(ids, sizes), "query_row": np.repeat(rows, sizes),
-                    "vec_id": pd.array(np.concatenate([b[1] for b in search.best]), "Int64"),
+                    "vec_id": np.concatenate([b[1] for b in search.best]),
                     "score": np.concatenate([b[0] for b in search.best])})
     return run
 

@@ -11,7 +11,7 @@ label's own checks (Luhn, byte range, digit count) are no features, so the trees
 over to spans in the same form and context that fail a check.  Per generator the lowest
 score at which held-out cells are right in ``PRECISION`` of cases is the threshold; with
 none, that generator adds nothing.  Accepted candidates are added where they overlap no
-base span; of overlapping ones the better score stays, then the earlier, then the longer.
+base span, or are long tokens around one; of overlapping ones the better score stays, then the earlier, then the longer.
 
 The cells are products of the few values that each feature has (at most
 :data:`CELL_BOUND`), so what is fetched to the driver doesn't grow with the documents.
@@ -250,7 +250,8 @@ def _as_column(tree, c):
 
 
 def _added(model) -> Column:
-    """Accepted candidates (s, e, kind as a place in ADDED, score), none overlapping another or a base span."""
+    """Accepted candidates (s, e, kind as a place in ADDED, score): none overlaps another, or a base span unless a
+    long token holds it."""
     bias, trees, thresholds = model
     empty = F.array().cast("array<struct<s:int,e:int,kind:int,score:double>>")
     if not thresholds:
@@ -267,8 +268,11 @@ def _added(model) -> Column:
         for gen, least in thresholds.items():
             ok = ok | ((c["gen"] == gen) & (c["score"] >= least))
         return ok
-    kept = F.filter(F.transform(F.filter("candidates", lambda c: ~F.exists("base", lambda b: _overlap(b, c))), scored),
-                    enough)
+    def free(c):
+        held = F.exists("base", lambda b: _overlap(b, c) & ~((c["gen"] == 3) & (c["s"] <= b["s"]) & (b["e"] <= c["e"])
+                                                              & (b["e"] - b["s"] < c["e"] - c["s"])))
+        return ~held
+    kept = F.filter(F.transform(F.filter("candidates", free), scored), enough)
 
     def better(a, b):
         return ((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (

@@ -52,7 +52,7 @@ _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     menu navbar navigation nav topbar footer masthead comment comments disqus reply replies respond search pagination
     pager skip""".split())
 _OWN = frozenset("article entry post story content main".split())
-#: What the template can take off a page: containers, not the blocks and inline marks of running text.
+#: What the template can take out of a declared article: containers, not the blocks of running text.
 _CONTAINERS = frozenset("div section ul ol dl table center details fieldset header address hgroup".split())
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -113,7 +113,7 @@ def _blocks(node, template, in_article, out):
             if child.tag in dom.BLOCKS:
                 out.append(None)
             continue
-        if child.id in template and child.tag in _CONTAINERS:
+        if child.id in template and child.tag in (_CONTAINERS if in_article else dom.BLOCKS):
             out.append(None)
             continue
         edge = child.tag in dom.BLOCKS
