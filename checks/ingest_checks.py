@@ -16,35 +16,47 @@ from .registry import AS_OF, NOW, SEV, check, n, ts
 c = F.col
 
 
+def _odd_rule():
+    return F.when(c("event_id") % 5 == 1, F.concat(F.lit("[High] "), "rule")).otherwise(c("rule"))
+
+
 def alert_lines(t, rows=None):
-    """One JSON alert per log row; technique and group fields are lists."""
+    """One JSON alert per log row; technique and group fields are lists.  Some texts
+    begin like lists or objects, some users are lists, some actions are objects."""
     rows = t.logs if rows is None else rows
     split = lambda col, sep: F.filter(F.split(col, sep), lambda x: x != "")
     body = F.struct(
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'").alias("timestamp"), c("event_id").cast("string").alias("id"),
-        F.struct(c("rule_id").alias("id"), c("rule_level").alias("level"), c("rule").alias("description"),
+        F.struct(c("rule_id").alias("id"), c("rule_level").alias("level"), _odd_rule().alias("description"),
                  split("rule_groups", ",").alias("groups"),
                  F.struct(split("mitre", ", ").alias("id"), split("mitre_tactic", ", ").alias("tactic")).alias("mitre")).alias("rule"),
         F.struct(c("agent").alias("name")).alias("agent"),
         F.struct(F.when(c("event_id") % 50 != 0, c("src_ip")).alias("srcip"), c("dst_ip").alias("dstip"), c("dst_port").alias("dstport"),
-                 "action", c("country").alias("srccountry"), c("username").alias("dstuser"),
+                 F.when(c("event_id") % 13 == 0, F.parse_json(F.lit('{"deny": 1}'))).otherwise(c("action").cast("variant")).alias("action"),
+                 c("country").alias("srccountry"),
+                 F.when(c("event_id") % 11 == 3, F.to_variant_object(F.array("username", F.lit("second"))))
+                 .otherwise(c("username").cast("variant")).alias("dstuser"),
                  F.nullif("policy_id", F.lit("")).alias("policyid")).alias("data"),
         F.struct(F.struct(c("geo_lat").cast("string").alias("lat"), c("geo_lon").cast("string").alias("lon")).alias("location")).alias("GeoLocation"),
-        F.struct(c("decoder").alias("name")).alias("decoder"), "full_log")
+        F.struct(c("decoder").alias("name")).alias("decoder"),
+        F.when(c("event_id") % 5 == 2, F.concat(F.lit("{odd "), "full_log")).otherwise(c("full_log")).alias("full_log"))
     return checkpointed(t.spark, rows.select(F.to_json(body).alias("value")))
 
 
 _GROUPS = "replace(rule_groups, ',', ', ')"
 _STREAM = _case(X.STREAM_THREAT_WORDS, "h", "'unknown'")
-_ROW = f"""src_ip, dst_ip, dst_port, {_STREAM} AS threat_type, severity, rule, rule_id, rule_level, action, country, agent, mitre, username, mitre_tactic, {_GROUPS} AS rule_groups, username AS target_user, geo_lat, geo_lon, decoder, full_log, policy_id, {ts('ts')} AS ts
- FROM (SELECT *, lower({_GROUPS}||' '||rule||' ') AS h FROM logs) WHERE event_id % 50 <> 0"""
+_USER = "CASE WHEN event_id % 11 = 3 THEN username || ', second' ELSE username END"
+_ROW = f"""src_ip, dst_ip, dst_port, {_STREAM} AS threat_type, severity, shown AS rule, rule_id, rule_level, CASE WHEN event_id % 13 = 0 THEN '' ELSE action END AS action,
+ country, agent, mitre, {_USER} AS username, mitre_tactic, {_GROUPS} AS rule_groups, {_USER} AS target_user, geo_lat, geo_lon, decoder,
+ CASE WHEN event_id % 5 = 2 THEN '{{odd ' || full_log ELSE full_log END AS full_log, policy_id, {ts('ts')} AS ts
+ FROM (SELECT *, lower({_GROUPS}||' '||shown||' ') AS h FROM (SELECT *, CASE WHEN event_id % 5 = 1 THEN '[High] ' || rule ELSE rule END AS shown FROM logs)) WHERE event_id % 50 <> 0"""
 _OUT = "src_ip dst_ip dst_port threat_type severity rule rule_id rule_level action country agent mitre username mitre_tactic rule_groups target_user geo_lat geo_lon decoder full_log policy_id ts".split()
 
 
 @check("o101_alert_fields", f"SELECT event_id::VARCHAR AS id, {_GROUPS} AS groups, CAST(rule_level AS VARCHAR) AS level FROM logs")
 def _(t):
     v = c("alert")
-    return alerts.parsed(alert_lines(t)).select(alerts.field(v, "id").alias("id"), F.coalesce(alerts.field(v, "rule.groups"), F.lit("")).alias("groups"), alerts.leaf(v, "rule.level").alias("level"))
+    return alerts.parsed(alert_lines(t)).select(alerts.field(v, "id").alias("id"), F.coalesce(alerts.field(v, "rule.groups"), F.lit("")).alias("groups"), alerts.field(v, "rule.level").alias("level"))
 
 
 @check("o109_alert_rows", f"SELECT {_ROW}")

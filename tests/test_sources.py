@@ -28,6 +28,19 @@ def test_alert_cases(spark):
     assert r["ts"].isoformat() == "2024-01-01T00:00:00"
 
 
+def test_texts_lists_and_objects_in_any_place(spark):
+    alert = {"rule": {"description": "[High] ssh brute force", "groups": "{x} sshd", "id": 5, "level": 7, "pci_dss": [1, None, "b", True]},
+             "data": {"srcip": "9.9.9.9", "user": ["a", "b"], "action": {"deny": 1}, "dstport": ["22"], "url": "[::1]/x"},
+             "syscheck": {"path": ["/etc/a", "/etc/b"], "event": "{odd"}, "GeoLocation": {"country_name": ["DE"], "location": {"lat": 1.5, "lon": "2"}},
+             "full_log": "[warn] {\"a\": 1}", "location": '["kept"]', "agent": "no object"}
+    (r,) = rows_of(spark, alert)
+    assert (r["rule"], r["rule_groups"], r["threat_type"]) == ("[High] ssh brute force", "{x} sshd", "ssh_bruteforce")
+    assert (r["username"], r["action"], r["dst_port"], r["url"]) == ("a, b", "", "22", "[::1]/x")
+    assert (r["sc_path"], r["sc_event"], r["country"]) == ("/etc/a, /etc/b", "{odd", "DE")
+    assert (r["geo_lat"], r["geo_lon"], r["rule_id"], r["pci_dss"]) == (1.5, 2.0, "5", "1, None, b, true")
+    assert (r["full_log"], r["location"], r["agent"]) == ('[warn] {"a": 1}', '["kept"]', "")
+
+
 def test_alert_level_filter(spark):
     made = [{"rule": {"level": n}, "data": {"srcip": f"1.1.1.{n}"}} for n in (1, 5, 9)]
     kept = {r["src_ip"] for r in rows_of(spark, *made, min_level=4, sample_below=7, one_in=1)}

@@ -53,14 +53,14 @@ EXTRA_PATHS = ["rule.level", "rule.firedtimes", "GeoLocation.location.lat", "Geo
 
 
 def alert_schema() -> T.StructType:
-    """Nested structure of the paths above.  Every leaf is text: a list or an object
-    in its place then arrives as its JSON text."""
+    """Nested structure of the paths above.  Every leaf is a variant, which keeps whether
+    it came as text, number, list or object."""
     tree: dict = {}
     for path in [*[p for paths, _ in PATHS.values() for p in paths], *TIME_PATHS, *EXTRA_PATHS]:
         at = tree
         for part in path.split("."):
             at = at.setdefault(part, {})
-    made = lambda sub: T.StructType([T.StructField(n, made(s) if s else T.StringType()) for n, s in sub.items()])
+    made = lambda sub: T.StructType([T.StructField(n, made(s) if s else T.VariantType()) for n, s in sub.items()])
     return made(tree)
 
 
@@ -72,10 +72,12 @@ def leaf(alert: Column, path: str) -> Column:
 
 def field(alert: Column, path: str) -> Column:
     """Text at a dotted path: scalars as they are, lists joined with ', '; an object
-    has no text of its own."""
-    text = leaf(alert, path)
-    return (F.when(text.startswith("["), F.array_join(F.from_json(text, "array<string>"), ", "))
-            .when(~text.startswith("{"), text))
+    has no text of its own.  The value's own type decides, not how its text begins."""
+    value = leaf(alert, path)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    one = lambda x: F.when(~F.is_variant_null(x), F.coalesce(F.try_variant_get(x, "$", "string"), F.to_json(x)))
+    return (F.when(items.isNotNull(), F.array_join(F.transform(items, one), ", ", "None"))
+            .when(F.try_variant_get(value, "$", "map<string,variant>").isNull(), F.try_variant_get(value, "$", "string")))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def parsed(lines: DataFrame) -> DataFrame:
 
 
 def alert_level(alert: Column) -> Column:
-    return C.whole(leaf(alert, "rule.level"))
+    return C.whole(field(alert, "rule.level"))
 
 
 def kept_levels(level: Column, key: Column, min_level=4, sample_below=7, one_in=10) -> Column:
@@ -105,9 +107,7 @@ def to_log_rows(lines: DataFrame, received: Column | None = None, min_level=None
         alerts = alerts.where(kept_levels(F.col("level"), F.xxhash64("value"), min_level,
                                           sample_below, one_in))
     v = F.col("alert")
-    # lists occur in the rule part; elsewhere plain text is read without that test
-    one = lambda p: field(v, p) if p.startswith("rule.") else leaf(v, p)
-    text = lambda paths: C.first_filled(*[one(p) for p in paths])
+    text = lambda paths: C.first_filled(*[field(v, p) for p in paths])
     number = lambda paths: F.coalesce(text(paths).try_cast("double"), F.lit(0.0))
     # first the texts, each built once; then what is judged from them
     cells = {name: F.substring(text(paths), 1, longest) if longest else text(paths)
