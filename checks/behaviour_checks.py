@@ -36,7 +36,7 @@ define("lead_threats", "SELECT src_ip AS entity, threat_type AS top_threat FROM
 define("entity_vec", f"SELECT * FROM (SELECT src_ip AS entity, {_EF} FROM logs WHERE src_ip<>'' GROUP BY 1) JOIN lead_threats USING (entity)")
 
 
-@check("o319_entity_features", f"SELECT entity, events, max_lvl, round(avg_lvl,6) AS avg_lvl, crit, high, uniq_dst, uniq_ports, uniq_users, uniq_countries, top_threat, {ts('last_seen')} AS last_seen FROM entity_vec ORDER BY events DESC, entity LIMIT 500")
+@check("o319_entity_features", f"SELECT entity, events, max_lvl, round(avg_lvl,6) AS avg_lvl, crit, high, uniq_dst, uniq_ports, uniq_users, uniq_countries, top_threat, {ts('last_seen')} AS last_seen FROM entity_vec")
 def _(t):
     return r(FE.entity_features(t.logs), 6, "avg_lvl")
 
@@ -220,7 +220,7 @@ _REC = """WITH RECURSIVE anchors AS (SELECT username, min(ts) AS anchor FROM pla
   (SELECT *, lag(country) OVER w AS pcty, lag(src_ip) OVER w AS pip, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon, lag(ts) OVER w AS pts FROM moved WINDOW w AS (PARTITION BY username ORDER BY ts, event_id)) WHERE pcty IS NOT NULL),
  best AS (SELECT * FROM hops WHERE km>=400 AND hours>1.0/3600 AND km/hours>900 QUALIFY row_number() OVER (PARTITION BY username, least(a,b), greatest(a,b) ORDER BY round_even(km,1) DESC, ts, event_id)=1),
  found AS (SELECT username, ts, 'critical' AS severity, a, b, ip1, ip2, round_even(km,1) AS km FROM at_once UNION ALL SELECT username, ts, 'high', a, b, ip1, ip2, round_even(km,1) FROM best),
- trav AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY username ORDER BY severity, km DESC, ts)<=25) """
+ trav AS (SELECT * FROM found) """
 
 
 def travel(t):
@@ -274,9 +274,10 @@ def _(t):
 
 @check("o462_new_values", "SELECT username, dimension, string_agg(value, ',' ORDER BY value) AS fresh FROM user_values WHERE dimension IN ('hosts','countries','ports') AND day>0 AND base=0 GROUP BY 1,2")
 def _(t):
-    out = U.user_profiles(t.plogs, as_of=AS_OF, least=0)
-    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.array_except(F.coalesce(f"{d}_24", F.array().cast("array<string>")), F.coalesce(f"{d}_base", F.array().cast("array<string>"))).alias("v")) for d in ("hosts", "countries", "ports")])
-    return out.select("username", F.explode(pairs).alias("p")).select("username", "p.dimension", F.array_join("p.v", ",").alias("fresh")).where("fresh <> ''")
+    from wardlight.functions.times import ago, moment, since
+    values = U.user_values(U.people(since(t.plogs, ago(moment(AS_OF), days=30))), ago(moment(AS_OF), days=1))
+    fresh = U.new_values(values).where("dimension in ('hosts', 'countries', 'ports')")
+    return fresh.groupBy("username", "dimension").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("fresh"))
 
 
 @check("o463_user_names", "SELECT username, array_to_string(list(value ORDER BY value) FILTER (WHERE dimension='hosts')[1:6],',') AS hosts, array_to_string(list(value ORDER BY value) FILTER (WHERE dimension='countries')[1:6],',') AS countries FROM user_values WHERE dimension IN ('hosts','countries') GROUP BY 1")
@@ -316,7 +317,7 @@ def _(t):
     return rows.join(U.peer_outliers(rows).select("entity", "max_z"), "entity", "left").select("entity", "events", "max_z")
 
 
-_PR = """SELECT username AS entity, ev_24 AS events, crit_24 AS crit, least(p,25) AS dsts, least(p,25) AS ports, least(ct,15) AS countries, least(sr,15) AS srcs FROM user_scalar JOIN (SELECT username,
+_PR = """SELECT username AS entity, ev_24 AS events, crit_24 AS crit, p AS dsts, p AS ports, ct AS countries, sr AS srcs FROM user_scalar JOIN (SELECT username,
  count(*) FILTER (WHERE dimension='ports' AND day>0) AS p, count(*) FILTER (WHERE dimension='countries' AND day>0) AS ct, count(*) FILTER (WHERE dimension='srcs' AND day>0) AS sr FROM user_values GROUP BY 1) USING (username)"""
 _RISK = _REC + f""", hist AS (SELECT *, base>0 AND base/greatest(sum(base) OVER (PARTITION BY username),1)::DOUBLE>=0.02 AS usual FROM user_values WHERE dimension='hours'),
  off AS (SELECT username, bool_or(NOT usual AND day>=3) AND bool_or(usual) AS odd FROM hist GROUP BY 1),

@@ -124,7 +124,7 @@ def _(t):
 
 @check("o303_threat_counts", "SELECT src_ip, threat_type, count(*) AS events FROM logs GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY src_ip ORDER BY count(*) DESC, threat_type)<=50")
 def _(t):
-    return K.threat_counts(t.logs)
+    return K.threat_counts(t.logs, 50)
 
 
 @check("o304_severity_counts", "SELECT src_ip, severity, count(*) AS events FROM logs GROUP BY 1,2")
@@ -152,17 +152,17 @@ def _(t):
 
 @check("o309_hot_ips", "SELECT src_ip, sum(events)::BIGINT AS events FROM agg_ip_daily WHERE severity IN ('critical','high') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
 def _(t):
-    return K.hot_ips(R_(t))
+    return K.hot_ips(R_(t), 100)
 
 
 @check("o311_global_threats", "SELECT threat_type, sum(events)::BIGINT AS events FROM agg_ip_daily WHERE threat_type NOT IN ('unknown','') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def _(t):
-    return K.global_threats(R_(t))
+    return K.global_threats(R_(t), limit=50)
 
 
 @check("o311_global_threats_all", "SELECT threat_type, sum(events)::BIGINT AS events FROM agg_ip_daily GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def _(t):
-    return K.global_threats(R_(t), True)
+    return K.global_threats(R_(t), True, 50)
 
 
 @check("o312_global_severities", "SELECT severity, sum(events)::BIGINT AS events FROM agg_ip_daily GROUP BY 1")
@@ -195,7 +195,7 @@ def _(t):
     return K.user_countries(t.logs)
 
 
-ENTITY_AGG = lambda col: f"SELECT {col} AS entity, count(*) AS events, {n(chr(115)+'everity='+repr('critical'))} AS crit, count(DISTINCT dst_ip) AS dsts, count(DISTINCT dst_port) AS ports, count(DISTINCT country) AS countries, count(DISTINCT src_ip) AS srcs FROM logs WHERE {col}<>'' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500"
+ENTITY_AGG = lambda col: f"SELECT {col} AS entity, count(*) AS events, {n(chr(115)+'everity='+repr('critical'))} AS crit, count(DISTINCT dst_ip) AS dsts, count(DISTINCT dst_port) AS ports, count(DISTINCT country) AS countries, count(DISTINCT src_ip) AS srcs FROM logs WHERE {col}<>'' GROUP BY 1"
 
 
 @check("o317_entity_aggregates", ENTITY_AGG("username"))

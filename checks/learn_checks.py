@@ -89,7 +89,7 @@ def confidence(t):
     bundle = _bundle(t)
     if bundle["model"] is None:
         return t.spark.createDataFrame([], "threat_type string, confidence double")
-    rows = RE.featurised(FE.entity_features(t.logs, limit=800), scores(t).where("is_anomaly"))
+    rows = RE.featurised(FE.entity_features(t.logs), scores(t).where("is_anomaly"))
     return RE.threat_confidence(RE.probabilities(bundle, rows))
 
 
@@ -147,7 +147,7 @@ def _(t):
 
 _STATS = f"""SELECT 'total_logs' AS part, '' AS key, count(*) AS value FROM logs UNION ALL SELECT 'unique_ips','',count(DISTINCT src_ip) FROM logs UNION ALL SELECT 'total_alerts','',count(*) FROM latest_dev
  UNION ALL SELECT 'threat_counts', threat_type, count(*) FROM logs WHERE threat_type NOT IN ('unknown','') GROUP BY threat_type UNION ALL SELECT 'severity_counts', severity, count(*) FROM logs GROUP BY severity
- UNION ALL SELECT * FROM (SELECT 'hot_ips', src_ip, count(*) FROM logs WHERE severity IN ('critical','high') GROUP BY src_ip ORDER BY 3 DESC, 2 LIMIT 100) UNION ALL SELECT 'alert_types', type, count(*) FROM latest_dev GROUP BY type
+ UNION ALL SELECT 'hot_ips', src_ip, count(*) FROM logs WHERE severity IN ('critical','high') GROUP BY src_ip UNION ALL SELECT 'alert_types', type, count(*) FROM latest_dev GROUP BY type
  UNION ALL SELECT DISTINCT 'critical_ips', ip, 1 FROM latest_dev WHERE severity='critical'"""
 
 

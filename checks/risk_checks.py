@@ -259,7 +259,7 @@ _AL, _BL = "action='allowed'", "action IN ('blocked','denied')"
 
 
 @check("o619_firewall_outcome", f"""SELECT src_ip, count(*) AS events, {n("action<>''")} AS acted, {n(_AL)} AS allowed, {n(_BL)} AS blocked, CASE WHEN {n("action<>''")}=0 THEN 'observed' WHEN {n(_BL)}>0 AND {n(_AL)}=0 THEN 'blocked' WHEN {n(_BL)}>0 THEN 'partial' ELSE 'allowed' END AS status,
- array_to_string(list_sort(list(DISTINCT dst_ip) FILTER (WHERE {_BL} AND dst_ip<>''))[1:20],',') AS blocked_ips FROM plogs GROUP BY 1""")
+ array_to_string(list_sort(list(DISTINCT dst_ip) FILTER (WHERE {_BL} AND dst_ip<>'')),',') AS blocked_ips FROM plogs GROUP BY 1""")
 def _(t):
     return KC.firewall_outcome(t.plogs).select("src_ip", "events", "acted", "allowed", "blocked", "status", F.array_join("blocked_ips", ",").alias("blocked_ips"))
 
@@ -354,13 +354,13 @@ def _(t):
 # --- incidents --------------------------------------------------------------------------------
 
 _INC = _REC + """, fi AS (SELECT ip, count(*) FILTER (WHERE kind='a') AS takeovers, count(*) FILTER (WHERE kind='t') AS travels, list(DISTINCT username) AS users FROM (SELECT src_ip AS ip, 'a' AS kind, username FROM ato_rows UNION ALL SELECT unnest([ip1, ip2]), 't', username FROM trav) WHERE ip<>'' GROUP BY 1),
- cand AS (SELECT ip, max(risk) AS risk FROM (SELECT ip, risk_score AS risk FROM latest_score UNION ALL SELECT * FROM (SELECT src_ip, 0 FROM logs WHERE severity IN ('critical','high') GROUP BY 1 ORDER BY count(*) DESC, src_ip LIMIT 100) UNION ALL SELECT ip, 0 FROM fi) GROUP BY 1),
+ cand AS (SELECT ip, max(risk) AS risk FROM (SELECT ip, risk_score AS risk FROM latest_score UNION ALL SELECT DISTINCT src_ip, 0 FROM logs WHERE severity IN ('critical','high') UNION ALL SELECT ip, 0 FROM fi) GROUP BY 1),
  sig AS (SELECT ch.*, ip, risk, coalesce(takeovers,0) AS takeovers, coalesce(travels,0) AS travels, coalesce(users,[]) AS users FROM chain_rows ch JOIN cand ON ip=src_ip LEFT JOIN fi USING (ip)),
  gate AS (SELECT * FROM sig WHERE risk>=50 OR tactics>=2 OR takeovers+travels>0 OR critical>0 OR high>0),
  net AS (SELECT *, array_to_string(string_split(ip,'.')[1:3],'.') AS net FROM gate),
  tac AS (SELECT net, count(DISTINCT t) AS tactics FROM (SELECT net, unnest(string_split(progression,'>')) AS t FROM net) GROUP BY 1),
  inc AS (SELECT net, count(*) AS ip_count, min(ip) AS ip0, max(risk) AS risk, sum(total_events)::BIGINT AS total_events, bool_or(reached_lateral) AS reached_lateral, sum(takeovers)::BIGINT AS takeovers, sum(travels)::BIGINT AS travels, min(first_seen) AS first_seen,
-  CASE WHEN max(critical)>0 THEN 'critical' WHEN max(high)>0 THEN 'high' WHEN max(medium)>0 THEN 'medium' ELSE 'low' END AS severity, len(list_distinct(flatten(list(users)))) AS users, any_value(tac.tactics) AS tactics FROM net JOIN tac USING (net) GROUP BY net),
+  CASE WHEN max(critical)>0 THEN 'critical' WHEN max(high)>0 THEN 'high' WHEN max(medium)>0 THEN 'medium' ELSE 'low' END AS severity, array_to_string(list_sort(list_distinct(flatten(list(users)))), ',') AS users, array_to_string(list_sort(list(ip)), ',') AS ips, any_value(tac.tactics) AS tactics FROM net JOIN tac USING (net) GROUP BY net),
  prio AS (SELECT *, CASE WHEN ip_count>1 THEN 'campaign:'||net||'.0/24' ELSE 'host:'||ip0 END AS incident_id, greatest(0, least(100, round_even(risk*0.45::DOUBLE + least(tactics,8)*5 + least(ip_count,10)*2.5::DOUBLE + CASE WHEN reached_lateral THEN 20 ELSE 0 END + takeovers*15 + travels*10 + CASE WHEN severity='critical' THEN 10 ELSE 0 END,0)))::BIGINT AS priority FROM inc) """
 
 
@@ -372,12 +372,12 @@ def sig(t):
     from wardlight.session import checkpointed
     found = checkpointed(t.spark, find(t))
     cells = cell(t)
-    return I.signals(cells, KC.chains(KC.stages(cells)), I.candidates(scores(t), K.hot_ips(R_(t), 100), found), found)
+    return I.signals(cells, KC.chains(KC.stages(cells)), I.candidates(scores(t), K.hot_ips(R_(t)), found), found)
 
 
 @check("o212_candidates", _INC + "SELECT ip, risk FROM cand")
 def _(t):
-    return I.candidates(scores(t), K.hot_ips(R_(t), 100), find(t))
+    return I.candidates(scores(t), K.hot_ips(R_(t)), find(t))
 
 
 @check("o625_signals", _INC + "SELECT ip, risk, max_stage, progression, takeovers, travels, total_events FROM sig")
@@ -390,9 +390,9 @@ def _(t):
     return I.gated(sig(t)).select("ip")
 
 
-@check("o627_incidents", _INC + f"SELECT incident_id, ip_count, risk, total_events, reached_lateral, severity, takeovers, travels, users, tactics, {ts('first_seen')} AS first_seen FROM prio")
+@check("o627_incidents", _INC + f"SELECT incident_id, ip_count, risk, total_events, reached_lateral, severity, takeovers, travels, users, ips, tactics, {ts('first_seen')} AS first_seen FROM prio")
 def _(t):
-    return I.correlate(I.gated(sig(t))).select("incident_id", "ip_count", "risk", "total_events", "reached_lateral", "severity", "takeovers", "travels", F.size("users").alias("users"), F.size("tactics").alias("tactics"), "first_seen")
+    return I.correlate(I.gated(sig(t))).select("incident_id", "ip_count", "risk", "total_events", "reached_lateral", "severity", "takeovers", "travels", F.array_join("users", ",").alias("users"), F.array_join("ips", ",").alias("ips"), F.size("tactics").alias("tactics"), "first_seen")
 
 
 @check("o628_priority", _INC + "SELECT incident_id, priority FROM prio")
@@ -406,7 +406,7 @@ def _(t):
 
 
 _KW = {p[0]: [v for k, v in p[3] if k == "keyword"] for p in X.PLAYBOOKS}
-# matchable text of an incident without its narrative: technique names and tactics
+# matchable text of an incident: technique names and tactics (its narrative repeats these; its own words hold no keyword but "lateral", of chains that got there)
 _PB = _INC + f""", tt AS (SELECT net, lower(string_agg(DISTINCT coalesce(technique,''), ' ')) AS ids, lower(string_agg(DISTINCT coalesce({_NAME('technique')},''), ' ')) AS names, lower(string_agg(DISTINCT tactic, ' ')) AS tacs, bool_or(tactic='Lateral Movement') AS lat
   FROM (SELECT n.net, p.* FROM net n JOIN placed_rows p ON p.src_ip=n.ip) GROUP BY 1),
  hit AS (SELECT incident_id, 'pb-brute-force' AS playbook_id, 'high' AS playbook_severity FROM prio JOIN tt USING (net) WHERE contains(ids,'t1110') OR regexp_matches(names||' '||tacs,'brute|auth|login_fail|password')
@@ -415,8 +415,7 @@ _PB = _INC + f""", tt AS (SELECT net, lower(string_agg(DISTINCT coalesce(techniq
 
 
 def matches(t):
-    rows = I.correlate(I.gated(sig(t))).withColumn("narrative", F.lit(""))
-    return I.match_playbooks(rows)
+    return I.match_playbooks(I.with_narrative(I.correlate(I.gated(sig(t)))))
 
 
 @check("o630_playbook_matches", _PB + "SELECT incident_id, playbook_id, row_number() OVER (PARTITION BY incident_id ORDER BY playbook_severity='critical' DESC, CASE playbook_id WHEN 'pb-brute-force' THEN 0 WHEN 'pb-lateral' THEN 1 ELSE 2 END) AS place FROM hit")

@@ -50,13 +50,13 @@ def times(seed, n, step):
     return out
 
 
-def test_short_runs_are_folded(spark):
+def test_short_runs(spark):
     check(spark, {f"u{i}": times(i, 60, 12) for i in range(5)})
 
 
-def test_long_runs_are_linked(spark):
+def test_long_runs(spark):
     users = {"bot": times(9, 400, 1.5), "calm": times(10, 20, 30)}
-    check(spark, users, long_session=50)
+    check(spark, users)
 
 
 def test_edge_is_greedy(spark):

@@ -7,6 +7,23 @@ from ..functions.columns import row_count
 from ..functions.times import ago, moment, since
 from .sequence import top_per
 
+
+def first_of(df: DataFrame, limit: int | None, *order) -> DataFrame:
+    """A ranking's first rows where the caller asks for a number of them; else all rows."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
+def breadth(rows, key: str, dimensions: dict, least=None) -> DataFrame:
+    """Exact numbers of different values per key.  ``dimensions``: name to column; nulls
+    do not count.  Equal combinations are counted once before they are unrolled, and every
+    value once, so no row is copied for each dimension as several distinct counts would."""
+    combos = rows.select(key, *[col.alias(name) for name, col in dimensions.items()]).distinct()
+    pairs = F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(name).cast("string").alias("value")) for name in dimensions])
+    values = (combos.select(key, F.explode(pairs).alias("p")).select(key, "p.dimension", "p.value")
+              .where("value is not null").distinct())
+    return values.groupBy(key).agg(*[F.count_if(F.col("dimension") == name).alias(name) for name in dimensions])
+
+
 def event_counts(logs):
     return logs.groupBy("src_ip").agg(row_count("events"))
 
@@ -15,7 +32,7 @@ def first_last_seen(logs):
     return logs.groupBy("src_ip").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-def threat_counts(logs, limit=50):
+def threat_counts(logs, limit=None):
     counted = logs.groupBy("src_ip", "threat_type").agg(row_count("events"))
     return top_per(counted, ["src_ip"], [F.desc("events"), "threat_type"], limit)
 
@@ -34,24 +51,23 @@ def trail_summary(logs):
         .withColumn("is_hot", (F.col("critical") > 0) | (F.col("high") > 0)))
 
 
-def top_ips(rollup, size=10_000):
-    return (rollup.groupBy("src_ip").agg(F.sum("events").alias("events"))
-            .orderBy(F.desc("events"), "src_ip").limit(size))
+def top_ips(rollup, size=None):
+    return first_of(rollup.groupBy("src_ip").agg(F.sum("events").alias("events")), size, F.desc("events"), "src_ip")
 
 
 def ip_count(rollup):
     return rollup.agg(F.countDistinct("src_ip").alias("unique_ips"))
 
 
-def hot_ips(rollup, size=100):
+def hot_ips(rollup, size=None):
     return top_ips(rollup.where(F.col("severity").isin("critical", "high")), size)
 
 
-def global_threats(rollup, include_unknown=False, limit=50):
+def global_threats(rollup, include_unknown=False, limit=None):
     if not include_unknown:
         rollup = rollup.where(~F.col("threat_type").isin("unknown", ""))
-    return (rollup.groupBy("threat_type").agg(F.sum("events").alias("events"))
-            .orderBy(F.desc("events"), "threat_type").limit(limit))
+    return first_of(rollup.groupBy("threat_type").agg(F.sum("events").alias("events")), limit,
+                    F.desc("events"), "threat_type")
 
 
 def global_severities(rollup):
@@ -79,13 +95,14 @@ def user_countries(logs):
     return logs.where("username != '' and country != ''").select("username", "country").distinct()
 
 
-def entity_aggregates(logs, column="username", limit=500):
+def entity_aggregates(logs, column="username", limit=None):
     """Volume and breadth per entity (blank values count as a value)."""
-    ranked = (logs.where(F.col(column) != "").groupBy(F.col(column).alias("entity")).agg(
-        row_count("events"), F.count_if(F.col("severity") == "critical").alias("crit"),
-        F.countDistinct("dst_ip").alias("dsts"), F.countDistinct("dst_port").alias("ports"),
-        F.countDistinct("country").alias("countries"), F.countDistinct("src_ip").alias("srcs")))
-    return ranked.orderBy(F.desc("events"), "entity").limit(limit)
+    rows = logs.where(F.col(column) != "").withColumn("entity", F.col(column))
+    wide = breadth(rows, "entity", {"dsts": F.col("dst_ip"), "ports": F.col("dst_port"), "countries": F.col("country"),
+                                    "srcs": F.col("src_ip")})
+    totals = rows.groupBy("entity").agg(row_count("events"), F.count_if(F.col("severity") == "critical").alias("crit"))
+    return first_of(totals.join(wide, "entity", "left").fillna(0, ["dsts", "ports", "countries", "srcs"]), limit,
+                    F.desc("events"), "entity")
 
 
 SUMMARY_DIMENSIONS = ["threat_type", "severity", "src_ip", "username"]
@@ -155,8 +172,9 @@ def alert_totals(newest):
                       F.countDistinct(F.when(F.col("severity") == "critical", F.col("ip"))).alias("critical_ips"))
 
 
-def deviation_summaries(newest, window=50, sample=10):
-    """Weighted score, count and kinds of an address's newest alerts."""
+def deviation_summaries(newest, window=None, sample=10):
+    """Weighted score, count and kinds of an address's alerts (or of its ``window`` newest);
+    ``alerts`` shows the ``sample`` newest."""
     points = (F.when(F.col("severity") == "critical", 10).when(F.col("severity") == "high", 5)
               .when(F.col("severity") == "medium", 2).otherwise(1))
     recent = top_per(newest, ["ip"], [F.desc("ts"), "type"], window, rank="rank")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed as X
 from ..functions.columns import row_count
 from ..functions.times import ago, minute_crossings, moment, seconds, since
+from .counts import breadth, first_of
 from .sequence import gap_statistics
 
 c = F.col
@@ -25,10 +26,10 @@ def reputation_features(logs) -> DataFrame:
     base = logs.groupBy("src_ip").agg(
         row_count("total"), sev("critical", "crit"), sev("high", "high"), sev("medium", "med"),
         sev("low", "low"), F.max("rule_level").alias("max_level"),
-        F.countDistinct("dst_port").alias("uniq_ports"), F.countDistinct("dst_ip").alias("uniq_dsts"),
-        F.countDistinct("country").alias("uniq_countries"),
-        F.countDistinct(F.nullif("username", F.lit(""))).alias("uniq_users"),
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    names = {"uniq_ports": c("dst_port"), "uniq_dsts": c("dst_ip"), "uniq_countries": c("country"),
+             "uniq_users": F.nullif("username", F.lit(""))}
+    base = base.join(breadth(logs, "src_ip", names), "src_ip", "left").fillna(0, list(names))
     from .sequence import top_per
     threats = logs.where("threat_type != ''").groupBy("src_ip", "threat_type").agg(row_count("events"))
     best = top_per(threats, ["src_ip"], [F.desc("events"), "threat_type"], 5, rank="rank")
@@ -37,23 +38,23 @@ def reputation_features(logs) -> DataFrame:
     return base.join(listed, "src_ip", "left")
 
 
-def entity_features(logs, entities=None, limit=500) -> DataFrame:
-    """Vector of the chosen entities, or of the busiest ``limit``; the leading
-    threat comes from a count per threat, ties by name."""
+def entity_features(logs, entities=None, limit=None) -> DataFrame:
+    """Vector of every entity, of the chosen ones, or of the busiest ``limit``; the
+    leading threat comes from a count per threat, ties by name."""
     rows = logs.where("src_ip != ''")
     if entities is not None:
         rows = rows.join(entities.select(c("entity").alias("src_ip")).distinct(), "src_ip", "left_semi")
     base = rows.groupBy(c("src_ip").alias("entity")).agg(
         row_count("events"), F.max("rule_level").alias("max_lvl"), F.avg("rule_level").alias("avg_lvl"),
         _count(c("severity") == "critical", "crit"), _count(c("severity") == "high", "high"),
-        F.countDistinct("dst_ip").alias("uniq_dst"),
-        F.countDistinct(F.nullif("dst_port", F.lit(""))).alias("uniq_ports"),
-        F.countDistinct(F.nullif("username", F.lit(""))).alias("uniq_users"),
-        F.countDistinct("country").alias("uniq_countries"), F.max("ts").alias("last_seen"))
+        F.max("ts").alias("last_seen"))
+    some = lambda col: F.nullif(c(col), F.lit(""))
+    names = {"uniq_dst": c("dst_ip"), "uniq_ports": some("dst_port"), "uniq_users": some("username"), "uniq_countries": c("country")}
+    base = base.join(breadth(rows.withColumn("entity", c("src_ip")), "entity", names), "entity", "left").fillna(0, list(names))
     top = (rows.groupBy(c("src_ip").alias("entity"), "threat_type").agg(row_count("n"))
            .groupBy("entity").agg(F.max_by("threat_type", F.struct("n", "threat_type")).alias("top_threat")))
     out = base.join(top, "entity")
-    return out if entities is not None else out.orderBy(F.desc("events"), "entity").limit(limit)
+    return out if entities is not None else first_of(out, limit, F.desc("events"), "entity")
 
 
 def window_features(logs, alerts=None, days=7, least=3, limit=None, as_of=None) -> DataFrame:
@@ -62,7 +63,7 @@ def window_features(logs, alerts=None, days=7, least=3, limit=None, as_of=None)
     now = moment(as_of, logs)
     recent = since(logs, ago(now, days=days))
     n = F.count(F.lit(1))
-    some = lambda col: F.countDistinct(F.nullif(col, F.lit("")))
+    some = lambda col: F.nullif(col, F.lit(""))
     span = F.unix_seconds(F.date_trunc("second", F.max("ts"))) - F.unix_seconds(F.date_trunc("second", F.min("ts")))
     minutes = minute_crossings(F.min("ts"), now)
     out = recent.groupBy(c("src_ip").alias("ip")).agg(
@@ -70,8 +71,6 @@ def window_features(logs, alerts=None, days=7, least=3, limit=None, as_of=None)
         (n / F.greatest(F.lit(1.0), minutes.cast("double"))).alias("event_rate_pm"),
         (span / F.greatest(F.lit(1), n - 1)).alias("avg_interval_s"),
         F.lit(0.0).alias("min_interval_s"), F.lit(0.0).alias("std_interval_s"),
-        some("dst_ip").alias("unique_dst_ips"), some("dst_port").alias("unique_dst_ports"),
-        some("country").alias("unique_countries"),
         (F.count_if(c("severity") == "critical") / n).alias("pct_critical"),
         (F.count_if(c("severity") == "high") / n).alias("pct_high"),
         _count(_threat(*X.FAILURE_TYPES), "brute_force_cnt"), _count(_threat("ssh_bruteforce"), "ssh_bf_cnt"),
@@ -79,6 +78,8 @@ def window_features(logs, alerts=None, days=7, least=3, limit=None, as_of=None)
         _count(_threat("known_malicious"), "known_bad_cnt"),
         _count(_threat("privilege_escalation"), "priv_esc_cnt"),
         _count(_threat("vpn_bruteforce"), "vpn_bf_cnt")).where(c("n_events") >= least)
+    names = {"unique_dst_ips": some("dst_ip"), "unique_dst_ports": some("dst_port"), "unique_countries": some("country")}
+    out = out.join(breadth(recent.withColumn("ip", c("src_ip")), "ip", names), "ip", "left").fillna(0, list(names))
     if limit:
         out = out.orderBy(F.desc("n_events"), "ip").limit(limit)
     return with_alert_counts(out, alerts)

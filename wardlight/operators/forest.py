@@ -43,11 +43,12 @@ def tree_samples(rows, trees=TREES, size=SAMPLE, seed=42, key="ip") -> DataFrame
     does not depend on row order.
 
     Only hashes low enough to rank among the first are kept (four times as many as
-    needed on average), so a row is copied into few trees however many rows there
-    are; every task then keeps its best ``size`` rows of a tree before the shuffle."""
+    needed on average; all, where there are fewer rows), so a row is copied into few
+    trees however many rows there are; every task then keeps its best ``size`` rows of
+    a tree before the shuffle.  ``size`` is the algorithm's sample, a parameter."""
     span = 1 << 40
     total = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
-    cut = F.when(total > 4 * size, F.lit(4.0 * size * span) / total).otherwise(float(span))
+    cut = F.least(F.lit(4.0 * size * span) / F.greatest(total, F.lit(1)), F.lit(float(span)))
     draw = lambda tree: F.pmod(F.xxhash64(tree, F.lit(seed), c(key)), F.lit(span))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) < c("_cut"))
     spread = rows.withColumn("_cut", cut).withColumn("tree", F.explode(chosen)).drop("_cut")

@@ -74,8 +74,9 @@ def phases(stage) -> DataFrame:
         F.coalesce("tactics", F.array().cast("array<string>")).alias("tactics"), "first_seen", "last_seen")
 
 
-def firewall_outcome(logs, keep=20) -> DataFrame:
-    """Allowed and blocked traffic per address; no action at all means observed."""
+def firewall_outcome(logs, keep=None) -> DataFrame:
+    """Allowed and blocked traffic per address; no action at all means observed.  The
+    destinations are all (for display at most ``keep``)."""
     allowed, blocked = C.is_allowed(c("action")), C.is_blocked(c("action"))
     acted = F.trim("action") != ""
     per = logs.groupBy(KEY, "dst_ip").agg(
@@ -155,9 +156,9 @@ def targeted_accounts(logs, keep=10) -> DataFrame:
 
 
 def top_rules(logs, keep=8) -> DataFrame:
-    """Rules fired, keyed by id or else by the first 60 characters of the text."""
+    """Rules fired, keyed by id or else by their text."""
     text, rid = F.trim("rule"), F.trim("rule_id")
-    key = F.coalesce(F.nullif(rid, F.lit("")), F.substring(text, 1, 60))
+    key = F.coalesce(F.nullif(rid, F.lit("")), text)
     per = (logs.where(text != "").groupBy(KEY, key.alias("rule_key"))
            .agg(row_count("events"), F.min_by(F.struct("rule", "severity"), "ts").alias("first")))
     return top_per(per, [KEY], [F.desc("events"), "rule_key"], keep).select(KEY, "rule_key", "events", "first.*")

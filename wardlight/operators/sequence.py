@@ -118,9 +118,13 @@ def gap_statistics(df: DataFrame, keys: list[str], number: Column, ts: str = "ts
                          F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std_gap"))
 
 
-def top_per(df: DataFrame, keys: list[str], order: list, limit: int, rank: str | None = None) -> DataFrame:
-    """First ``limit`` rows of each key; Spark cuts each task's rows to the limit
-    before the shuffle, so a huge key does not travel whole."""
+def top_per(df: DataFrame, keys: list[str], order: list, limit: int | None, rank: str | None = None) -> DataFrame:
+    """First ``limit`` rows of each key (None: all); Spark cuts each task's rows to the
+    limit before the shuffle, so a huge key does not travel whole."""
+    if limit is None and rank is None:
+        return df
     spot = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    kept = df.withColumn("_rank", spot).where(F.col("_rank") <= limit)
+    kept = df.withColumn("_rank", spot)
+    if limit is not None:
+        kept = kept.where(F.col("_rank") <= limit)
     return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")

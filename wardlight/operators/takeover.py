@@ -13,19 +13,21 @@ _HOUR = 3_600_000_000
 def failures_before(events, tie="event_id") -> DataFrame:
     """Successes with the failures of the same user and address in the hour before.
 
-    Every failure is placed in its own and the next hour slice, so a slice holds
-    all that its successes look back on, and a busy pair is spread over slices."""
+    Failures are counted per instant first.  Every count is placed in its own and the
+    next hour slice, so a slice holds all that its successes look back on, and a busy
+    pair is spread over slices."""
     at = F.unix_micros("ts")
     hour = F.floor(at / _HOUR)
     failed = c("threat_type").isin(X.FAILURE_TYPES) & (c("src_ip") != "")
-    spots = F.when(failed, F.array(hour, hour + 1)).otherwise(F.array(hour))
-    placed = (events.where(failed | (c("threat_type") == "login_success"))
-              .select("username", "src_ip", "ts", tie, F.trim("country").alias("country"),
-                      failed.alias("failed"), at.alias("_at"), F.explode(spots).alias("_slice")))
+    lost = (events.where(failed).groupBy("username", "src_ip", "ts").agg(F.count(F.lit(1)).alias("lost"))
+            .select("username", "src_ip", "ts", "lost", F.explode(F.array(hour, hour + 1)).alias("_slice")))
+    won = events.where(~failed & (c("threat_type") == "login_success")).select(
+        "username", "src_ip", "ts", tie, F.trim("country").alias("country"), hour.alias("_slice"))
+    placed = won.unionByName(lost, allowMissingColumns=True).withColumn("_at", at)
     back = (W.partitionBy("username", "src_ip", "_slice").orderBy("_at")
             .rangeBetween(-WINDOW_SECONDS * 1_000_000, 0))
-    count = F.sum(c("failed").cast("long")).over(back)
-    return (placed.withColumn("failures", count).where(~c("failed"))
+    count = F.sum(F.coalesce("lost", F.lit(0))).over(back)
+    return (placed.withColumn("failures", count).where("lost is null")
             .select("username", "src_ip", "ts", tie, "country", "failures"))
 
 

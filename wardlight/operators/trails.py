@@ -26,7 +26,7 @@ def trail(logs, field, value, limit=200, newest_first=True, days=0, as_of=None):
     if days:
         rows = since(rows, ago(moment(as_of, logs), days=days))
     order = [F.desc("ts"), F.desc(_key(rows))] if newest_first else ["ts", _key(rows)]
-    return rows.orderBy(*order).limit(min(limit, 100_000))
+    return rows.orderBy(*order).limit(limit)
 
 
 def newest_per(logs, column="src_ip", limit=20):
@@ -55,7 +55,7 @@ def recent_logs(logs, minutes=0, start="", end="", severities=(), min_level=0, s
     if search.strip():
         text = search.strip().lower()
         rows = rows.where(reduce(lambda a, b: a | b, [F.lower(s).contains(text) for s in SEARCHED]))
-    return rows.orderBy(F.desc("ts"), _key(rows)).limit(min(limit, 5000))
+    return rows.orderBy(F.desc("ts"), _key(rows)).limit(limit)
 
 
 def login_events(logs, days=0, as_of=None):
@@ -67,7 +67,7 @@ def hot_ip_cells(rollup, size=30):
     """Threat and severity counts of the hottest addresses (at most ``size`` of
     them, so the joined side is small by construction)."""
     hot = hot_ips(rollup, size).withColumnRenamed("events", "total")
-    return (rollup.join(F.broadcast(hot), "src_ip").groupBy("src_ip", "total", "threat_type", "severity")
+    return (rollup.join(hot, "src_ip").groupBy("src_ip", "total", "threat_type", "severity")
             .agg(F.sum("events").alias("events")))
 
 
@@ -82,7 +82,7 @@ def hot_ip_summaries(rollup, logs, size=30, names=8):
         .groupBy("src_ip").agg(as_map("threat_type").alias("threat_types"))
     severities = cells.groupBy("src_ip", "total", "severity").agg(F.sum("events").alias("events")) \
         .groupBy("src_ip", "total").agg(as_map("severity").alias("severities"), F.sum("events").alias("total_all"))
-    hot = F.broadcast(hot_ips(rollup, size).select("src_ip"))
+    hot = hot_ips(rollup, size).select("src_ip")
     seen = logs.join(hot, "src_ip", "left_semi")
     times = seen.groupBy("src_ip").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     who = (seen.groupBy("src_ip", C.person(c("username"), c("target_user"), c("agent")).alias("user"),

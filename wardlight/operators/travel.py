@@ -11,7 +11,6 @@ c = F.col
 SAME_SECONDS = 5.0
 LEAST_KM = 400.0
 FASTEST_KMH = 900.0
-LONG_SESSION = 2_000
 _MICROS = int(SAME_SECONDS * 1_000_000)
 
 
@@ -36,20 +35,7 @@ def sessions(placed) -> DataFrame:
     return with_latest_mark(marked, ["username"], order, "session")
 
 
-def _folded_anchors(points) -> DataFrame:
-    """Cluster starts of short runs: a fold over the run's sorted times.  The first
-    time starts a cluster, and so does the first one past the last cluster's end."""
-    times = F.array_sort(F.collect_set(F.unix_micros("ts")))
-    none = F.array().cast("array<bigint>")
-    step = lambda acc, t: F.when(
-        F.size(acc) == 0, F.array(t)).when(
-        t - F.element_at(acc, -1) > _MICROS, F.concat(acc, F.array(t))).otherwise(acc)
-    return (points.groupBy("username", "session").agg(times.alias("t"))
-            .select("username", "session", F.explode(F.aggregate("t", none, step)).alias("at"))
-            .select("username", "session", F.timestamp_micros("at").alias("anchor")))
-
-
-def _jumped_anchors(points) -> DataFrame:
+def _anchors(points) -> DataFrame:
     """Cluster starts of runs of any length, without holding a run in one task.
 
     From any time the next start is the first later time past the window; inside a
@@ -81,28 +67,25 @@ def _jumped_anchors(points) -> DataFrame:
     return found.select("username", "session", F.timestamp_micros("at").alias("anchor"))
 
 
-def clusters(placed, long_session=LONG_SESSION) -> DataFrame:
+def clusters(placed) -> DataFrame:
     """Events with the start of their five-second cluster, for runs that span more
     than one country (others cannot hold a finding)."""
-    return clusters_of(checkpointed(placed.sparkSession, sessions(placed)), long_session)
+    return clusters_of(checkpointed(placed.sparkSession, sessions(placed)))
 
 
-def clusters_of(runs, long_session=LONG_SESSION) -> DataFrame:
+def clusters_of(runs) -> DataFrame:
     """As :func:`clusters`, over events already marked with their run."""
     size = runs.groupBy("username", "session").agg(
-        F.count(F.lit(1)).alias("n"), F.min("country").alias("a"), F.max("country").alias("b"))
-    mixed = size.where("a <> b").select("username", "session", (c("n") > long_session).alias("long"))
-    kept = runs.join(mixed, ["username", "session"])
-    anchors = _folded_anchors(kept.where("not long"))
-    if not mixed.where("long").isEmpty():
-        anchors = anchors.unionByName(_jumped_anchors(kept.where("long")))
+        F.min("country").alias("a"), F.max("country").alias("b"))
+    kept = runs.join(size.where("a <> b").select("username", "session"), ["username", "session"])
+    anchors = _anchors(kept)
     # a cluster lasts five seconds at most: each event looks up the anchors of its
     # own and the previous ten-second box
     box = lambda t: F.floor(F.unix_micros(t) / (2 * _MICROS))
     boxes = anchors.select("username", "session", "anchor", F.explode(F.array(box("anchor"), box("anchor") + 1)).alias("box"))
     paired = (kept.withColumn("box", box("ts")).join(boxes, ["username", "session", "box"])
               .where((c("anchor") <= c("ts")) & (F.unix_micros("ts") - F.unix_micros("anchor") <= _MICROS)))
-    return paired.drop("box", "long")
+    return paired.drop("box")
 
 
 def simultaneous(clustered) -> DataFrame:
@@ -149,8 +132,9 @@ def sequential(placed) -> DataFrame:
         F.array_sort(F.array("one", "two")).alias("countries"), F.lit(False).alias("same_instant"))
 
 
-def impossible_travel(events, tie="event_id", per_user=25) -> DataFrame:
-    """Simultaneous findings, and sequential ones over the events outside them."""
+def impossible_travel(events, tie="event_id", per_user=None) -> DataFrame:
+    """Simultaneous findings, and sequential ones over the events outside them; all of
+    them, or a user's ``per_user`` worst."""
     spark = events.sparkSession
     # both are read several times below; the second is only a small part of the first
     runs = checkpointed(spark, sessions(placed_events(events, tie)))

@@ -11,7 +11,7 @@ from .counts import entity_aggregates
 from .sequence import top_per
 
 c = F.col
-SETS = {"agent": ("hosts", 20), "country": ("countries", 15), "dst_port": ("ports", 25), "src_ip": ("srcs", 15)}
+SETS = {"agent": "hosts", "country": "countries", "dst_port": "ports", "src_ip": "srcs"}
 
 
 def peer_outliers(rows, least_z=2.5) -> DataFrame:
@@ -37,8 +37,9 @@ def peer_outliers(rows, least_z=2.5) -> DataFrame:
                     drivers.alias("drivers")))
 
 
-def entity_outliers(logs, column="username", limit=500) -> DataFrame:
-    return peer_outliers(entity_aggregates(logs, column, limit))
+def entity_outliers(logs, column="username") -> DataFrame:
+    """Mean and deviation are those of all entities."""
+    return peer_outliers(entity_aggregates(logs, column))
 
 
 def people(logs) -> DataFrame:
@@ -63,7 +64,7 @@ def user_values(rows, day_start) -> DataFrame:
     country, port, source, hour and date of a user occurs before and within the
     last day.  Counted per combination first, then unrolled."""
     new = c("ts") >= day_start
-    keys = {name: F.nullif(column, F.lit("")) for column, (name, _) in SETS.items()}
+    keys = {name: F.nullif(column, F.lit("")) for column, name in SETS.items()}
     keys |= {"hours": F.hour("ts").cast("string"), "dates": F.date_format("ts", "yyyy-MM-dd")}
     combos = rows.groupBy("username", *[k.alias(n) for n, k in keys.items()]).agg(
         F.count_if(~new).alias("base"), F.count_if(new).alias("day"))
@@ -73,9 +74,16 @@ def user_values(rows, day_start) -> DataFrame:
             .groupBy("username", "dimension", "value").agg(F.sum("base").alias("base"), F.sum("day").alias("day")))
 
 
-def user_profiles(logs, days=30, as_of=None, least=5) -> DataFrame:
+def new_values(values) -> DataFrame:
+    """Values of the last day that a user never had before, from the long form of
+    :func:`user_values`, so all known values count."""
+    return values.where((c("day") > 0) & (c("base") == 0))
+
+
+def user_profiles(logs, days=30, as_of=None, least=5, listed=None) -> DataFrame:
     """Per user: counts, exact numbers of old, current and new values per dimension,
-    the first values of each in order, hour maps and the last seven days."""
+    the values of each in order (for display; at most ``listed``), hour maps and the
+    last seven days."""
     now = moment(as_of, logs)
     start = ago(now, days=1)
     rows = people(since(logs, ago(now, days=days)))
@@ -83,16 +91,16 @@ def user_profiles(logs, days=30, as_of=None, least=5) -> DataFrame:
     scalars = user_scalars(rows, start, least)
     in_dim = lambda d: c("dimension") == d
     sums = []
-    for _, (name, _) in SETS.items():
+    for name in SETS.values():
         sums += [F.count_if(in_dim(name) & (c("base") > 0)).alias(f"{name}_base_n"),
                  F.count_if(in_dim(name) & (c("day") > 0)).alias(f"{name}_24_n"),
                  F.count_if(in_dim(name) & (c("day") > 0) & (c("base") == 0)).alias(f"{name}_new_n")]
     counted = values.groupBy("username").agg(*sums)
-    listed = []
-    for _, (name, size) in SETS.items():
+    shown = []
+    for name in SETS.values():
         for side, flag in (("base", "base"), ("24", "day")):
-            best = top_per(values.where(in_dim(name) & (c(flag) > 0)), ["username"], ["value"], size)
-            listed.append(best.groupBy("username").agg(F.array_sort(F.collect_list("value")).alias(f"{name}_{side}")))
+            best = top_per(values.where(in_dim(name) & (c(flag) > 0)), ["username"], ["value"], listed)
+            shown.append(best.groupBy("username").agg(F.array_sort(F.collect_list("value")).alias(f"{name}_{side}")))
     as_map = lambda cond, col: F.map_from_entries(F.array_sort(F.collect_list(F.when(cond, F.struct("value", col)))))
     week = F.date_format(ago(now, days=7), "yyyy-MM-dd")
     maps = values.where("dimension in ('hours', 'dates')").withColumn("both", c("base") + c("day")) \
@@ -101,7 +109,7 @@ def user_profiles(logs, days=30, as_of=None, least=5) -> DataFrame:
             as_map(in_dim("hours") & (c("day") > 0), "day").alias("hours_24"),
             as_map(in_dim("dates") & (c("value") >= week), "both").alias("days_7"))
     out = scalars.join(counted, "username").join(maps, "username")
-    for part in listed:
+    for part in shown:
         out = out.join(part, "username", "left")
     return out
 
@@ -134,8 +142,8 @@ def user_risk(logs, travel=None, days=30, as_of=None) -> DataFrame:
              .join(off_hours(values), "username", "left"))
     peers = peer_outliers(users.select(
         c("username").alias("entity"), c("ev_24").alias("events"), c("crit_24").alias("crit"),
-        F.least("ports_24", F.lit(25)).alias("dsts"), F.least("ports_24", F.lit(25)).alias("ports"),
-        F.least("countries_24", F.lit(15)).alias("countries"), F.least("srcs_24", F.lit(15)).alias("srcs")))
+        c("ports_24").alias("dsts"), c("ports_24").alias("ports"), c("countries_24").alias("countries"),
+        c("srcs_24").alias("srcs")))
     users = users.join(peers.select(c("entity").alias("username"), c("max_z").alias("peer_z")), "username", "left")
     if travel is None:
         users = users.withColumn("travels", F.lit(0))

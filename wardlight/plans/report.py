@@ -25,7 +25,7 @@ def global_statistics(rollup, newest) -> DataFrame:
         row(newest.agg(row_count("n")), "total_alerts", none, c("n")),
         row(K.global_threats(rollup), "threat_counts", c("threat_type"), c("events")),
         row(K.global_severities(rollup), "severity_counts", c("severity"), c("events")),
-        row(K.hot_ips(rollup, 100), "hot_ips", c("src_ip"), c("events")),
+        row(K.hot_ips(rollup), "hot_ips", c("src_ip"), c("events")),
         row(K.alert_type_counts(newest), "alert_types", c("type"), c("alerts")),
         row(critical, "critical_ips", c("ip"), F.lit(1)),
     ]
@@ -58,7 +58,7 @@ def report_tables(logs, newest, blocks, incidents, timeframe="weekly", as_of=Non
     rows = since(logs, ago(now, days=days))
     rollup = R.daily(rows)
     threats = K.global_threats(rollup, limit=6)
-    hot = F.broadcast(K.hot_ips(rollup, 10).select("src_ip"))
+    hot = K.hot_ips(rollup, 10).select("src_ip")
     cells = rollup.join(hot, "src_ip").groupBy("src_ip", "threat_type").agg(F.sum("events").alias("events"))
     driver = cells.groupBy("src_ip").agg(
         F.sum("events").alias("events"), F.max_by("threat_type", F.struct("events", "threat_type")).alias("driver"))

@@ -37,7 +37,7 @@ def latest_deviations(df, severity=None, ip=None, tiebreak=None) -> DataFrame:
 
 def newest_alerts(df, limit=500, severity=None, ip=None, tiebreak=None) -> DataFrame:
     return (latest_deviations(df, severity, ip, tiebreak)
-            .orderBy(F.desc("ts"), "ip", "type").limit(min(limit, 5000)))
+            .orderBy(F.desc("ts"), "ip", "type").limit(limit))
 
 
 def active_blocks(df, tiebreak=None) -> DataFrame:
