@@ -1,9 +1,12 @@
 """Micro-batches: replay, caps, late rows, and the same answers as in batch."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from wardlight.operators import baseline as B, rollups as R
 from wardlight.plans.sample_logs import AS_OF
+from wardlight.sources import store
 from wardlight.streaming import ingest as G
 
 
@@ -55,3 +58,37 @@ def test_compaction_keeps_the_sums(spark, plogs, tmp_path):
     out = G.compacted(spark, root, "agg_ip_daily", str(tmp_path / "b"))
     assert out.agg(F.sum("events")).first()[0] == rows.count()
     assert out.count() == R.daily(rows).count()
+
+
+def test_every_table_is_compacted(spark, plogs, tmp_path):
+    root = str(tmp_path / "a")
+    rows = plogs.drop("event_id").withColumn("ingested_at", F.lit("2024-02-01 00:00:10").cast("timestamp"))
+    base = B.build_baselines(plogs, AS_OF).persist()
+    for i in range(2):
+        G.store_batch(rows.where(F.col("rule_level") % 2 == i), i, root, cap=400, baselines=base)
+    for table in G.TABLES:
+        before = G.read_table(spark, root, table)
+        after = G.compacted(spark, root, table, str(tmp_path / "b"))
+        assert sorted(after.columns) == sorted(before.columns) and {r[0] for r in after.select("batch").distinct().collect()} == {-1}
+        if table in ("logs", "minutes"):
+            total = F.count(F.lit(1)) if table == "logs" else F.sum("rows")
+            assert after.agg(total).first() == before.agg(total).first()
+    with pytest.raises(ValueError):
+        G.compacted(spark, root, "other", str(tmp_path / "b"))
+
+
+def test_a_retry_without_a_day_leaves_no_rows_of_it(spark, plogs, tmp_path):
+    root, rows = str(tmp_path), plogs.drop("event_id")
+    G.store_batch(rows, 0, root)
+    part = rows.where(F.to_date("ts") != F.lit("2024-01-20").cast("date"))
+    G.store_batch(part, 0, root)
+    assert 0 < G.read_table(spark, root, "logs").count() == part.count() < rows.count()
+
+
+def test_expired_rows_are_deleted(spark, plogs, tmp_path):
+    path, as_of = str(tmp_path / "logs"), "2024-04-25 12:00:00"
+    store.write_logs(plogs.drop("day"), path)
+    want = sorted(r["event_id"] for r in store.kept_logs(plogs, as_of).select("event_id").collect())
+    days = store.rewrite_expired(spark, path, as_of)
+    assert days and sorted(r["event_id"] for r in store.read_logs(spark, path).select("event_id").collect()) == want
+    assert 0 < len(want) < plogs.count()

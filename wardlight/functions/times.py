@@ -4,8 +4,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def moment(as_of, df: DataFrame | None = None, ts: str = "ts") -> Column:
-    """The moment a question is asked: a given time, else the newest row."""
+    """The moment a question is asked: a given time, else the newest row (looked up in
+    the newest day partition, where there are any)."""
     if as_of is None:
+        if ts == "ts" and "day" in df.columns:
+            df = df.where(F.col("day") == df.select(F.max("day")).scalar())
         return df.select(F.max(ts)).scalar()
     if isinstance(as_of, Column):
         return as_of

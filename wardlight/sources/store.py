@@ -2,7 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.times import ago, moment
+from ..functions.times import ago, moment, since, until
+from ..session import checkpointed
 
 
 def write_logs(df: DataFrame, path: str, mode: str = "append", spread: int = 64) -> None:
@@ -31,7 +32,8 @@ def kept_logs(df: DataFrame, as_of=None) -> DataFrame:
     """Mild rows live 90 days, all others 180."""
     mild = F.coalesce(F.col("severity"), F.lit("")).isin("low", "medium", "unknown", "")
     days = F.when(mild, 90).otherwise(180)
-    return df.where(F.col("ts") + F.make_dt_interval(days) > moment(as_of, df))
+    now = moment(as_of, df)
+    return since(df, ago(now, days=180)).where(F.col("ts") + F.make_dt_interval(days) > now)
 
 
 def kept_rows(df: DataFrame, table: str, as_of=None) -> DataFrame:
@@ -43,12 +45,37 @@ def kept_rows(df: DataFrame, table: str, as_of=None) -> DataFrame:
 def older_than(df: DataFrame, retain_days: int = 90, as_of=None) -> DataFrame:
     """Count of rows a clean-up would delete."""
     bound = ago(moment(as_of, df), days=retain_days)
-    return df.where(F.col("ts") < bound).agg(F.count(F.lit(1)).alias("archived"))
+    return until(df, bound).agg(F.count(F.lit(1)).alias("archived"))
 
 
 def newer_than(df: DataFrame, retain_days: int = 90, as_of=None) -> DataFrame:
     """Rows a clean-up leaves."""
-    return df.where(F.col("ts") >= ago(moment(as_of, df), days=retain_days))
+    return since(df, ago(moment(as_of, df), days=retain_days))
+
+
+def rewrite_expired(spark: SparkSession, path: str, as_of) -> list[str]:
+    """Deletes expired rows of day partitions that hold rows of both lifetimes: days of
+    90 to 180 days' age are written anew without their mild rows, in the partition's own
+    place; days past 180 days go whole.  Returns the rewritten days."""
+    drop_old_days(spark, path, 181, as_of)
+    now = moment(as_of)
+    rows = read_logs(spark, path)
+    mixed = rows.where((F.col("day") >= F.to_date(ago(now, days=181))) & (F.col("day") <= F.to_date(ago(now, days=90))))
+    days = sorted(str(r["day"]) for r in mixed.select("day").distinct().collect())
+    if days:
+        left = checkpointed(spark, kept_logs(mixed, as_of))     # read before its own files are replaced
+        (left.repartition("day", "src_ip", F.pmod(F.hash("ts"), F.lit(64))).sortWithinPartitions("day", "src_ip", "ts")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
+        kept = {str(r["day"]) for r in left.select("day").distinct().collect()}
+        _drop_days(spark, path, [d for d in days if d not in kept])
+    return days
+
+
+def _drop_days(spark: SparkSession, path: str, days: list[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for day in days:
+        spot = jvm.org.apache.hadoop.fs.Path(f"{path}/day={day}")
+        spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(spot, True)
 
 
 def drop_old_days(spark: SparkSession, path: str, retain_days: int, as_of) -> list[str]:

@@ -18,11 +18,26 @@ TABLES = ("logs", "agg_ip_daily", "agg_threat_hourly", "first_seen", "deviations
 
 
 def replace_batch(df: DataFrame, root: str, table: str, batch: int, by_day: bool = False) -> None:
-    """Write a batch's part of a table; its earlier part, if any, is replaced."""
+    """Write a batch's part of a table; its earlier part, if any, is replaced, also where
+    a retry no longer has rows of a day."""
     out = df.withColumn("batch", F.lit(batch))
     parts = ["day", "batch"] if by_day else ["batch"]
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*parts).parquet(f"{root}/{table}"))
+    if by_day:
+        _drop_other_days(df, root, table, batch)
+
+
+def _drop_other_days(df: DataFrame, root: str, table: str, batch: int) -> None:
+    """Removes the batch's partitions of days that it does not hold."""
+    spark = df.sparkSession
+    days = {str(r["day"]) for r in df.select("day").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    spot = jvm.org.apache.hadoop.fs.Path(f"{root}/{table}/day=*/batch={batch}")
+    fs = spot.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for entry in fs.globStatus(spot) or []:
+        if entry.getPath().getParent().getName().removeprefix("day=") not in days:
+            fs.delete(entry.getPath(), True)
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -42,6 +57,7 @@ def store_batch(rows: DataFrame, batch: int, root: str, cap: int = 0, baselines=
     """Everything one micro-batch leaves behind."""
     spark = in_utc(rows.sparkSession)
     rows = rows.persist()
+    kept = rows
     try:
         kept = capped(rows, batch, root, cap) if cap else rows
         if baselines is not None:                 # judged against the old state first
@@ -54,23 +70,26 @@ def store_batch(rows: DataFrame, batch: int, root: str, cap: int = 0, baselines=
         replace_batch(R.hourly(kept), root, "agg_threat_hourly", batch)
         replace_batch(R.first_seen(kept), root, "first_seen", batch)
     finally:
+        kept.unpersist()
         rows.unpersist()
 
 
 def capped(rows: DataFrame, batch: int, root: str, cap: int) -> DataFrame:
     """At most ``cap`` rows per arrival minute over all batches.  Counts of earlier
-    batches come from a small table; a task only passes on ``cap`` rows a minute."""
+    batches come from a small table; a task only passes on ``cap`` rows a minute.  Ties
+    are broken by a hash of the row, so a batch that is tried again keeps the same rows.
+    The result is persisted; the caller frees it."""
     spark = rows.sparkSession
     minute = F.date_trunc("minute", "ingested_at")
-    best = alerts.capped_per_minute(rows.withColumn("_ts", c("ts")).withColumn("ts", c("ingested_at")), cap,
-                                    ["ts", "_ts", "src_ip"]).withColumn("ts", c("_ts")).drop("_ts")
+    tied = rows.withColumn("_tie", F.xxhash64(*rows.columns)).withColumn("_ts", c("ts")).withColumn("ts", c("ingested_at"))
+    best = alerts.capped_per_minute(tied, cap, ["ts", "_ts", "src_ip", "_tie"]).withColumn("ts", c("_ts")).drop("_ts")
     past = _earlier(spark, root, "minutes", batch)
     if past is not None:
         used = past.groupBy("minute").agg(F.sum("rows").alias("used"))
-        spot = F.row_number().over(W.partitionBy("minute").orderBy("ts", "src_ip"))
+        spot = F.row_number().over(W.partitionBy("minute").orderBy("ingested_at", "ts", "src_ip", "_tie"))
         best = (best.withColumn("minute", minute).join(used, "minute", "left").withColumn("_spot", spot)
                 .where(c("_spot") + F.coalesce("used", F.lit(0)) <= cap).drop("minute", "used", "_spot"))
-    best = best.persist()
+    best = best.drop("_tie").persist()
     counts = best.groupBy(minute.alias("minute")).agg(F.count(F.lit(1)).alias("rows"))
     replace_batch(counts, root, "minutes", batch)
     return best
@@ -154,15 +173,22 @@ def closed_hours(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def compacted(spark: SparkSession, root: str, table: str, target: str) -> DataFrame:
-    """Partial rollups merged into one row per key, written to another folder."""
+    """A table's batches merged, written to another folder: rollups, counts and states
+    to one row per key, log rows into one sorted part per day."""
+    if table not in TABLES:
+        raise ValueError(f"{table}: one of {', '.join(TABLES)} is wanted")
     parts = read_table(spark, root, table).drop("batch")
-    if table == "first_seen":
-        out = R.merged_first_seen(parts)
-    elif table == "recent":
-        out = B.newest_rows(parts, B.CONTEXT)
-    else:
-        out = R.summed(parts, R.DAILY_KEYS if table == "agg_ip_daily" else R.HOURLY_KEYS)
-    out.withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("batch").parquet(f"{target}/{table}")
+    merge = {
+        "logs": lambda: parts.repartition("day", "src_ip", F.pmod(F.hash("ts"), F.lit(64))).sortWithinPartitions("day", "src_ip", "ts"),
+        "agg_ip_daily": lambda: R.summed(parts, R.DAILY_KEYS),
+        "agg_threat_hourly": lambda: R.summed(parts, R.HOURLY_KEYS),
+        "first_seen": lambda: R.merged_first_seen(parts),
+        "deviations": lambda: B.newest_alerts(parts),
+        "recent": lambda: B.newest_rows(parts, B.CONTEXT),
+        "minutes": lambda: parts.groupBy("minute").agg(F.sum("rows").alias("rows")),
+    }
+    keys = ["day", "batch"] if table == "logs" else ["batch"]
+    merge[table]().withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy(*keys).parquet(f"{target}/{table}")
     return spark.read.parquet(f"{target}/{table}")
 
 
