@@ -33,7 +33,7 @@ from wardlight.session import checkpointed
 K, EVERY = 5, 50
 DATA_BLOCK, QUERY_BLOCK = 4096, 4096
 SAMPLE, MOST_PIVOTS = 2048, 256
-LEAF, FANOUT, SHARE = 64, 16, 1 / 1.3
+LEAF, FANOUT, SHARE = 128, 16, 1 / 1.3
 _NO_ID = np.iinfo(np.int64).max
 _EXACT = float(1 << 53)
 
@@ -91,13 +91,18 @@ class Search:
         self.best = [(np.zeros(0, np.int64),) * 3 for _ in rows]
         self.worst = floor.astype(np.float64)
 
-    def add(self, places, points, ids, rows):
-        scores = _products(self.queries[places], points)
-        for at, line in zip(places, scores):
-            good = np.flatnonzero((line >= self.worst[at]) & (rows != self.rows[at]))
+    def add(self, places, points, ids, rows, small):
+        """small: no inner product is beyond what doubles hold exactly."""
+        asked = self.queries[places]
+        scores = asked @ points.T if small else _products(asked, points)
+        above = scores >= self.worst[places][:, None]
+        for q in np.flatnonzero(above.any(axis=1)):
+            at = places[q]
+            good = np.flatnonzero(above[q] & (rows != self.rows[at]))
             if not len(good):
                 continue
-            s, i, r = (np.concatenate(x) for x in zip(self.best[at], (line[good], ids[good], rows[good])))
+            line = scores[q, good].astype(np.int64)
+            s, i, r = (np.concatenate(x) for x in zip(self.best[at], (line, ids[good], rows[good])))
             keep = np.lexsort((r, i, -s))[:self.k]
             self.best[at] = s[keep], i[keep], r[keep]
             if len(keep) == self.k:
@@ -108,6 +113,7 @@ def dual_search(search: Search, qtree: CoverTree, points, ids, rows, dtree: Cove
     """Adds a data block to a search."""
     if not len(points) or not len(search.rows):
         return
+    small = np.abs(search.queries).max() * np.abs(points).max() * points.shape[1] < _EXACT
 
     def bound(q, d):
         exact = qtree.centre[q] @ dtree.centre[d]
@@ -123,7 +129,7 @@ def dual_search(search: Search, qtree: CoverTree, points, ids, rows, dtree: Cove
         qs, ds = qtree.children[q], dtree.children[d]
         if not qs and not ds:
             part = dtree.order[slice(*dtree.span[d])]
-            search.add(places, points[part], ids[part], rows[part])
+            search.add(places, points[part], ids[part], rows[part], small)
         elif ds and (not qs or dtree.radius[d] >= qtree.radius[q]):
             todo += sorted((bound(q, c), q, c) for c in ds)             # the best is taken first
         else:
