@@ -7,8 +7,9 @@ first; a last gap that no waiting piece fits is filled by cutting one.  Closed w
 of a tier are dealt to step groups of equal token counts, and the groups of one deal
 get like attention costs (the sum of squared piece lengths).
 
-A task packs the rows it reads, so nothing is shuffled.  It holds at most ``waiting``
-pieces a tier, each shorter than that tier, and one deal of closed windows.  At its end
+A task packs the rows it reads, so nothing is shuffled.  A tier waits for ``waiting``
+pieces and the ids of a window, so a task holds a bounded number of ids and one deal of
+closed windows.  At its end
 the waiting ids fill windows of the longest tier, and the rest is cut into powers of
 two, so no window has padding.  Sequence and group numbers hold the partition's number,
 so a task that runs again on the same rows gives the same result.
@@ -49,6 +50,7 @@ class Packer:
         self.tiers, self.step_tokens, self.waiting, self.deals = sorted(tiers), step_tokens, waiting, deals
         self.sequence = self.group = partition * PART
         self.pool = {t: [] for t in self.tiers}         # (length, number, doc_id, start, ids, doc_tokens), by length
+        self.held = dict.fromkeys(self.tiers, 0)        # ids in a pool
         self.closed = {t: [] for t in self.tiers}
         self.number, self.rows = 0, []
 
@@ -69,24 +71,30 @@ class Packer:
             return
         self.number += 1
         insort(self.pool[tier], (length, self.number, piece))
-        if len(self.pool[tier]) >= self.waiting:
+        self.held[tier] += length
+        if len(self.pool[tier]) >= self.waiting and sum(self.held[t] for t in self.tiers if t <= tier) >= tier:
             self._fill(tier)
 
+    def _take(self, tier, at):
+        length, _, piece = self.pool[tier].pop(at)
+        self.held[tier] -= length
+        return length, piece
+
     def _fill(self, tier):
         """Opens a window with the tier's longest piece and closes it full."""
         gap, pieces = tier, []
-        length, _, piece = self.pool[tier].pop()
+        length, piece = self._take(tier, -1)
         pieces.append(piece)
         gap -= length
         lower = [t for t in self.tiers if t <= tier][::-1]
         for t in lower:
             while gap and (at := bisect_right(self.pool[t], (gap, self.number + 1))):
-                length, _, piece = self.pool[t].pop(at - 1)
+                length, piece = self._take(t, at - 1)
                 pieces.append(piece)
                 gap -= length
         if gap:                                         # every waiting piece is longer than the gap
-            pool = next(self.pool[t] for t in reversed(lower) if self.pool[t])
-            doc_id, start, ids, tokens = pool.pop(0)[2]
+            shortest = next(t for t in reversed(lower) if self.pool[t])
+            doc_id, start, ids, tokens = self._take(shortest, 0)[1]
             pieces.append((doc_id, start, ids[:4 * gap], tokens))
             self._close(tier, pieces)
             self._route((doc_id, start + gap, ids[4 * gap:], tokens))
@@ -116,7 +124,7 @@ class Packer:
 
     def finish(self):
         left = [entry[2] for t in reversed(self.tiers) for entry in self.pool[t]]
-        self.pool = {t: [] for t in self.tiers}
+        self.pool, self.held = {t: [] for t in self.tiers}, dict.fromkeys(self.tiers, 0)
         total, top = sum(len(p[2]) // 4 for p in left), self.tiers[-1]
         while total:
             tier = gap = top if total >= top else 1 << (total.bit_length() - 1)
