@@ -52,7 +52,7 @@ class Encoder:
     right for each tokenizer that drops white space.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
         tokenizer = Tokenizer.from_file(path)
         model, letters = tokenizer.model, _byte_letters()

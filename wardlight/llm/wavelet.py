@@ -41,6 +41,8 @@ BLOCK = 1 << 16                                         # bits
 END_ID = 2
 SHARD_TOKENS = 4_000_000
 _FILES = "part long, number long, path string, first long, documents long, tokens long, bytes long"
+_WRITTEN = pa.schema([(n, pa.string() if n == "path" else pa.int64()) for n in
+                      ("part", "number", "path", "first", "documents", "tokens", "bytes")])
 _BY_DOC = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()),
                      ("ids_crc32", pa.int64())])
 
@@ -191,7 +193,7 @@ def _written(path, end_id, folder, shard_tokens):
             row = {"part": part, "number": number, "path": f"{folder}/{name}", "first": docs[0],
                    "documents": len(docs), "tokens": size, "bytes": len(content)}
             number, ids, docs, size = number + 1, [], [], 0
-            return pa.RecordBatch.from_pylist([row])
+            return pa.RecordBatch.from_pylist([row], schema=_WRITTEN)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids.append(encode(text.as_py()) + end)
