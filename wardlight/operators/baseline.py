@@ -1,7 +1,5 @@
 """Normal behaviour of every address, and events that deviate from it."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import columns as C, fixed as X

@@ -78,9 +78,6 @@ def rare_binaries(ledger, most=2) -> DataFrame:
             .where(c("on_agents") <= most))
 
 
-LISTED = {"agent": 60, "user_host": 60, "binary": 60, "country": 30, "port": 30}
-
-
 def first_seen_summary(ledger, days=7, as_of=None) -> DataFrame:
     """Learning mode (history under two windows), novelties and rare binaries."""
     now = moment(as_of, ledger, "first_ts")

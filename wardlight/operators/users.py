@@ -1,7 +1,5 @@
 """User and host risk: own baseline against the last day, and peer outliers."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import columns as C, fixed as X
