@@ -67,3 +67,16 @@ def test_tree_matching_like_brute_force_and_merging_keeps_both():
         assert size(both) == size(a) + size(b) - dom.matched(a, b)[0]
         numbers = dom.numbered(both)
         assert len(dom.assign(both, numbers, a)) == size(a) and len(set(numbers.values())) == size(both)
+
+
+def test_constant_words_beside_blocks_take_no_block_with_them(spark):
+    rows = [(i, f"http://a.example/{i}", f"<html><body><a href=#c>Skip</a><div><p>Varying article {i} of many words</p></div></body></html>")
+            for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<article><div>By <i>staff</i><p>Text {i} of the day</p><br></div></article>") for i in range(6)]
+    rows += [(20 + i, f"http://c.example/{i}", f"<body><div class=w>Our label<div><p>Body {i}</p></div><span><b>fixed</b><p>More {i}</p></span></div></body>")
+             for i in range(6)]
+    rows += [(30, "http://d.example/0", "<body><a href=#c>Skip</a><div><p>Only page of its host</p></div></body>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()}
+    assert text == {**{i: f"Varying article {i} of many words" for i in range(6)}, **{10 + i: f"Text {i} of the day" for i in range(6)},
+                    **{20 + i: f"Body {i}\nMore {i}" for i in range(6)}, 30: "Only page of its host"}

@@ -5,7 +5,8 @@ their trees, repeated siblings pooled, are aligned by simple tree matching and m
 Every page is then aligned with its host's template, and for every template node the
 pages that have it, the most frequent text in it and its share of link text are counted
 over all pages.  A node whose text is the same on most pages is template, as is one of
-links; the others are slots.  On a page, what its own markup declares as menu, header,
+links; the others are slots.  A node is judged by its own text, outside of its block
+children, and loses only that: its block children are judged by themselves.  On a page, what its own markup declares as menu, header,
 footer, sidebar, notice, advert, form, script, style or comment goes; if it declares an
 article, that is the main text; else the slots are.
 
@@ -100,23 +101,23 @@ def _mains(node, found):
     return found
 
 
-def _blocks(node, template, in_article, out):
-    """Appends pieces of text, and None at every block's edge."""
+def _blocks(node, template, in_article, out, own=True):
+    """Appends pieces of text, and None at every block's edge.  own: whether the node's own
+    text, that outside of its block children, is no template; each block child is judged by itself."""
     for child in node.children:
         if isinstance(child, str):
-            out.append(child)
+            if own:
+                out.append(child)
             continue
         if child.tag in ("br", "wbr"):
-            out.append(" " if child.tag == "br" else "")
+            if own:
+                out.append(" " if child.tag == "br" else "")
             continue
+        edge = child.tag in dom.BLOCKS
         if _declared(child, in_article):
-            if child.tag in dom.BLOCKS:
+            if edge:
                 out.append(None)
             continue
-        if child.id in template and child.tag in (_CONTAINERS if in_article else dom.BLOCKS):
-            out.append(None)
-            continue
-        edge = child.tag in dom.BLOCKS
         if edge:
             out.append(None)
         if child.tag == "header" and in_article:
@@ -124,8 +125,11 @@ def _blocks(node, template, in_article, out):
                 out.append(None)
                 _blocks(heading, template, True, out)
                 out.append(None)
+        elif edge:
+            _blocks(child, template, in_article, out,
+                    child.id not in template or child.tag not in (_CONTAINERS if in_article else dom.BLOCKS))
         else:
-            _blocks(child, template, in_article, out)
+            _blocks(child, template, in_article, out, own)
         if edge:
             out.append(None)
 
