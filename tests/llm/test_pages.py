@@ -1,4 +1,5 @@
 import itertools
+import pickle
 import random
 
 import pytest
@@ -80,3 +81,26 @@ def test_constant_words_beside_blocks_take_no_block_with_them(spark):
     text = {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()}
     assert text == {**{i: f"Varying article {i} of many words" for i in range(6)}, **{10 + i: f"Text {i} of the day" for i in range(6)},
                     **{20 + i: f"Body {i}\nMore {i}" for i in range(6)}, 30: "Only page of its host"}
+
+
+def test_all_layouts_of_a_host_and_copies_counted_once(spark):
+    def one(i, layout="w", words="Words"):
+        return f"<body><div class={layout}><div class=k>Our fixed notice</div><div class=t><p>{words} {i} vary</p></div></div></body>"
+    rows = [(i, f"http://a.example/{i}", one(i, "lay" + chr(97 + i % 25))) for i in range(125)]
+    rows += [(1000 + i, f"http://b.example/{i}", one(i % 5)) for i in range(50)]
+    rows += [(2000 + i, f"http://c.example/{i}", one(max(0, i - 45))) for i in range(51)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()}
+    assert text == {**{i: f"Words {i} vary" for i in range(125)}, **{1000 + i: f"Words {i % 5} vary" for i in range(50)},
+                    **{2000 + i: f"Words {max(0, i - 45)} vary" for i in range(51)}}
+
+
+def test_partial_merges_hold_every_shape(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "FAN", 2)
+    pages = [f"<body><div class=k{chr(97 + i)}><p>x</p></div></body>" for i in range(20)]
+    frame = spark.createDataFrame([("h", p) for p in pages] + [("g", pages[0])], "host string, html string")
+    got = {r["template_host"]: pickle.loads(r["template"]) for r in wrapper._templates(spark, frame).collect()}
+    assert set(got) == {"h", "g"}
+    for p in pages:
+        form = dom.shape(dom.parse(p))
+        assert len(dom.assign(got["h"], dom.numbered(got["h"]), form)) == 4

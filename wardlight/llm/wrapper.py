@@ -1,17 +1,19 @@
 """Main text of web pages by wrapper induction.
 
-Per host a template is induced from a bounded sample of its pages (``SAMPLE_PAGES``):
-their trees, repeated siblings pooled, are aligned by simple tree matching and merged.
-Every page is then aligned with its host's template, and for every template node the
-pages that have it, the most frequent text in it and its share of link text are counted
-over all pages.  A node whose text is the same on most pages is template, as is one of
-links; the others are slots.  A node is judged by its own text, outside of its block
+Per host a template is induced from all distinct shapes of its pages: their trees,
+repeated siblings pooled, are aligned by simple tree matching and merged, ``FAN`` at a
+time in a tree of partial merges.  Every page is then aligned with its host's template,
+and for every template node the distinct page contents that have it, the most frequent
+text in it and its share of link text are counted.  A page's content is its text without
+what its markup declares to be no main text, so copies count once; a node that repeats
+on a page is one, with all its texts there.  A node whose text is the same on most
+contents is template, as is one of links; the others are slots.  A node is judged by its own text, outside of its block
 children, and loses only that: its block children are judged by themselves.  On a page, what its own markup declares as menu, header,
 footer, sidebar, notice, advert, form, script, style or comment goes; if it declares an
 article, that is the main text; else the slots are.
 
-Counting is by (host, node, text) first, so a host with a third of all pages is no
-single task.  Templates are joined by host, broadcast only if their size is small
+Shapes are counted by (host, shape) and texts by (host, node, text, content) first, so a
+host with a third of all pages is no single task.  Templates are joined by host, broadcast only if their size is small
 (``BROADCAST_BYTES``).
 
 Blocks are joined by a line feed; white space in a block, line breaks among it, is one
@@ -26,22 +28,21 @@ read.
 
 from __future__ import annotations
 
+import itertools
 import pickle
 import re
-from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wardlight.llm import dom
 from wardlight.llm.tables import query, table
 from wardlight.session import checkpointed
 
-SAMPLE_PAGES = 8
+#: Shapes merged by one task at a time.
+FAN = 64
 SAME_PAGES, SAME_SHARE, LINK_SHARE = 4, 0.9, 0.6
-#: On a host whose pages are copies of few, in no node more different texts a page than this, nothing counts as template.
-DIVERSE = 0.3
 BROADCAST_BYTES = 16_000_000
 
 _DROPPED = frozenset("""script style noscript template nav footer aside form button select option input textarea iframe
@@ -165,9 +166,8 @@ def main_text(root: dom.Node, template=frozenset(), links=frozenset()) -> str:
     return "\n".join(_lines(pieces))
 
 
-def induce(pages: list[str]):
-    """The template of some pages of a host."""
-    shapes = [dom.shape(dom.parse(p)) for p in pages]
+def induce(shapes: list):
+    """The template of some shapes of a host, or of templates of parts of them."""
     template = shapes[0]
     for s in shapes[1:]:
         template = dom.merged(template, s)
@@ -212,34 +212,54 @@ def _own_text(node, linked=False):
     return "".join(text), links
 
 
+def _judged(node, inside=False):
+    """Elements of a page whose text the template can decide on: none that its markup drops."""
+    for child in node.elements():
+        if not _declared(child, inside):
+            yield child
+            yield from _judged(child, inside or child.tag in ("article", "main"))
+
+
 def _counted(batches):
     from xxhash import xxh64_intdigest
     aligner = Aligner()
     for batch in batches:
-        seen = defaultdict(lambda: [0, 0, 0])
+        rows = set()
         hosts, packed, sources = (batch.column(i) for i in range(3))
         for host, template, source in zip(hosts.to_pylist(), packed.to_pylist(), sources):
-            root = aligner.page(host, template, source.as_py())
-            todo = [root]
-            while todo:
-                node = todo.pop()
-                todo += node.elements()
-                if node.id is None or node.tag in dom.RAW:
+            root, of = aligner.page(host, template, source.as_py()), {}
+            for node in itertools.chain([root], _judged(root)):
+                if node.id is None or node.tag not in dom.BLOCKS and node is not root:
                     continue
                 text, links = _own_text(node)
                 text = " ".join(text.split())
                 if text:
-                    of = seen[host, node.id, xxh64_intdigest(text) >> 1]
-                    of[0], of[1], of[2] = of[0] + 1, of[1] + len(text), of[2] + min(links, len(text))
-        rows = [(*k, *v) for k, v in seen.items()]
-        yield pa.RecordBatch.from_pylist([dict(zip(("host", "node", "text", "n", "chars", "links"), r)) for r in rows],
-                                         schema=_COUNTS)
+                    had = of.setdefault(node.id, [[], 0])
+                    had[0].append(text)
+                    had[1] += min(links, len(text))
+            joined = {n: "\n".join(texts) for n, (texts, _) in of.items()}
+            content = xxh64_intdigest("\0".join(joined[n] for n in sorted(joined))) >> 1
+            rows.update((host, n, xxh64_intdigest(t) >> 1, content, sum(map(len, of[n][0])), of[n][1]) for n, t in joined.items())
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNTS)] if rows else
+                                         [pa.array([], f.type) for f in _COUNTS], schema=_COUNTS)
 
 
-_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int32()), ("text", pa.int64()), ("n", pa.int64()),
+_COUNTS = pa.schema([("host", pa.string()), ("node", pa.int32()), ("text", pa.int64()), ("content", pa.int64()),
                      ("chars", pa.int64()), ("links", pa.int64())])
 
 
+def _shaped(batches):
+    """The distinct shapes of a batch's pages."""
+    from xxhash import xxh64_intdigest
+    for batch in batches:
+        forms = {(host, dom.shape(dom.parse(source.as_py()))) for host, source in zip(batch.column(0).to_pylist(), batch.column(1))}
+        rows = [(host, xxh64_intdigest(repr(form)) >> 1, pickle.dumps(form, 5)) for host, form in forms]
+        yield pa.RecordBatch.from_pylist([dict(zip(_SHAPES.names, r)) for r in rows], schema=_SHAPES)
+
+
+_SHAPES = pa.schema([("host", pa.string()), ("key", pa.int64()), ("shape", pa.binary())])
+
+
 def _extracted(batches):
     aligner = Aligner()
     for batch in batches:
@@ -251,9 +271,22 @@ def _extracted(batches):
                                          ["page_id", "url", "text", "n_chars"])
 
 
-def _induced(pdf: pd.DataFrame) -> pd.DataFrame:
-    pages = pdf.sort_values("key")["html"].tolist()
-    return pd.DataFrame({"template_host": [pdf["host"].iloc[0]], "template": [pickle.dumps(induce(pages), 5)]})
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("key")
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "key": [pdf["part"].iloc[0]],
+                         "shape": [pickle.dumps(induce([pickle.loads(s) for s in pdf["shape"]]), 5)]})
+
+
+def _templates(spark, rows: DataFrame) -> DataFrame:
+    """template_host, template: merged from every distinct shape of a host's pages."""
+    shapes = rows.filter("html <> ''").select("host", "html").mapInArrow(_shaped, "host string, key long, shape binary")
+    shapes = checkpointed(spark, shapes.dropDuplicates(["host", "key"]))
+    most = shapes.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > 1:
+        most = -(-most // FAN)
+        part = shapes.withColumn("part", F.pmod("key", F.lit(most)))
+        shapes = checkpointed(spark, part.groupBy("host", "part").applyInPandas(_merged, "host string, key long, shape binary"))
+    return shapes.select(F.col("host").alias("template_host"), F.col("shape").alias("template"))
 
 
 def _small(df: DataFrame, *columns: str) -> DataFrame:
@@ -266,30 +299,21 @@ def extracted_text(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = rows.filter("html <> ''").select("host", F.xxhash64("page_id", "html").alias("key"), "html")
-    order = Window.partitionBy("host").orderBy("key")
-    keys = (keyed.select("host", "key").distinct().withColumn("place", F.row_number().over(order))
-            .filter(F.col("place") <= SAMPLE_PAGES).select(F.col("key").alias("sample_key"), F.col("host").alias("sample_host")))
-    keys = checkpointed(spark, keys)
-    some = F.broadcast(keys) if 16 * keys.count() <= BROADCAST_BYTES else keys
-    sample = keyed.join(some, (F.col("key") == F.col("sample_key")) & (F.col("host") == F.col("sample_host"))).select(
-        "host", "key", "html").dropDuplicates(["host", "key"])
-    templates = checkpointed(spark, sample.groupBy("host").applyInPandas(_induced, "template_host string, template binary"))
+    templates = _templates(spark, rows)
     given = _small(templates, "template")
     with_template = rows.join(given, F.col("host") == F.col("template_host"), "left")
     counts = with_template.select("host", "template", "html").mapInArrow(
-        _counted, "host string, node int, text long, n long, chars long, links long")
-    nodes = (counts.groupBy("host", "node", "text").agg(*[F.sum(c).alias(c) for c in ("n", "chars", "links")])
-             .groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.count("*").alias("texts"),
+        _counted, "host string, node int, text long, content long, chars long, links long")
+    nodes = (counts.groupBy("host", "node", "text", "content").agg(F.max("chars").alias("chars"), F.max("links").alias("links"))
+             .groupBy("host", "node", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+             .groupBy("host", "node").agg(F.sum("n").alias("n"), F.max("n").alias("same"),
                                           F.sum("chars").alias("chars"), F.sum("links").alias("links")))
     same = (F.col("n") >= SAME_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))
     found = nodes.groupBy("host").agg(                                  # of the nodes of one template
-        F.array_sort(F.collect_set(F.when(same, F.col("node")))).alias("same"),
-        F.array_sort(F.collect_set(F.when(F.col("links") > LINK_SHARE * F.col("chars"), F.col("node")))).alias("linked"),
-        F.max(F.col("texts") / F.col("n")).alias("diverse"))
-    fixed = F.when(F.col("diverse") >= DIVERSE, F.col("same"))
+        F.array_sort(F.collect_set(F.when(same, F.col("node")))).alias("fixed"),
+        F.array_sort(F.collect_set(F.when(F.col("links") > LINK_SHARE * F.col("chars"), F.col("node")))).alias("linked"))
     wrappers = checkpointed(spark, templates.join(found, F.col("template_host") == F.col("host"), "left").select(
-        "template_host", "template", fixed.alias("fixed"), "linked"))
+        "template_host", "template", "fixed", "linked"))
     rows = rows.join(_small(wrappers, "template"), F.col("host") == F.col("template_host"), "left")
     return rows.select("host", "template", "fixed", "linked", "html", "page_id", "url").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")
