@@ -104,3 +104,12 @@ def test_partial_merges_hold_every_shape(spark, monkeypatch):
     for p in pages:
         form = dom.shape(dom.parse(p))
         assert len(dom.assign(got["h"], dom.numbered(got["h"]), form)) == 4
+
+
+@pytest.mark.parametrize("n,tag", [(100, "div"), (200, "div"), (2000, "div"), (400, "b"), (300, "ul><li")])
+def test_text_after_the_deep_part_stays_inside(n, tag):
+    name = tag.split(">")[0]
+    source = f"<div class=wrap><article><p>first</p>{f'<{tag}>' * n}deep{f'</{name}>' * n}<p>after</p></article></div><div>outside</div>"
+    assert wrapper.main_text(dom.parse(source)) == "first\ndeep\nafter"
+    inside = "<div>" * 200 + "<p>a<p>b</p><ul><li>c<li>d</ul><br>" + "</div>" * 200
+    assert wrapper.main_text(dom.parse(f"<article>{inside}<p>after</p></article>outside")).endswith("after")

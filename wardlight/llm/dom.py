@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"))
@@ -39,6 +40,7 @@ def parse(source: str) -> Node:
     """The tree of a page; text children are strings with their references decoded."""
     root = Node("#root")
     stack, at, end = [root], 0, len(source)
+    deep = _Deep()
 
     def text(a, b):
         if b > a:
@@ -53,18 +55,20 @@ def parse(source: str) -> Node:
         close, name = m.group(1), m.group(2) or m.group(4)
         if close:
             close = close.lower()
+            if deep.names and deep.closed(close):
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == close:
                     del stack[i:]
+                    deep.clear()
                     break
                 if close == "p" and stack[i].tag in SCOPES:
                     break
         elif name:
             tag = name.lower()
-            if tag in ENDS_P:
-                _close(stack, ("p",))
-            if tag in CLOSES:
-                _close(stack, CLOSES[tag])
+            for ended in (("p",) if tag in ENDS_P else (), CLOSES.get(tag, ())):
+                if ended and not (deep.names and deep.ended(ended)) and _close(stack, ended):
+                    deep.clear()
             attrs = m.group(3) or m.group(5)
             node = Node(tag, [(k.lower(), html.unescape(a or b or c)) for k, a, b, c in _ATTR.findall(attrs)] if attrs else ())
             stack[-1].children.append(node)
@@ -74,8 +78,11 @@ def parse(source: str) -> Node:
                 if tag in ("title", "textarea"):
                     node.children.append(html.unescape(raw))
                 at = stop.end() if stop else end
-            elif tag not in VOID and not (attrs or "").endswith("/") and len(stack) < DEEPEST:
-                stack.append(node)
+            elif tag not in VOID and not (attrs or "").endswith("/"):
+                if len(stack) < DEEPEST:
+                    stack.append(node)
+                else:
+                    deep.opened(tag)
     return root
 
 
@@ -83,9 +90,53 @@ def _close(stack, tags):
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
             del stack[i:]
-            return
+            return True
         if stack[i].tag in SCOPES:
-            return
+            return False
+    return False
+
+
+class _Deep:
+    """Names of open elements that are too deep for the stack: their closing tags close
+    them, not an ancestor of the same name."""
+
+    def __init__(self):
+        self.names, self.count = [], Counter()
+
+    def opened(self, tag):
+        self.names.append(tag)
+        self.count[tag] += 1
+
+    def clear(self):
+        if self.names:
+            self.names.clear()
+            self.count.clear()
+
+    def _cut(self, at):
+        self.count.subtract(self.names[at:])
+        del self.names[at:]
+
+    def closed(self, tag):
+        """Whether a closing tag is used up here."""
+        if tag == "p":
+            return self.ended(("p",))
+        if not self.count[tag]:
+            return False
+        at = len(self.names) - 1
+        while self.names[at] != tag:
+            at -= 1
+        self._cut(at)
+        return True
+
+    def ended(self, tags):
+        """Whether an element that ends tags of its scope finds its end here; seen are the last ``DEEPEST`` names."""
+        for i in range(len(self.names) - 1, max(-1, len(self.names) - 1 - DEEPEST), -1):
+            if self.names[i] in tags:
+                self._cut(i)
+                return True
+            if self.names[i] in SCOPES:
+                return True
+        return len(self.names) > DEEPEST
 
 
 def label(node: Node) -> str:
