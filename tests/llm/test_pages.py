@@ -113,3 +113,14 @@ def test_text_after_the_deep_part_stays_inside(n, tag):
     assert wrapper.main_text(dom.parse(source)) == "first\ndeep\nafter"
     inside = "<div>" * 200 + "<p>a<p>b</p><ul><li>c<li>d</ul><br>" + "</div>" * 200
     assert wrapper.main_text(dom.parse(f"<article>{inside}<p>after</p></article>outside")).endswith("after")
+
+
+def test_slots_choose_inside_declared_articles_too(spark):
+    rows = [(i, f"http://a.example/{i}", f"<body><article><h2>Our daily page</h2><p>Text {i} varies</p><blockquote>Ask us at the desk</blockquote>"
+             f"<dl><dd><a href=1>Next {i}</a></dl></article><div>Outside {i}</div></body>") for i in range(6)]
+    rows += [(10 + i, f"http://b.example/{i}", f"<body><main><div>Loading the reader</div></main><div class=t><p>True text {i}</p></div></body>")
+             for i in range(6)]
+    rows += [(20, "http://c.example/0", "<article><p><a href=1>Only a link</a></p></article>"), (21, "http://d.example/0", "<a href=#c>Skip</a><div><p>Bare</p></div>")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()}
+    assert text == {**{i: f"Text {i} varies" for i in range(6)}, **{10 + i: f"True text {i}" for i in range(6)}, 20: "Only a link", 21: "Bare"}

@@ -8,9 +8,11 @@ text in it and its share of link text are counted.  A page's content is its text
 what its markup declares to be no main text, so copies count once; a node that repeats
 on a page is one, with all its texts there.  A node whose text is the same on most
 contents is template, as is one of links; the others are slots.  A node is judged by its own text, outside of its block
-children, and loses only that: its block children are judged by themselves.  On a page, what its own markup declares as menu, header,
-footer, sidebar, notice, advert, form, script, style or comment goes; if it declares an
-article, that is the main text; else the slots are.
+children, and loses only that: its block children are judged by themselves.  On a page, what its own markup
+declares as menu, header, footer, sidebar, notice, advert, form, script, style or comment
+goes, and of the rest the slots are the main text.  Where the page declares an article,
+its slots are preferred to those outside and its paragraphs count as slots; if no slot on
+the page has text, the article is taken as it is.
 
 Shapes are counted by (host, shape) and texts by (host, node, text, content) first, so a
 host with a third of all pages is no single task.  Templates are joined by host, broadcast only if their size is small
@@ -54,8 +56,8 @@ _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsens
     menu navbar navigation nav topbar footer masthead comment comments disqus reply replies respond search pagination
     pager skip""".split())
 _OWN = frozenset("article entry post story content main".split())
-#: What the template can take out of a declared article: containers, not the blocks of running text.
-_CONTAINERS = frozenset("div section ul ol dl table center details fieldset header address hgroup".split())
+#: What stays in a declared article even if it is the same on all pages.
+_RUNNING = frozenset(("p", "pre"))
 _SPLIT = re.compile(r"[^a-z]+")
 
 
@@ -124,11 +126,10 @@ def _blocks(node, template, in_article, out, own=True):
         if child.tag == "header" and in_article:
             for heading in _headings(child):
                 out.append(None)
-                _blocks(heading, template, True, out)
+                _blocks(heading, template, True, out, heading.id not in template)
                 out.append(None)
         elif edge:
-            _blocks(child, template, in_article, out,
-                    child.id not in template or child.tag not in (_CONTAINERS if in_article else dom.BLOCKS))
+            _blocks(child, template, in_article, out, child.id not in template or (in_article and child.tag in _RUNNING))
         else:
             _blocks(child, template, in_article, out, own)
         if edge:
@@ -157,13 +158,18 @@ def _lines(pieces):
 
 
 def main_text(root: dom.Node, template=frozenset(), links=frozenset()) -> str:
-    """template, links: numbers of nodes that are no slots; links count outside of a declared article."""
-    pieces, articles = [], _articles(root, []) or _mains(root, [])
-    template = template if articles else template | links
-    for part in articles or [root]:
-        _blocks(part, template, bool(articles), pieces)
-        pieces.append(None)
-    return "\n".join(_lines(pieces))
+    """template, links: numbers of nodes that are no slots.  The slots are the text; a declared
+    article chooses among them, and is taken whole only on a page without a slot."""
+    articles, wrapped = _articles(root, []) or _mains(root, []), template | links
+    for parts, gone in ((articles, wrapped), ([root], wrapped), (articles, frozenset())):
+        pieces = []
+        for part in parts:
+            _blocks(part, gone, part is not root, pieces, part.id not in gone)
+            pieces.append(None)
+        lines = _lines(pieces)
+        if lines:
+            break
+    return "\n".join(lines)
 
 
 def induce(shapes: list):
