@@ -27,6 +27,9 @@ WINDOW = 256
 WIDTHS, FILTERS = (2, 3, 4), 16
 DOCS_PER_LANG, WINDOWS_PER_DOC = 500, 6
 STEPS, BATCH = 400, 64
+PRIOR, HELD_OUT_DOCS = 64, 4000
+#: Bits below the held-out documents' likeness that are still of the language: few documents show few odd ones.
+MARGIN = 1.0
 UNKNOWN = "und"
 
 
@@ -135,8 +138,8 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["lang", "win"])
 
 
-def fitted(docs: DataFrame) -> Network | None:
-    """From text and lang of documents that are not held out; None if none has a lang."""
+def _learnt(docs: DataFrame):
+    """(windows, langs) of documents that are not held out; None if none has a lang."""
     known = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = sorted(docs.filter(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().collect())
     chosen = F.lit(False)
@@ -148,7 +151,37 @@ def fitted(docs: DataFrame) -> Network | None:
         return None
     rows = sorted((r["lang"], bytes(r["win"])) for r in rows)
     wins = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
-    return train(wins, [lang for lang, _ in rows])
+    return wins, [lang for lang, _ in rows]
+
+
+def fitted(docs: DataFrame) -> Network | None:
+    """From text and lang of documents that are not held out; None if none has a lang."""
+    found = _learnt(docs)
+    return train(*found) if found else None
+
+
+class Likeness:
+    """How usual a text's pairs of bytes are in a language: mean log2 probability against the
+    language's own mean, drawn to it by ``PRIOR`` usual pairs, so short texts differ little."""
+
+    def __init__(self, wins: np.ndarray, langs: list[str]):
+        self.names, langs = sorted(set(langs)), np.array(langs)
+        self.tables, self.means = [], []
+        for name in self.names:
+            pair = self._pairs(wins[langs == name])
+            n = np.bincount(pair, minlength=65_536).reshape(256, 256)
+            logs = np.log2((n + 0.1) / (n.sum(axis=1, keepdims=True) + 25.6)).ravel()
+            self.tables.append(logs)
+            self.means.append(float(logs[pair].mean()) if len(pair) else 0.0)
+
+    @staticmethod
+    def _pairs(wins):
+        wins = wins.astype(np.int64)
+        return (wins[:, :-1] * 256 + wins[:, 1:])[wins[:, 1:] != 0]
+
+    def of(self, text: str, lang: str) -> float:
+        i, pair = self.names.index(lang), self._pairs(windows(text))
+        return float((self.tables[i][pair] - self.means[i]).sum() / (len(pair) + PRIOR))
 
 
 def language_of(network: Network | None, texts_: list[str]) -> list[tuple[str, float]]:
@@ -188,17 +221,43 @@ def predicted_languages(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_predicted(fitted(docs)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, least: float) -> DataFrame:
-    """The documents, in their own columns, whose language is known with the least score."""
-    network = fitted(docs)
-    names = docs.columns
+def _judged(network, likeness, some: list[str]):
+    """(score, likeness) of texts; None for those of no language."""
+    return [None if lang == UNKNOWN else (score, likeness.of(t, lang)) for t, (lang, score) in zip(some, language_of(network, some))]
+
+
+def cuts(docs: DataFrame, network: Network, likeness: Likeness, share: float) -> tuple[float, float]:
+    """The score and the likeness that all but 1 - ``share`` of labelled documents reach that
+    were not learnt from (the least of them if they are few), the likeness less ``MARGIN``."""
+    known = docs.filter(held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    some = known.filter(share_of(HELD_OUT_DOCS, known.count(), "doc_id")).select("text").limit(2 * HELD_OUT_DOCS)
+
+    def judge(batches):
+        for batch in batches:
+            found = [x for x in _judged(network, likeness, batch.column(0).to_pylist()) if x]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.float64()) for i in (0, 1)], ["score", "like"])
+    rows = some.mapInArrow(judge, "score double, like double").collect()
+    if not rows:
+        return 0.0, -np.inf
+    score, like = (float(np.quantile([r[i] for r in rows], 1 - share, method="lower")) for i in (0, 1))
+    return score - 1e-5, like - MARGIN                                  # sums differ in the last bits by batch
+
+
+def with_language(docs: DataFrame, least: float | None = None, share: float = 0.999) -> DataFrame:
+    """The documents, in their own columns, whose language is known: with the least score, or,
+    if none is given, with the score and likeness of ``share`` of the held-out documents."""
+    learnt, names = _learnt(docs), docs.columns
+    if learnt is None:
+        return docs.limit(0)
+    network, likeness = train(*learnt), Likeness(*learnt)
+    score, like = (least, -np.inf) if least is not None else cuts(docs, network, likeness, share)
 
     def keep(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            found = language_of(network, [t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
-    return docs.mapInArrow(keep, docs.schema).select(*names) if network is not None else docs.limit(0)
+            found = _judged(network, likeness, [t or "" for t in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([x is not None and x[0] >= score and x[1] >= like for x in found], pa.bool_()))
+    return docs.mapInArrow(keep, docs.schema).select(*names)
 
 
 @query("op5_byte_network")
