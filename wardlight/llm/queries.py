@@ -1,4 +1,4 @@
 """All registered queries of the subpackage and their SQL."""
 
-from wardlight.llm import bpe, chat, covertree, decontamination, language, negatives, packing, pii, simhash, toxicity, wavelet, wrapper  # noqa: F401
+from wardlight.llm import bpe, chat, covertree, decontamination, language, negatives, packing, pii, simhash, toxicity, trie, wavelet, wrapper  # noqa: F401
 from wardlight.llm.tables import ORACLES, QUERIES  # noqa: F401
