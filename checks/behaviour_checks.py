@@ -90,13 +90,13 @@ def base(t):
 
 @check("o329_baseline_scalars", "SELECT * FROM base_scalar")
 def _(t):
-    return base(t).select("ip", "event_count", "avg_daily_events", "avg_severity_score", "total_successes", "total_failures")
+    return base(t).addresses.select("ip", "event_count", "avg_daily_events", "avg_severity_score", "total_successes", "total_failures")
 
 
 @check("o329_baseline_maps", "SELECT ip, dimension, value, events FROM base_values WHERE ip IN (SELECT ip FROM base_scalar)")
 def _(t):
-    entries = F.array(*[F.struct(F.lit(m).alias("dimension"), F.col(m).alias("m")) for m in B.MAPS])
-    return (base(t).select("ip", F.explode(entries).alias("e")).select("ip", "e.dimension", F.explode("e.m").alias("value", "events")))
+    b = base(t)
+    return b.values.join(b.addresses, "ip", "left_semi")
 
 
 define("judged", f"""SELECT e.*, b.*, bl.* EXCLUDE (ip) FROM (SELECT event_id, ts, src_ip, dst_ip, nullif(dst_port,'') AS port, nullif(dst_ip,'') AS dst, nullif(country,'') AS cty, threat_type, severity,
@@ -128,33 +128,35 @@ define("dev_found", " UNION ALL ".join(f"SELECT src_ip AS ip, event_id, ts, '{k}
 
 @check("o601_deviations", f"SELECT ip, event_id, {ts('ts')} AS ts, type, severity, detail FROM dev_found")
 def _(t):
-    out = B.deviations(t.plogs, base(t), AS_OF)
+    out = B.deviations(t.plogs, t.baselines, AS_OF)
     return out.withColumn("detail", F.when(c("type") == "automated_tool_detected", "").otherwise(c("detail")))
 
 
 @check("o602_deviation_scan", f"SELECT ip, type, severity, {ts('ts')} AS ts FROM dev_found QUALIFY row_number() OVER (PARTITION BY ip, type ORDER BY dev_found.ts DESC, event_id DESC)=1")
 def _(t):
-    return B.deviation_scan(t.plogs, base(t), AS_OF).select("ip", "type", "severity", "ts")
+    return B.deviation_scan(t.plogs, t.baselines, AS_OF).select("ip", "type", "severity", "ts")
 
 
 @check("o209_events_with_baseline", "SELECT event_id, list_contains(ports, port) AS port_known FROM judged WHERE port IS NOT NULL")
 def _(t):
-    return B.judged(t.plogs, base(t), AS_OF).where("dst_port <> ''").select("event_id", F.map_contains_key("ports", c("dst_port")).alias("port_known"))
+    from wardlight.functions.times import ago, moment, since
+    scan = since(t.plogs, ago(moment(AS_OF), hours=24))
+    return B.events_with_known(scan, t.baselines, "ports").select("event_id", c("known").alias("port_known"))
 
 
 @check("o411_recent_destinations", "SELECT event_id, recent_dsts FROM judged")
 def _(t):
-    return B.judged(t.plogs, base(t), AS_OF).select("event_id", "recent_dsts")
+    return B.judged(t.plogs, t.baselines.addresses, AS_OF).select("event_id", "recent_dsts")
 
 
 @check("o412_recent_gaps", "SELECT event_id, gaps AS recent_gaps, round(avg_gap,1) AS avg_gap, round(std_gap,1) AS std_gap FROM judged")
 def _(t):
-    return r(B.judged(t.plogs, base(t), AS_OF).select("event_id", "recent_gaps", "avg_gap", "std_gap"), 1, "avg_gap", "std_gap")
+    return r(B.judged(t.plogs, t.baselines.addresses, AS_OF).select("event_id", "recent_gaps", "avg_gap", "std_gap"), 1, "avg_gap", "std_gap")
 
 
 @check("o413_daily_position", "SELECT event_id, today FROM judged")
 def _(t):
-    return B.judged(t.plogs, base(t), AS_OF).select("event_id", "today")
+    return B.judged(t.plogs, t.baselines.addresses, AS_OF).select("event_id", "today")
 
 
 @check("o505_rebuild_due", f"SELECT src_ip, n AS events FROM (SELECT src_ip, count(*) AS n, {n(f'ts < {NOW} - INTERVAL 5 DAY')} AS m FROM logs GROUP BY 1) WHERE n//20 > m//20")

@@ -4,12 +4,13 @@ from the log rows by Spark, then read back through the library."""
 from pyspark.sql import functions as F
 
 from wardlight.functions import columns as C, fixed as X
-from wardlight.operators import baseline as B, rollups as R
+from wardlight.functions.times import since
+from wardlight.operators import rollups as R
 from wardlight.session import checkpointed, shared_folder
 from wardlight.sources import alerts, flat, lookup, state as S, store
 from wardlight.streaming import ingest as G
+from wardlight.streaming.deviations import deviations_on_arrival
 
-from .behaviour_checks import base
 from .function_checks import _case, _flat_sql, _in
 from .registry import AS_OF, NOW, SEV, check, n, ts
 
@@ -71,12 +72,12 @@ def _(t):
     return alerts.read_alerts(t.spark, folder).select(*_OUT)
 
 
-def streamed(t, rows=None, baselines=None, cap=0):
+def streamed(t, rows=None, cap=0):
     """Alert files to a store, through the stream, until all files are read."""
     root = shared_folder(t.spark)
     alert_lines(t, rows).repartition(3).write.text(root + "/alerts")
     rows = alerts.stream_alerts(t.spark, root + "/alerts", max_files=1)
-    G.start(rows, root + "/store", root + "/checkpoint", available_now=True, baselines=baselines, cap=cap).awaitTermination()
+    G.start(rows, root + "/store", root + "/checkpoint", available_now=True, cap=cap).awaitTermination()
     return root
 
 
@@ -200,15 +201,22 @@ def _(t):
     return out.where("kind in ('country', 'port')").select("kind", "key", "events")
 
 
-@check("o504_streamed_deviations")
+@check("o504_streamed_deviations", f"SELECT ip, event_id, {ts('ts')} AS ts, type, severity, detail FROM dev_found")
 def _(t):
-    recent = t.plogs.where(F.col("ts") >= F.lit("2024-01-30"))
+    """The last day streamed in six files, one a batch; each event judged on arrival."""
     root = shared_folder(t.spark)
-    parts = [recent.where(F.hour("ts") < 12), recent.where(F.hour("ts") >= 12)]
-    known = base(t)
-    for batch, rows in enumerate(parts):
-        G.store_batch(rows.drop("event_id"), batch, root, baselines=known)
-    return S.latest_deviations(G.read_table(t.spark, root, "deviations").drop("batch"))
+    logs = t.plogs.drop("day")
+    for part in range(6):
+        bounds = [F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(24 - 4 * h)) for h in (part, part + 1)]
+        last = F.lit(True) if part == 5 else c("ts") < bounds[1]
+        since(t.plogs, bounds[0]).where(last).drop("day").coalesce(1).write.mode("append").parquet(root + "/in")
+    stream = t.spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1).parquet(root + "/in")
+    found = deviations_on_arrival(stream, t.baselines, t.plogs, AS_OF, hours=24)
+    query = (found.writeStream.format("parquet").option("path", root + "/out").option("checkpointLocation", root + "/checkpoint")
+             .outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return (t.spark.read.schema(found.schema).parquet(root + "/out")
+            .withColumn("detail", F.when(c("type") == "automated_tool_detected", "").otherwise(c("detail"))))
 
 
 @check("o508_late_rows", "SELECT strftime(ts,'%Y-%m-%d') AS day, count(*) AS events FROM logs GROUP BY 1")

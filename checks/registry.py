@@ -10,6 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from wardlight.operators.baseline import build_baselines, read_baselines, write_baselines
 from wardlight.plans import sample_logs as S
 from wardlight.session import shared_folder
 from wardlight.sources.store import read_logs, write_logs
@@ -21,17 +22,22 @@ NOW = f"TIMESTAMP '{AS_OF}'"
 _STORES: dict = {}
 
 
-def _log_store(spark, folder):
-    """Log store of a folder's derived rows, written once per application in the
-    library's own layout, so that queries read what they read in production."""
-    key = (spark.sparkContext.applicationId, folder)
+def stored(spark, folder, name, write):
+    """Path of a table of the folder, written by ``write(path)`` once per application."""
+    key = (spark.sparkContext.applicationId, folder, name)
     if key not in _STORES:
-        path = shared_folder(spark) + "/logs"
-        write_logs(S.logs(spark, folder, keep=("event_type", "k")), path)
+        path = f"{shared_folder(spark)}/{name}"
+        write(path)
         _STORES[key] = path
     return _STORES[key]
 
 
+def _log_store(spark, folder):
+    """Log store of a folder's derived rows, written once per application in the
+    library's own layout, so that queries read what they read in production."""
+    return stored(spark, folder, "logs", lambda path: write_logs(S.logs(spark, folder, keep=("event_type", "k")), path))
+
+
 class Tables:
     """Derived tables of one scale-factor folder."""
 
@@ -50,6 +56,12 @@ class Tables:
     def plogs(self):
         return self.logs.unionByName(S.planted_rows(self.spark).withColumn("day", F.to_date("ts")))
 
+    @cached_property
+    def baselines(self):
+        """Stored baselines of all rows before the last day, as a scan reads them."""
+        write = lambda path: write_baselines(build_baselines(self.plogs, AS_OF), path)
+        return read_baselines(self.spark, stored(self.spark, self.folder, "baselines", write))
+
     @cached_property
     def events(self):
         return S.base_events(self.spark, self.folder)

@@ -57,3 +57,32 @@ def test_deviation_rules(plogs):
     assert "automated_tool_detected" in by_ip["192.0.2.10"]
     assert "internal_host_reached" in by_ip["198.51.100.20"]
     assert {"first_success_after_failures", "new_rule_category"} <= by_ip["192.0.2.11"]
+
+
+def test_an_address_with_many_destinations(spark):
+    """200,000 known values of one address are rows, in plan and result."""
+    start = F.lit("2024-01-01").cast("timestamp")
+    i = F.col("id")
+    old = spark.range(200_000).select(
+        F.lit("10.0.0.9").alias("src_ip"), F.timestamp_add("SECOND", i.cast("int"), start).alias("ts"), F.lit("unknown").alias("threat_type"),
+        F.concat_ws(".", F.lit("100"), F.floor(i / 65536), F.floor(i / 256) % 256, i % 256).alias("dst_ip"),
+        (i % 60_000 + 1).cast("string").alias("dst_port"), F.lit("low").alias("severity"), F.lit("India").alias("country"), i.alias("event_id"))
+    today = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    new = old.where("event_id < 3").withColumns({"ts": F.timestamp_add("MINUTE", F.col("event_id").cast("int"), today),
+                                                 "event_id": F.col("event_id") + 10**6})
+    new = new.withColumn("dst_port", F.when(F.col("event_id") == 10**6, "60001").otherwise(F.col("dst_port")))
+    logs = old.unionByName(new)
+    base = B.build_baselines(logs, AS_OF)
+    row = base.addresses.first()
+    assert (row["n_dst_ips"], row["n_ports"], row["event_count"]) == (200_000, 60_000, 200_000)
+    found = {(r["event_id"], r["type"]) for r in B.deviations(logs, base, AS_OF).collect()}
+    assert (10**6, "port_shift") in found and not any(e != 10**6 and kind == "port_shift" for e, kind in found)
+    assert "map<" not in base.addresses.schema.simpleString() + base.values.schema.simpleString()
+
+
+def test_stored_baselines_give_the_same(spark, plogs, tmp_path):
+    base = B.build_baselines(plogs, AS_OF)
+    B.write_baselines(base, str(tmp_path))
+    kept = B.read_baselines(spark, str(tmp_path))
+    rows = lambda b: sorted(map(tuple, B.deviations(plogs, b, AS_OF).collect()))
+    assert rows(kept) == rows(base)

@@ -1,121 +1,150 @@
 """Order-dependent work that stays whole and parallel when one key is huge.
 
-A plain window over a key puts all rows of that key into one task.  Here each
-key is cut into time slices (one hour unless said otherwise).  Windows run per
-slice; what crosses a slice edge is carried by a small table with one row per
-key and slice.  Results equal those of the unsliced window.
+A plain window over a key puts all rows of that key into one task.  Here a key of many
+rows is cut into parts of about ``ROWS`` rows: a thin systematic sample of the rows is
+counted, and every ``SAMPLES``-th sampled row in a key's order is a split point, whatever
+the time between two of them.  Most keys have no split point and stay one part, so
+windows run per (key, part) behind one shuffle of the rows; what crosses an edge between
+parts is summed part by part, scanned over the parts of its key, and comes back by a
+broadcast of at most one row per split point.  Results equal those of the uncut window.
+
+There is one split point for ``ROWS`` rows at most, which bounds both broadcasts (a table
+of 10^12 rows has up to a million).  Rows of one key that are equal in all columns of the order
+cannot be told apart and stay in one part, so the order should end in an id.
 """
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-
-def sliced(df: DataFrame, ts: str = "ts", slice_: str = "hour") -> DataFrame:
-    return df.withColumn("_slice", F.date_trunc(slice_, F.col(ts)))
-
-
-def numbered(df: DataFrame, keys: list[str], order: list[str], ts: str = "ts",
-             slice_: str = "hour", name: str = "seq", counted: Column | None = None,
-             today: str = "today") -> DataFrame:
-    """1-based position of every row within its key in the given order (whose
-    first column must be the time).  With a ``counted`` condition also the running
-    number of such rows within the UTC day, as ``today``."""
-    cut = sliced(df, ts, slice_).withColumn("_hit", (F.lit(True) if counted is None else counted).cast("long"))
-    by_slice = [*keys, "_slice"]
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    this_day = W.partitionBy(*keys, F.to_date("_slice")).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    before = lambda col, w: F.coalesce(F.sum(col).over(w), F.lit(0))
-    offsets = (cut.groupBy(*by_slice).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_hit").alias("_hits"))
-               .withColumns({"_before": before("_rows", earlier), "_hits_before": before("_hits", this_day)})
-               .drop("_rows", "_hits"))
-    local = W.partitionBy(*by_slice).orderBy(*order)
-    inside = cut.withColumns({"_pos": F.row_number().over(local),
-                              "_hit_pos": F.sum("_hit").over(local.rowsBetween(W.unboundedPreceding, 0))})
-    out = inside.join(offsets, by_slice).withColumn(name, F.col("_before") + F.col("_pos"))
-    if counted is not None:
-        out = out.withColumn(today, F.col("_hits_before") + F.col("_hit_pos"))
-    return out.drop("_before", "_pos", "_slice", "_hit", "_hit_pos", "_hits_before")
-
-
-def overlapping(df: DataFrame, seq: str, overlap: int, chunk: int = 20_000) -> DataFrame:
-    """Cuts numbered rows into chunks of a fixed size, with the last ``overlap``
-    rows of a chunk repeated in front of the next.  A frame of at most
-    ``overlap`` preceding rows computed per (key, ``_chunk``) is then exact on
-    the rows marked ``_own``."""
-    number = F.floor((F.col(seq) - 1) / chunk)
-    own = F.struct(number.alias("c"), F.lit(True).alias("own"))
-    lent = F.struct((number + 1).alias("c"), F.lit(False).alias("own"))
-    spots = F.when((F.col(seq) - 1) % chunk >= chunk - overlap, F.array(own, lent)).otherwise(F.array(own))
-    return (df.withColumn("_spot", F.explode(spots))
-            .withColumn("_chunk", F.col("_spot.c")).withColumn("_own", F.col("_spot.own")).drop("_spot"))
+#: Rows of a part, and sampled rows between two split points.
+ROWS, SAMPLES = 1_000_000, 128
+PARTED = ("_part", "_hot")
+
+
+def split_points(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """(keys, ``_points``) of the keys with more than about ``rows`` rows: sorted structs of
+    the order's columns; a part begins at each."""
+    every = max(1, (rows or ROWS) // SAMPLES)
+    thin = (df.select(*keys, F.struct(*order).alias("_at"))
+            .where(F.monotonically_increasing_id() % every == 0).groupBy(*keys, "_at").agg(F.count(F.lit(1)).alias("_n")))
+    passed = F.sum("_n").over(W.partitionBy(*keys).orderBy("_at"))
+    steps = thin.withColumn("_passed", passed).where(
+        F.floor(F.col("_passed") / SAMPLES) > F.floor((F.col("_passed") - F.col("_n")) / SAMPLES))
+    return steps.groupBy(*keys).agg(F.array_sort(F.collect_list("_at")).alias("_points"))
+
+
+def _part_of(points: Column, at: Column) -> Column:
+    """How many points are at or before a row, by halving."""
+    def halved(acc, _):
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get(points, middle) <= at
+        done = acc["lo"] >= acc["hi"]
+        return F.struct(F.when(~done & below, middle + 1).otherwise(acc["lo"]).alias("lo"),
+                        F.when(~done & ~below, middle).otherwise(acc["hi"]).alias("hi"))
+    start = F.struct(F.lit(0).alias("lo"), F.size(points).alias("hi"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(points) + 1)).cast("int") + 1)
+    return F.when(points.isNull(), F.lit(0)).otherwise(F.aggregate(steps, start, halved, lambda acc: acc["lo"]))
+
+
+def parted(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, points: DataFrame | None = None) -> DataFrame:
+    """Adds ``_part``, a row's part of its key, and ``_hot``, whether the key has several.
+    Parts follow the order."""
+    if points is None:
+        points = split_points(df, keys, order, rows)
+    return (df.join(F.broadcast(points), keys, "left").withColumn("_part", _part_of(F.col("_points"), F.struct(*order)))
+            .withColumn("_hot", F.col("_points").isNotNull()).drop("_points"))
+
+
+def _cut(df, keys, order, rows):
+    """The parted rows, and the columns to drop in the end (none where the caller parted them)."""
+    given = "_part" in df.columns
+    return (df if given else parted(df, keys, order, rows)), (() if given else PARTED)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "seq", rows: int | None = None) -> DataFrame:
+    """1-based position of every row within its key in the given order."""
+    cut, spare = _cut(df, keys, order, rows)
+    by_part = [*keys, "_part"]
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (cut.where("_hot").groupBy(*by_part).agg(F.count(F.lit(1)).alias("_rows"))
+               .withColumn("_before", F.sum("_rows").over(earlier)).drop("_rows"))
+    inside = cut.withColumn("_pos", F.row_number().over(W.partitionBy(*by_part).orderBy(*order)))
+    out = inside.join(F.broadcast(offsets), by_part, "left")
+    return out.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_pos")).drop("_before", "_pos", *spare)
+
+
+def day_offsets(cut: DataFrame, keys: list[str], day: Column, counted: Column) -> DataFrame:
+    """(keys, ``_part``, ``_first_day``, ``_day_before``) of parted rows: how many counted
+    rows of a part's first day are in earlier parts.  Later days of a part begin in it."""
+    hits = cut.where("_hot").groupBy(*keys, "_part", day.alias("_first_day")).agg(F.count_if(counted).alias("_hits"))
+    earlier = W.partitionBy(*keys, "_first_day").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    first = F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_first_day"))
+    return (hits.withColumn("_day_before", F.coalesce(F.sum("_hits").over(earlier), F.lit(0)))
+            .withColumn("_spot", first).where("_spot = 1").drop("_hits", "_spot"))
+
+
+def lent(cut: DataFrame, keys: list[str], order: list[str], rows: int) -> DataFrame:
+    """Parted rows with ``_own``, and before each part the last ``rows`` rows of the part
+    before it, not owned there; a frame of so many preceding rows is then whole in a part.
+    ``SAMPLES`` rows are the least that a part before another has."""
+    if rows >= SAMPLES:
+        raise ValueError(f"fewer than {SAMPLES} rows can be lent")
+    last = top_per(cut.where("_hot"), [*keys, "_part"], [F.desc(o) for o in order], rows)
+    return cut.withColumn("_own", F.lit(True)).unionByName(
+        last.withColumn("_part", F.col("_part") + 1).withColumn("_own", F.lit(False)))
 
 
 def with_previous(df: DataFrame, keys: list[str], order: list[str], values: list[str],
-                  ts: str = "ts", slice_: str = "hour", name: str = "prev") -> DataFrame:
+                  name: str = "prev", rows: int | None = None) -> DataFrame:
     """Adds a struct of ``values`` of the previous row of the same key (null on
     the first one)."""
-    cut = sliced(df, ts, slice_)
-    by_slice = [*keys, "_slice"]
+    cut, spare = _cut(df, keys, order, rows)
+    by_part = [*keys, "_part"]
     body = F.struct(*values)
-    last = cut.groupBy(*by_slice).agg(F.max_by(body, F.struct(*order)).alias("_last"))
-    carried = last.select(*by_slice, F.lag("_last").over(
-        W.partitionBy(*keys).orderBy("_slice")).alias("_carried"))
-    inside = cut.withColumn("_near", F.lag(body).over(W.partitionBy(*by_slice).orderBy(*order)))
-    return (inside.join(carried, by_slice)
-            .withColumn(name, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_slice"))
+    last = cut.where("_hot").groupBy(*by_part).agg(F.max_by(body, F.struct(*order)).alias("_last"))
+    carried = last.select(*by_part, F.lag("_last").over(W.partitionBy(*keys).orderBy("_part")).alias("_carried"))
+    inside = cut.withColumn("_near", F.lag(body).over(W.partitionBy(*by_part).orderBy(*order)))
+    return (inside.join(F.broadcast(carried), by_part, "left")
+            .withColumn(name, F.coalesce("_near", "_carried")).drop("_near", "_carried", *spare))
 
 
-def with_latest_mark(df: DataFrame, keys: list[str], order: list[str], mark: str,
-                     ts: str = "ts", slice_: str = "hour") -> DataFrame:
+def with_latest_mark(df: DataFrame, keys: list[str], order: list[str], mark: str, rows: int | None = None) -> DataFrame:
     """Fills ``mark`` forward: every row gets the newest mark at or before it."""
-    cut = sliced(df, ts, slice_)
-    by_slice = [*keys, "_slice"]
-    until_now = W.partitionBy(*by_slice).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    newest = cut.groupBy(*by_slice).agg(F.max(mark).alias("_mark"))
-    carried = newest.select(*by_slice, F.max("_mark").over(earlier).alias("_carried"))
+    cut, spare = _cut(df, keys, order, rows)
+    by_part = [*keys, "_part"]
+    until_now = W.partitionBy(*by_part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    newest = cut.where("_hot").groupBy(*by_part).agg(F.max(mark).alias("_mark"))
+    carried = newest.select(*by_part, F.max("_mark").over(earlier).alias("_carried"))
     inside = cut.withColumn("_near", F.max(mark).over(until_now))
-    return (inside.join(carried, by_slice)
-            .withColumn(mark, F.coalesce("_near", "_carried")).drop("_near", "_carried", "_slice"))
-
-
-def chunk_list(df: DataFrame, keys: list[str], chunk: int = 20_000) -> DataFrame:
-    """All (keys, ``_chunk``) that :func:`overlapping` makes of numbered rows.  A
-    table joined to this list can be joined to the rows chunk by chunk, on the
-    partitioning they already have, instead of sending a whole key to one task."""
-    total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    last = F.floor((F.col("_total") - 1) / chunk)
-    return total.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_chunk"))
+    return (inside.join(F.broadcast(carried), by_part, "left")
+            .withColumn(mark, F.coalesce("_near", "_carried")).drop("_near", "_carried", *spare))
 
 
-def gap_statistics(df: DataFrame, keys: list[str], number: Column, ts: str = "ts",
-                   slice_: str = "hour") -> DataFrame:
+def gap_statistics(df: DataFrame, keys: list[str], number: Column, rows: int | None = None) -> DataFrame:
     """Per key: count, mean, minimum, maximum and population deviation of the gaps
     between consecutive values of ``number`` (a time as a number).
 
-    Gaps inside a slice are summed there, gaps between slices come from the
-    slices' first and last values, and the sums are merged, so rows are shuffled
-    once and nothing is collected."""
-    cut = sliced(df, ts, slice_).select(*keys, "_slice", number.alias("_t"))
-    by_slice = [*keys, "_slice"]
-    gap = F.col("_t") - F.lag("_t").over(W.partitionBy(*by_slice).orderBy("_t"))
-    parts = (cut.withColumn("_gap", gap.cast("double")).groupBy(*by_slice)
-             .agg(F.count("_gap").alias("n"), F.sum("_gap").alias("s"),
-                  F.sum(F.col("_gap") * F.col("_gap")).alias("q"),
+    A part has the count, mean and squared deviation of its gaps, an edge between parts is
+    one gap more; they are merged by their distances from the key's mean, so long and
+    nearly equal gaps lose no digits as a difference of squares would."""
+    cut = parted(df.select(*keys, number.alias("_t")), keys, ["_t"], rows)
+    by_part = [*keys, "_part"]
+    gap = F.col("_t") - F.lag("_t").over(W.partitionBy(*by_part).orderBy("_t"))
+    parts = (cut.withColumn("_gap", gap.cast("double")).groupBy(*by_part)
+             .agg(F.count("_gap").alias("n"), F.avg("_gap").alias("m"), F.var_pop("_gap").alias("v"),
                   F.min("_gap").alias("lo"), F.max("_gap").alias("hi"),
                   F.min("_t").alias("first"), F.max("_t").alias("last")))
-    step = (F.col("first") - F.lag("last").over(W.partitionBy(*keys).orderBy("_slice"))).cast("double")
-    edge = parts.withColumn("e", step)
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    merged = edge.groupBy(*keys).agg(
-        (F.sum("n") + F.count("e")).alias("gaps"),
-        F.sum(zero(F.col("s")) + zero(F.col("e"))).alias("s"),
-        F.sum(zero(F.col("q")) + zero(F.col("e") * F.col("e"))).alias("q"),
-        F.min(F.least("lo", "e")).alias("min_gap"), F.max(F.greatest("hi", "e")).alias("max_gap"))
-    some = F.col("gaps") > 0
-    mean = F.when(some, F.col("s") / F.col("gaps"))
-    spread = F.when(some, F.col("q") / F.col("gaps")) - mean * mean
-    return merged.select(*keys, "gaps", mean.alias("mean_gap"), "min_gap", "max_gap",
-                         F.when(some, F.sqrt(F.greatest(spread, F.lit(0.0)))).alias("std_gap"))
+    step = (F.col("first") - F.lag("last").over(W.partitionBy(*keys).orderBy("_part"))).cast("double")
+    whole, zero = W.partitionBy(*keys), lambda c: F.coalesce(c, F.lit(0.0))
+    edged = parts.withColumn("e", step)
+    gaps = F.sum(F.col("n") + F.when(F.col("e").isNotNull(), 1).otherwise(0)).over(whole)
+    total = F.sum(zero(F.col("n") * F.col("m")) + zero(F.col("e"))).over(whole)
+    apart = edged.withColumns({"gaps": gaps, "mean": F.when(gaps > 0, total / gaps)})
+    far = lambda x: (F.col(x) - F.col("mean")) * (F.col(x) - F.col("mean"))
+    return apart.groupBy(*keys).agg(
+        F.first("gaps").alias("gaps"), F.first("mean").alias("mean_gap"),
+        F.min(F.least("lo", "e")).alias("min_gap"), F.max(F.greatest("hi", "e")).alias("max_gap"),
+        F.sqrt(F.sum(zero(F.col("n") * (F.col("v") + far("m"))) + zero(far("e"))) / F.nullif(F.first("gaps"), F.lit(0))).alias("std_gap"))
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, limit: int | None, rank: str | None = None) -> DataFrame:

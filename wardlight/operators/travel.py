@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import columns as C
 from ..functions.times import seconds
 from ..session import checkpointed
-from .sequence import top_per, with_latest_mark, with_previous
+from .sequence import PARTED, parted, top_per, with_latest_mark, with_previous
 
 c = F.col
 SAME_SECONDS = 5.0
@@ -29,10 +29,10 @@ def sessions(placed) -> DataFrame:
     event after a longer pause always opens a new cluster, so clusters can be
     found run by run."""
     order = ["ts", "event_id"]
-    near = with_previous(placed, ["username"], order, ["ts"])
+    near = with_previous(parted(placed, ["username"], order), ["username"], order, ["ts"])
     opens = c("prev").isNull() | (F.unix_micros("ts") - F.unix_micros("prev.ts") > _MICROS)
     marked = near.withColumn("session", F.when(opens, c("ts"))).drop("prev")
-    return with_latest_mark(marked, ["username"], order, "session")
+    return with_latest_mark(marked, ["username"], order, "session").drop(*PARTED)
 
 
 def _anchors(points) -> DataFrame:
@@ -114,7 +114,7 @@ def simultaneous(clustered) -> DataFrame:
 def sequential(placed) -> DataFrame:
     """Hops between countries faster than any flight; the farthest per pair."""
     order = ["ts", "event_id"]
-    moved = (with_previous(placed, ["username"], order, ["country"])
+    moved = (with_previous(parted(placed, ["username"], order), ["username"], order, ["country"])
              .where("prev is null or prev.country <> country").drop("prev"))
     values = ["country", "lat", "lon", "src_ip", "ts"]
     hop = with_previous(moved, ["username"], order, values).where("prev is not null")
