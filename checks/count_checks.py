@@ -11,11 +11,11 @@ c = F.col
 
 
 def R_(t):
-    return R.daily(t.logs)
+    return t.rollup("agg_ip_daily")
 
 
 def H_(t):
-    return R.hourly(t.logs)
+    return t.rollup("agg_threat_hourly")
 
 
 define("latest_dev", "SELECT * FROM deviations QUALIFY row_number() OVER (PARTITION BY ip, type ORDER BY ts DESC, event_id DESC)=1")
@@ -172,7 +172,7 @@ def _(t):
 
 @check("o313_technique_counts", f"SELECT x AS technique, count(*) AS events FROM (SELECT unnest(string_split_regex(upper(mitre),'[,\\s]+')) AS x FROM logs WHERE mitre<>'' AND ts >= {NOW} - INTERVAL 90 DAY) WHERE x<>'' GROUP BY 1")
 def _(t):
-    return K.technique_counts(t.logs, 90, AS_OF)
+    return K.technique_counts(t.logs, 90, AS_OF, t.rollup("agg_technique_daily"))
 
 
 @check("o314_ips_with_prefix", "SELECT src_ip, sum(events)::BIGINT AS events FROM agg_ip_daily WHERE starts_with(src_ip,'10.1') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -383,12 +383,12 @@ def _(t):
 
 @check("o501_daily_rollup", "SELECT strftime(day,'%Y-%m-%d') AS day, src_ip, threat_type, severity, events FROM agg_ip_daily")
 def _(t):
-    return R.summed(R.daily(t.logs), R.DAILY_KEYS)
+    return R.summed(R_(t), R.DAILY_KEYS)
 
 
 @check("o502_hourly_rollup", f"SELECT {ts('hour')} AS hour, threat_type, severity, events FROM agg_threat_hourly")
 def _(t):
-    return R.hourly(t.logs)
+    return R.summed(H_(t), R.HOURLY_KEYS)
 
 
 FS = " UNION ALL ".join(f"SELECT '{k}' AS kind, {key} AS key, ts FROM plogs WHERE {w}" for k, key, w in [
@@ -408,9 +408,32 @@ def _(t):
     return R.first_seen(t.plogs).groupBy("kind").agg(F.count(F.lit(1)).alias("keys"), F.sum("events").alias("events"))
 
 
-@check("o340_approximate_distinct")
+def _within(estimates, exact, *keys):
+    """Whether stored sketches, united over all days, keep their stated error."""
+    near = lambda x: F.abs(c(x) - c(f"exact_{x}")) <= F.greatest(F.lit(1.0), c(f"exact_{x}") * R.sketch_error())
+    both = estimates.join(exact, list(keys))
+    return both.select(*keys, near("ips").alias("ips_within"), near("users").alias("users_within"))
+
+
+@check("o340_approximate_distinct", "SELECT threat_type, true AS ips_within, true AS users_within FROM logs GROUP BY 1")
+def _(t):
+    exact = t.logs.groupBy("threat_type").agg(F.countDistinct("src_ip").alias("exact_ips"), F.countDistinct(F.nullif("username", F.lit(""))).alias("exact_users"))
+    return _within(R.sketched(t.rollup("agg_sketch_daily"), "threat_type"), exact, "threat_type")
+
+
+@check("o340_preset_accounts", "SELECT username AS account, true AS near FROM logs WHERE ts >= " + NOW + " - INTERVAL 7 DAY AND username<>'' GROUP BY 1")
+def _(t):
+    from wardlight.plans.presets import targeted_accounts
+    about, exact = (targeted_accounts(t.logs, 7, None, AS_OF, exact=e).select("account", "source_ips") for e in (False, True))
+    return about.join(exact.withColumnRenamed("source_ips", "all_ips"), "account").select(
+        "account", (F.abs(c("source_ips") - c("all_ips")) <= F.greatest(F.lit(1.0), c("all_ips") * 0.15)).alias("near"))
+
+
+@check("o308_sketched_count", "SELECT true AS near FROM logs HAVING count(*) > 0")
 def _(t):
-    return t.logs.groupBy("threat_type").agg(F.approx_count_distinct("src_ip").alias("source_ips"))
+    days = t.rollup("agg_sketch_daily")
+    exact = K.ip_count(R_(t)).scalar()
+    return R.sketched(days).select((F.abs(c("ips") - exact) <= F.greatest(F.lit(1.0), exact * R.sketch_error())).alias("near"))
 
 
 @check("o201_hot_ip_details", """WITH hot AS (SELECT src_ip, sum(events)::BIGINT AS total FROM agg_ip_daily WHERE severity IN ('critical','high') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30)

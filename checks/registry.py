@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from wardlight.operators.baseline import build_baselines, read_baselines, write_baselines
 from wardlight.plans import sample_logs as S
 from wardlight.session import shared_folder
+from wardlight.sources import rollup_store
 from wardlight.sources.store import read_logs, write_logs
 
 AS_OF = S.AS_OF
@@ -62,6 +63,12 @@ class Tables:
         write = lambda path: write_baselines(build_baselines(self.plogs, AS_OF), path)
         return read_baselines(self.spark, stored(self.spark, self.folder, "baselines", write))
 
+    def rollup(self, table):
+        """A stored rollup of the log rows, kept by the library's own refresh."""
+        logs = _log_store(self.spark, self.folder)
+        path = stored(self.spark, self.folder, "rollups", lambda path: rollup_store.refresh(self.spark, logs, path))
+        return rollup_store.read(self.spark, logs, path, table)
+
     @cached_property
     def events(self):
         return S.base_events(self.spark, self.folder)

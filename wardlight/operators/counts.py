@@ -74,10 +74,16 @@ def global_severities(rollup):
     return rollup.groupBy("severity").agg(F.sum("events").alias("events"))
 
 
-def technique_counts(logs, days=90, as_of=None):
-    """Events per technique id; a field may list several."""
-    recent = since(logs, ago(moment(as_of, logs), days=days)).where("mitre != ''")
-    fields = recent.groupBy("mitre").agg(row_count("events"))
+def technique_counts(logs, days=90, as_of=None, stored=None):
+    """Events per technique id; a field may list several.  With the stored rollup of
+    fields per day, only the day in which the window begins is read row by row."""
+    bound = ago(moment(as_of, logs), days=days)
+    rows = since(logs, bound)
+    if stored is not None:
+        rows = rows.where((F.col("day") == F.to_date(bound)) if "day" in logs.columns else F.to_date("ts") == F.to_date(bound))
+    fields = rows.where("mitre != ''").groupBy("mitre").agg(row_count("events"))
+    if stored is not None:
+        fields = fields.unionByName(stored.where(F.col("day") > F.to_date(bound)).select("mitre", "events"))
     return (fields.select(F.explode(F.split(F.upper("mitre"), r"[,\s]+")).alias("technique"), "events")
             .where("technique != ''").groupBy("technique").agg(F.sum("events").alias("events")))
 
@@ -130,7 +136,7 @@ def entity_summary(logs, column="src_ip", limit=50):
 def hourly_trend(rollup, hours=24, as_of=None):
     bound = ago(moment(as_of, rollup, "hour"), hours=hours)
     hot = F.when(F.col("severity").isin("high", "critical"), F.col("events")).otherwise(0)
-    return (rollup.where(F.col("hour") >= bound).groupBy("hour")
+    return (since(rollup, bound, "hour").groupBy("hour")
             .agg(F.sum("events").alias("total"), F.sum(hot).alias("hot")))
 
 

@@ -26,8 +26,35 @@ def summed(partials: DataFrame, keys: list[str]) -> DataFrame:
     return partials.groupBy(*keys).agg(F.sum("events").alias("events"))
 
 
-def first_seen(logs: DataFrame) -> DataFrame:
-    """Ledger of new things: six kinds of key from one scan of the rows."""
+#: Sketches hold 2 ** SKETCH_BITS registers.
+SKETCH_BITS = 12
+
+
+def techniques(logs: DataFrame) -> DataFrame:
+    """Events per day and technique field; a field may list several ids."""
+    return logs.where("mitre != ''").groupBy(F.to_date("ts").alias("day"), "mitre").agg(F.count(F.lit(1)).alias("events"))
+
+
+def sketches(logs: DataFrame) -> DataFrame:
+    """Mergeable sketches of the different source addresses and users per day and threat type."""
+    return logs.groupBy(F.to_date("ts").alias("day"), "threat_type").agg(
+        F.hll_sketch_agg("src_ip", SKETCH_BITS).alias("ips"), F.hll_sketch_agg(F.nullif("username", F.lit("")), SKETCH_BITS).alias("users"))
+
+
+def sketched(partials: DataFrame, *keys: str) -> DataFrame:
+    """About how many different addresses and users, over any days, by ``keys``."""
+    return partials.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("ips")).alias("ips"),
+                                       F.hll_sketch_estimate(F.hll_union_agg("users")).alias("users"))
+
+
+def sketch_error(deviations: float = 3.0) -> float:
+    """Relative error that an estimate keeps within so many standard deviations."""
+    return deviations * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def first_seen(logs: DataFrame, by: tuple = ()) -> DataFrame:
+    """Ledger of new things: six kinds of key from one scan of the rows; ``by``
+    columns (the day) give partial ledgers."""
     c = F.col
     user_host = ((c("username") != "") & (c("agent") != "") & ~c("username").endswith("$")
                  & (F.lower("username") != F.lower("agent")))
@@ -42,13 +69,13 @@ def first_seen(logs: DataFrame) -> DataFrame:
     ]
     # Equal key sets are counted first, so the six-fold expansion runs on the
     # distinct sets of a task and not on every row.
-    keyed = (logs.select("ts", *[key.alias(name) for name, key in kinds])
-             .groupBy(*[name for name, _ in kinds])
+    keyed = (logs.select("ts", *by, *[key.alias(name) for name, key in kinds])
+             .groupBy(*by, *[name for name, _ in kinds])
              .agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("events")))
     pairs = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("key")) for name, _ in kinds])
-    return (keyed.select(F.explode(pairs).alias("p"), "first_ts", "events")
-            .where("p.key is not null").select("p.kind", "p.key", "first_ts", "events")
-            .groupBy("kind", "key").agg(F.min("first_ts").alias("first_ts"), F.sum("events").alias("events")))
+    return (keyed.select(*by, F.explode(pairs).alias("p"), "first_ts", "events")
+            .where("p.key is not null").select(*by, "p.kind", "p.key", "first_ts", "events")
+            .groupBy(*by, "kind", "key").agg(F.min("first_ts").alias("first_ts"), F.sum("events").alias("events")))
 
 
 def merged_first_seen(partials: DataFrame) -> DataFrame:

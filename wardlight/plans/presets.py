@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import row_count
 from ..functions.times import ago, moment, since
+from ..operators.counts import first_of
+
 
 def _newest(df, columns, limit=200):
     tie = ["event_id"] if "event_id" in df.columns else []
@@ -39,7 +41,7 @@ def targeted_accounts(logs, days=7, limit=20, as_of=None, exact=True) -> DataFra
             .groupBy(F.col("username").alias("account"))
             .agg(row_count("events"), ips("src_ip").alias("source_ips"),
                  F.count_if(F.col("severity").isin("critical", "high")).alias("high_severity"))
-            .orderBy(F.desc("events"), "account").limit(limit))
+            .transform(lambda df: first_of(df, limit, F.desc("events"), "account")))
 
 
 def risky_not_blocked(scores, blocks, least=50, limit=200) -> DataFrame:
