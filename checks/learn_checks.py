@@ -8,6 +8,8 @@ from wardlight.plans import report as RP
 
 from .behaviour_checks import S, base, r
 from .count_checks import R_, blocks, dev, disp, scores
+from wardlight.session import shared_folder
+
 from .registry import AS_OF, NOW, check, define, n, ts
 from .risk_checks import I, sig
 
@@ -34,6 +36,26 @@ def _(t):
     return RK.fused_risk(features(t), FO.trained_scores(features(t)))
 
 
+@check("o702_planted_outliers", "SELECT 'planted-'||i AS ip, true AS is_anomaly FROM range(5) AS t(i) WHERE (SELECT count(*) FROM logs) > 0")
+def _(t):
+    """Five rows far from all others are outliers, whatever the trees draw."""
+    known = features(t)
+    top = known.agg(*[(F.max(n) * 20 + 1000).alias(n) for n in X.FOREST_FEATURES])
+    odd = top.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("planted-"), i.cast("string")))).alias("ip"), "*")
+    rows = known.select("ip", *X.FOREST_FEATURES).unionByName(odd)
+    return FO.trained_scores(rows).where("ip like 'planted-%'").select("ip", "is_anomaly")
+
+
+@check("o703_rescored_by_a_saved_model", "SELECT ip, true AS scored FROM win_feat")
+def _(t):
+    """A model trained on the week before last, saved and read again, scores the last week."""
+    from wardlight.operators import features as FE
+    path = shared_folder(t.spark) + "/models"
+    FO.write_model(FO.train_model(FE.window_features(t.plogs, as_of="2024-01-24 00:00:00")), path, 1)
+    found = FO.scores_by(FO.read_model(t.spark, path), features(t))
+    return found.select("ip", F.abs("anomaly_score").between(0, 1).alias("scored"))
+
+
 _BAD = " OR ".join(f"starts_with(ip,'{p}')" for p in X.SCORING_BAD_PREFIXES)
 define("fused", f"""SELECT *, CASE WHEN is_anomaly THEN greatest(tot,50) ELSE tot END AS risk_score FROM (SELECT *, greatest(0, least(100, ap+dp+ip_pts)) AS tot FROM (SELECT ip, is_anomaly, greatest(0, least(55, CAST(trunc((0.5::DOUBLE-anomaly_score)*55) AS INT))) AS ap,
  least(40, baseline_alerts*3+critical_alerts*8) AS dp, CASE WHEN {_BAD} THEN 25 ELSE 0 END AS ip_pts FROM (SELECT ip, coalesce(baseline_alerts,0) AS baseline_alerts, coalesce(critical_alerts,0) AS critical_alerts FROM win_feat LEFT JOIN dev_counts USING (ip)) JOIN latest_score USING (ip)))""")

@@ -6,6 +6,7 @@ vectors through the forest in Arrow batches.
 """
 
 import sys
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -154,3 +155,66 @@ def trained_scores(features, least=5, key="ip", **options) -> DataFrame:
     scored = anomaly_scores(vectors, train_forest(vectors, key=key, **options), key=key)
     enough = features.agg(F.count(F.lit(1)).alias("n")).scalar()
     return scored.where(enough >= least)
+
+
+# --- saved models -----------------------------------------------------------------
+
+class Model(NamedTuple):
+    """What scoring needs: nodes of the trees, mean and spread per feature, the offset."""
+
+    nodes: DataFrame
+    scaling: DataFrame
+    info: DataFrame
+
+
+def scaling_of(rows, names=tuple(X.FOREST_FEATURES)) -> DataFrame:
+    """(feature, mean, spread): one row per feature."""
+    found = [F.struct(F.lit(n).alias("feature"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("s")) for n in names]
+    return (rows.agg(F.array(*found).alias("f")).select(F.explode("f").alias("f"))
+            .select("f.feature", "f.mean", F.when(c("f.s") > 0, c("f.s")).otherwise(1.0).alias("spread")))
+
+
+def scaled(rows, scaling, names=tuple(X.FOREST_FEATURES), key="ip") -> DataFrame:
+    """Columns by a given scaling, whichever rows it came from."""
+    by_name = scaling.select(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "spread")))).alias("s")).scalar()
+    return with_one_value(rows, "_s", by_name).select(
+        key, *[((c(n) - c("_s")[n]["mean"]) / c("_s")[n]["spread"]).alias(n) for n in names])
+
+
+def _doubles(features, names):
+    return features.withColumns({n: c(n).cast("double") for n in names})
+
+
+def train_model(features, contamination=CONTAMINATION, names=tuple(X.FOREST_FEATURES), key="ip", **options) -> Model:
+    """A forest with the scaling and the offset of the rows that it was trained on."""
+    rows = _doubles(features, names)
+    scaling = checkpointed(features.sparkSession, scaling_of(rows, names))
+    vectors = scaled(rows, scaling, names, key)
+    nodes = checkpointed(features.sparkSession, train_forest(vectors, names, key=key, **options))
+    info = raw_scores(vectors, nodes, names, key).agg(
+        F.percentile_approx("raw", F.lit(contamination), F.lit(100_000)).alias("cut"), F.count(F.lit(1)).alias("rows"))
+    return Model(nodes, scaling, info)
+
+
+def write_model(model: Model, path: str, version: int) -> None:
+    """A version of its own beside the others; it counts when its ``info``, written last, is there."""
+    for name, rows in zip(Model._fields, model):
+        rows.coalesce(1).withColumn("version", F.lit(version)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("version").parquet(f"{path}/{name}")
+
+
+def versions(spark, path: str) -> list[int]:
+    return sorted(r["version"] for r in spark.read.parquet(f"{path}/info").select("version").distinct().collect())
+
+
+def read_model(spark, path: str, version: int | None = None) -> Model:
+    """A version, by default the newest."""
+    wanted = versions(spark, path)[-1] if version is None else version
+    return Model(*[spark.read.parquet(f"{path}/{name}").where(c("version") == wanted).drop("version") for name in Model._fields])
+
+
+def scores_by(model: Model, features, names=tuple(X.FOREST_FEATURES), key="ip") -> DataFrame:
+    """Scores of rows, seen in training or not, by a model's own scaling and offset."""
+    raw = raw_scores(scaled(_doubles(features, names), model.scaling, names, key), model.nodes, names, key)
+    return raw.select(key, (c("raw") - model.info.select("cut").scalar()).alias("anomaly_score")).withColumn(
+        "is_anomaly", c("anomaly_score") < 0)
