@@ -103,13 +103,13 @@ def _(t):
  ORDER BY logs.ts DESC, event_id LIMIT 500""")
 def _(t):
     from wardlight.operators.trails import recent_logs
-    return recent_logs(t.logs, minutes=7 * 1440, severities=["high", "critical"], min_level=9, search="US", as_of=AS_OF).select("event_id", "ts")
+    return recent_logs(t.logs, minutes=7 * 1440, severities=["high", "critical"], min_level=9, search="US", limit=500, as_of=AS_OF).select("event_id", "ts")
 
 
 @check("o140_time_texts", f"SELECT event_id FROM logs WHERE ts >= TIMESTAMP '2024-01-20 10:00:00' AND ts <= TIMESTAMP '2024-01-21 10:30:00' ORDER BY ts DESC, event_id LIMIT 500")
 def _(t):
     from wardlight.operators.trails import recent_logs
-    return recent_logs(t.logs, start="2024-01-20T10:00", end="2024-01-21 10:30:00").select("event_id")
+    return recent_logs(t.logs, start="2024-01-20T10:00", end="2024-01-21 10:30:00", limit=500).select("event_id")
 
 
 @check("o301_event_counts", "SELECT src_ip, count(*) AS events FROM logs GROUP BY 1")
@@ -177,17 +177,17 @@ def _(t):
 
 @check("o314_ips_with_prefix", "SELECT src_ip, sum(events)::BIGINT AS events FROM agg_ip_daily WHERE starts_with(src_ip,'10.1') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 def _(t):
-    return K.ips_with_prefix(R_(t), "10.1")
+    return K.ips_with_prefix(R_(t), "10.1", 20)
 
 
 @check("o315_top_users", "SELECT username, count(*) AS events FROM logs WHERE username<>'' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
 def _(t):
-    return K.top_values(t.logs, "username")
+    return K.top_values(t.logs, "username", 200)
 
 
 @check("o315_top_hosts", "SELECT agent, count(*) AS events FROM logs WHERE agent<>'' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
 def _(t):
-    return K.top_values(t.logs, "agent")
+    return K.top_values(t.logs, "agent", 200)
 
 
 @check("o316_user_countries", "SELECT DISTINCT username, country FROM logs WHERE country<>'' AND username<>''")
@@ -308,12 +308,12 @@ def _(t):
 
 @check("o402_run_list", "SELECT run_id, incident_id, status FROM latest_run ORDER BY updated_at DESC, run_id LIMIT 50")
 def _(t):
-    return S.run_list(t.state["playbook_runs"], tiebreak="event_id").select("run_id", "incident_id", "status")
+    return S.run_list(t.state["playbook_runs"], limit=50, tiebreak="event_id").select("run_id", "incident_id", "status")
 
 
 @check("o402_feedback_list", "SELECT entity, signature, disposition FROM latest_fb ORDER BY ts DESC, entity, signature LIMIT 200")
 def _(t):
-    return S.feedback_list(t.state["alert_feedback"], tiebreak="event_id").select("entity", "signature", "disposition")
+    return S.feedback_list(t.state["alert_feedback"], 200, tiebreak="event_id").select("entity", "signature", "disposition")
 
 
 @check("o403_label_examples", f"""SELECT threat_type, entity, events, max_lvl, crit, uniq_dst FROM (SELECT threat_type, src_ip AS entity, count(*) AS events, max(rule_level) AS max_lvl,
@@ -331,7 +331,7 @@ def _(t):
 
 @check("o454_audit_list", f"SELECT username, action, client_ip, {ts('ts')} AS ts FROM auth_audit a WHERE action='login_failed' ORDER BY a.ts DESC, event_id LIMIT 300")
 def _(t):
-    return S.audit_list(t.state["auth_audit"], action="login_failed").select("username", "action", "client_ip", "ts")
+    return S.audit_list(t.state["auth_audit"], 300, action="login_failed").select("username", "action", "client_ip", "ts")
 
 
 @check("o455_active_ips", f"SELECT DISTINCT src_ip FROM logs WHERE ts > {NOW} - INTERVAL 24 HOUR AND src_ip<>''")
@@ -370,7 +370,7 @@ def _(t):
 @check("o451_entity_trail", f"SELECT event_id, {ts('ts')} AS ts FROM logs WHERE username='user7' ORDER BY logs.ts DESC, event_id DESC LIMIT 200")
 def _(t):
     from wardlight.operators.trails import trail
-    return trail(t.logs, "username", "user7").select("event_id", "ts")
+    return trail(t.logs, "username", "user7", 200).select("event_id", "ts")
 
 
 @check("o452_login_events", "SELECT event_id, username FROM logs WHERE threat_type IN ('login_success','brute_force','ssh_bruteforce','vpn_bruteforce','rdp_relay') AND username<>''")

@@ -24,7 +24,7 @@ def test_alert_cases(spark):
     assert r["src_ip"] == "203.0.113.9" and r["dst_port"] == "22"
     assert r["rule_groups"] == "sshd, auth" and r["mitre"] == "T1110, T1078" and r["mitre_tactic"] == ""
     assert (r["severity"], r["rule_level"], r["threat_type"]) == ("critical", 13, "ssh_bruteforce")
-    assert len(r["full_log"]) == 2000 and json.loads(r["raw"]) == full
+    assert len(r["full_log"]) == 3000 and json.loads(r["raw"]) == full
     assert r["ts"].isoformat() == "2024-01-01T00:00:00"
 
 
@@ -90,3 +90,27 @@ def test_day_pruning_reaches_the_scan(spark, tmp_path, plogs):
     store.write_logs(plogs, path)
     plan = recent_logs(store.read_logs(spark, path), minutes=60, as_of="2024-01-31 00:00:00")
     assert "PartitionFilters: [isnotnull(day" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_texts_stay_whole_or_are_cut_after_the_policy_id(spark):
+    import json
+    log = "x" * 3000 + " policyid=77"
+    line = json.dumps({"data": {"srcip": "10.0.0.1"}, "rule": {"description": "r" * 900, "level": 5}, "full_log": log})
+    lines = spark.createDataFrame([(line,)], "value string")
+    whole, short = alerts.to_log_rows(lines).first(), alerts.to_log_rows(lines, cut=True).first()
+    assert (len(whole["rule"]), whole["full_log"], whole["policy_id"]) == (900, log, "")
+    assert (len(short["rule"]), len(short["full_log"]), short["policy_id"]) == (200, 2000, "77")
+    rows = spark.createDataFrame([("10.0.0.1", log, "r" * 900)], "`data.srcip` string, full_log string, `rule.description` string")
+    whole, short = flat.to_log_rows(rows).first(), flat.to_log_rows(rows, cut=True).first()
+    assert (len(whole["rule"]), whole["full_log"]) == (900, log) and (len(short["rule"]), len(short["full_log"]), short["policy_id"]) == (200, 2000, "77")
+
+
+def test_listings_have_no_limit_of_their_own(spark):
+    from wardlight.operators.counts import top_values
+    from wardlight.sources import state
+    rows = spark.range(12_000).selectExpr("concat('10.0.', id) AS ip", "'t' AS type", "'low' AS severity", "timestamp_seconds(id) AS ts", "cast(id as int) AS risk_score",
+                                          "false AS is_anomaly", "timestamp_seconds(id) AS scored_at", "concat('u', id) AS username", "'login' AS action")
+    assert state.newest_alerts(rows.select("ip", "type", "severity", "ts")).count() == 12_000
+    assert state.score_list(rows.select("ip", "risk_score", "is_anomaly", "scored_at")).count() == 12_000
+    assert state.audit_list(rows.select("username", "action", "ts")).count() == top_values(rows, "username").count() == 12_000
+    assert state.newest_alerts(rows.select("ip", "type", "severity", "ts"), 5).count() == 5

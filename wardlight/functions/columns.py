@@ -246,6 +246,11 @@ def policy_of(policy_id: Column, raw: Column, full_log: Column) -> Column:
                       F.regexp_extract(full_log, X.POLICY_PATTERN, 1))
 
 
+def policy_before_cut(policy_id: Column, full_log: Column, longest: int) -> Column:
+    """The id of a log line that is about to be cut, where the policy column has none."""
+    return F.when((policy_id == "") & (F.length(full_log) > longest), F.regexp_extract(full_log, X.POLICY_PATTERN, 1)).otherwise(policy_id)
+
+
 def is_firewall_row(decoder: Column, groups: Column, rule: Column, location: Column) -> Column:
     has = lambda c, w: F.lower(c).contains(w)
     return (has(decoder, "fortigate") | has(decoder, "firewall") | has(groups, "firewall")

@@ -88,13 +88,12 @@ def technique_counts(logs, days=90, as_of=None, stored=None):
             .where("technique != ''").groupBy("technique").agg(F.sum("events").alias("events")))
 
 
-def ips_with_prefix(rollup, prefix, limit=20):
+def ips_with_prefix(rollup, prefix, limit=None):
     return top_ips(rollup.where(F.col("src_ip").startswith(prefix)), limit)
 
 
-def top_values(logs, column, limit=200):
-    return (logs.where(F.col(column) != "").groupBy(column).agg(row_count("events"))
-            .orderBy(F.desc("events"), column).limit(limit))
+def top_values(logs, column, limit=None):
+    return first_of(logs.where(F.col(column) != "").groupBy(column).agg(row_count("events")), limit, F.desc("events"), column)
 
 
 def user_countries(logs):

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import columns as C, fixed as X
 from ..functions.times import ago, moment, since
 from ..schema import trail_column
-from .counts import hot_ips
+from .counts import first_of, hot_ips
 from .sequence import top_per
 
 SEARCHED = ["country", "src_ip", "dst_ip", "rule", "threat_type", "username", "agent"]
@@ -20,22 +20,22 @@ def _key(df: DataFrame) -> Column:
     return C.event_key(F.col("ts"), *[F.col(f) for f in C.EVENT_KEY_FIELDS])
 
 
-def trail(logs, field, value, limit=200, newest_first=True, days=0, as_of=None):
-    """Events of one entity with a cap."""
+def trail(logs, field, value, limit=None, newest_first=True, days=0, as_of=None):
+    """Events of one entity; with a limit, the first so many."""
     rows = logs.where(F.col(trail_column(field)) == value)
     if days:
         rows = since(rows, ago(moment(as_of, logs), days=days))
     order = [F.desc("ts"), F.desc(_key(rows))] if newest_first else ["ts", _key(rows)]
-    return rows.orderBy(*order).limit(limit)
+    return first_of(rows, limit, *order)
 
 
-def newest_per(logs, column="src_ip", limit=20):
+def newest_per(logs, column="src_ip", limit=None):
     """The newest events of every entity."""
     return top_per(logs, [column], [F.desc("ts"), F.desc(_key(logs))], limit)
 
 
 def recent_logs(logs, minutes=0, start="", end="", severities=(), min_level=0, search="",
-                limit=500, as_of=None):
+                limit=None, as_of=None):
     """Log search.  Without any time bound or search text the last week is read."""
     if not (minutes or start or end or search):
         minutes = 7 * 1440
@@ -55,7 +55,7 @@ def recent_logs(logs, minutes=0, start="", end="", severities=(), min_level=0, s
     if search.strip():
         text = search.strip().lower()
         rows = rows.where(reduce(lambda a, b: a | b, [F.lower(s).contains(text) for s in SEARCHED]))
-    return rows.orderBy(F.desc("ts"), _key(rows)).limit(limit)
+    return first_of(rows, limit, F.desc("ts"), _key(rows))
 
 
 def login_events(logs, days=0, as_of=None):

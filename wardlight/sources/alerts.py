@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import columns as C
 from ..schema import LOG_FIELDS
 
-# column -> (candidate paths in order, longest text kept)
+# column -> (candidate paths in order, longest text kept where texts are cut)
 PATHS = {
     "src_ip": (["data.srcip", "data.src_ip", "srcip", "data.win.eventdata.ipAddress", "agent.ip"], None),
     "dst_ip": (["data.dstip", "data.dest_ip", "data.win.eventdata.destinationIp"], None),
@@ -99,8 +99,10 @@ def kept_levels(level: Column, key: Column, min_level=4, sample_below=7, one_in=
 
 
 def to_log_rows(lines: DataFrame, received: Column | None = None, min_level=None,
-                sample_below=7, one_in=10) -> DataFrame:
-    """The 41-column row of every alert that names a source address."""
+                sample_below=7, one_in=10, cut: bool = False) -> DataFrame:
+    """The 41-column row of every alert that names a source address.  Texts stay whole;
+    with ``cut`` they are cut to the lengths of ``PATHS``, and a policy id that only the
+    whole log line holds is taken from it first."""
     received = F.current_timestamp() if received is None else received
     alerts = parsed(lines).withColumn("level", alert_level(F.col("alert")))
     if min_level is not None:
@@ -110,8 +112,10 @@ def to_log_rows(lines: DataFrame, received: Column | None = None, min_level=None
     text = lambda paths: C.first_filled(*[field(v, p) for p in paths])
     number = lambda paths: F.coalesce(text(paths).try_cast("double"), F.lit(0.0))
     # first the texts, each built once; then what is judged from them
-    cells = {name: F.substring(text(paths), 1, longest) if longest else text(paths)
+    cells = {name: F.substring(text(paths), 1, longest) if cut and longest else text(paths)
              for name, (paths, longest) in PATHS.items()}
+    if cut:
+        cells["policy_id"] = C.policy_before_cut(cells["policy_id"], text(["full_log"]), PATHS["full_log"][1])
     words = C._joined(text(["rule.groups"]), text(["rule.description"]), text(["rule.pci_dss"]))
     texts = alerts.select(
         "value", "level", *[cell.alias(name) for name, cell in cells.items()], words.alias("_words"),

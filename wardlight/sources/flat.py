@@ -13,7 +13,7 @@ FIRST_PRESENT = {
     "mitre": ["rule.mitre.id"], "username": ["data.user", "data.win.eventdata.user"],
     "useragent": ["data.http.http_user_agent"],
 }
-# column -> (candidate fields, longest text); the first filled field counts
+# column -> (candidate fields, longest text where texts are cut); the first filled field counts
 FIRST_FILLED = {
     "mitre_tactic": (["rule.mitre.tactic"], None), "mitre_technique": (["rule.mitre.technique"], None),
     "rule_groups": (["rule.groups"], None), "pci_dss": (["rule.pci_dss"], None), "gdpr": (["rule.gdpr"], None),
@@ -50,9 +50,10 @@ def _unwrapped(body: DataFrame) -> DataFrame:
     return body
 
 
-def to_log_rows(rows: DataFrame, received=None) -> DataFrame:
+def to_log_rows(rows: DataFrame, received=None, cut: bool = False) -> DataFrame:
     """Log row of every flat row that names a source address (``url``, ``policy_id``
-    and ``raw`` stay blank on this path)."""
+    and ``raw`` stay blank on this path).  Texts stay whole; with ``cut`` they are cut to
+    fixed lengths, and a policy id that only the whole log line holds is taken from it first."""
     received = F.current_timestamp() if received is None else received
     have = set(rows.columns)
     cells = lambda names: [F.col(f"`{n}`").cast("string") for n in names if n in have] or [F.lit(None).cast("string")]
@@ -63,18 +64,20 @@ def to_log_rows(rows: DataFrame, received=None) -> DataFrame:
     level = C.whole(present("rule.level"))
     number = lambda names: F.coalesce(filled(names).try_cast("double"), F.lit(0.0))
     out = {n: present(*names) for n, names in FIRST_PRESENT.items()}
-    out |= {n: F.substring(filled(names), 1, most) if most else filled(names)
+    out |= {n: F.substring(filled(names), 1, most) if cut and most else filled(names)
             for n, (names, most) in FIRST_FILLED.items()}
     out |= {
         "ts": C.event_time(present("@timestamp"), received), "ingested_at": received,
         "src_ip": F.col("_src"), "threat_type": F.col("_class.threat_type"), "severity": F.col("_class.severity"),
-        "rule": F.substring(present("rule.description"), 1, 200),
-        "signature": F.substring(present("data.alert.signature"), 1, 200),
+        "rule": F.substring(present("rule.description"), 1, 200) if cut else present("rule.description"),
+        "signature": F.substring(present("data.alert.signature"), 1, 200) if cut else present("data.alert.signature"),
         "rule_level": F.greatest(F.lit(0), F.least(F.lit(255), level)),
         "rule_firedtimes": C.whole(filled(["rule.firedtimes"])),
         "geo_lat": number(["GeoLocation.location.lat", "data.gps_location.lat"]),
         "geo_lon": number(["GeoLocation.location.lon", "data.gps_location.lon"]),
     }
+    if cut:
+        out["policy_id"] = C.policy_before_cut(F.lit(""), filled(["full_log"]), FIRST_FILLED["full_log"][1])
     source = C.source_address(rows.columns)
     blank = F.lit("")
     return (rows.withColumns({"_src": source, "_words": words}).where("_src is not null").withColumn("_class", verdict)

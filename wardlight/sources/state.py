@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..operators.counts import first_of
 from ..schema import STATE_KEYS
 
 
@@ -35,9 +36,8 @@ def latest_deviations(df, severity=None, ip=None, tiebreak=None) -> DataFrame:
     return latest(df, "deviations", tiebreak)
 
 
-def newest_alerts(df, limit=500, severity=None, ip=None, tiebreak=None) -> DataFrame:
-    return (latest_deviations(df, severity, ip, tiebreak)
-            .orderBy(F.desc("ts"), "ip", "type").limit(limit))
+def newest_alerts(df, limit=None, severity=None, ip=None, tiebreak=None) -> DataFrame:
+    return first_of(latest_deviations(df, severity, ip, tiebreak), limit, F.desc("ts"), "ip", "type")
 
 
 def active_blocks(df, tiebreak=None) -> DataFrame:
@@ -60,27 +60,26 @@ def dispositions(df, tiebreak=None) -> DataFrame:
     return latest_by_key(named, ["entity"], "ts", tiebreak)
 
 
-def score_list(df, limit=10_000, anomalies_only=False, tiebreak=None) -> DataFrame:
+def score_list(df, limit=None, anomalies_only=False, tiebreak=None) -> DataFrame:
     now = latest(df, "ml_scores", tiebreak)
     if anomalies_only:
         now = now.where("is_anomaly")
-    return now.orderBy(F.desc("risk_score"), "ip").limit(limit)
+    return first_of(now, limit, F.desc("risk_score"), "ip")
 
 
 def key_count(df, key: str = "ip") -> DataFrame:
     return df.agg(F.countDistinct(key).alias("keys"))
 
 
-def run_list(df, incident_id=None, limit=50, tiebreak=None) -> DataFrame:
+def run_list(df, incident_id=None, limit=None, tiebreak=None) -> DataFrame:
     now = latest(df, "playbook_runs", tiebreak)
     if incident_id:
         now = now.where(F.col("incident_id") == incident_id)
-    return now.orderBy(F.desc("updated_at"), "run_id").limit(limit)
+    return first_of(now, limit, F.desc("updated_at"), "run_id")
 
 
-def feedback_list(df, limit=200, tiebreak=None) -> DataFrame:
-    return (latest(df, "alert_feedback", tiebreak)
-            .orderBy(F.desc("ts"), "entity", "signature").limit(limit))
+def feedback_list(df, limit=None, tiebreak=None) -> DataFrame:
+    return first_of(latest(df, "alert_feedback", tiebreak), limit, F.desc("ts"), "entity", "signature")
 
 
 def new_blocks(active: DataFrame, pushed: DataFrame) -> DataFrame:
@@ -100,12 +99,12 @@ def feedback_rows(df: DataFrame) -> DataFrame:
     return out.withColumn("accepted", ok)
 
 
-def audit_list(df, limit=300, username="", action="") -> DataFrame:
+def audit_list(df, limit=None, username="", action="") -> DataFrame:
     if username:
         df = df.where(F.col("username") == username)
     if action:
         df = df.where(F.col("action") == action)
-    return df.orderBy(F.desc("ts"), "event_id" if "event_id" in df.columns else "username").limit(limit)
+    return first_of(df, limit, F.desc("ts"), "event_id" if "event_id" in df.columns else "username")
 
 
 def audit_summary(df) -> DataFrame:
