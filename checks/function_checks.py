@@ -269,9 +269,9 @@ IDS_SQL = f"""SELECT threat_type, mitre, rule_groups, list_filter(list_concat(
 @check("o133_alert_techniques", f"""SELECT event_id, pos, tid FROM (
   SELECT event_id, tid, row_number() OVER (PARTITION BY event_id ORDER BY min(i)) AS pos FROM (
    SELECT p.event_id, unnest(ids) AS tid, generate_subscripts(ids, 1) AS i FROM plogs p JOIN ({IDS_SQL}) d USING (threat_type, mitre, rule_groups))
-  GROUP BY event_id, tid) WHERE pos <= 3""")
+  GROUP BY event_id, tid)""")
 def _(t):
-    ids = F.slice(C.techniques_of(c("threat_type"), c("mitre"), c("rule_groups")), 1, 3)
+    ids = C.techniques_of(c("threat_type"), c("mitre"), c("rule_groups"))
     return t.plogs.select("event_id", F.posexplode(ids).alias("p", "tid")).select("event_id", (c("p") + 1).alias("pos"), "tid")
 
 

@@ -160,6 +160,23 @@ def _(t):
     return G.read_table(t.spark, root + "/store", "logs").groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"))
 
 
+@check("o005_single_rows", _FLAT_SQL)
+def _(t):
+    """Every row is a body of its own: an object, not a list."""
+    path = shared_folder(t.spark) + "/rows"
+    flat_rows(t).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    return flat.to_log_rows(flat.read_json_lines(t.spark, path)).select(*_FLAT_OUT)
+
+
+@check("o006_json_drop_folder", "SELECT src_ip, count(*) AS events FROM logs GROUP BY 1")
+def _(t):
+    """Files of one JSON object a line."""
+    root = shared_folder(t.spark)
+    flat_rows(t).select(F.to_json(F.struct("*")).alias("value")).repartition(2).write.text(root + "/in")
+    G.start_folder(t.spark, root + "/in", "*.txt", root + "/store", root + "/checkpoint", available_now=True).awaitTermination()
+    return G.read_table(t.spark, root + "/store", "logs").groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"))
+
+
 @check("o007_topology", "SELECT src_ip AS ip, first(agent ORDER BY event_id DESC) AS host, coalesce(nullif(first(target_user ORDER BY event_id DESC),''),'-') AS owner FROM logs GROUP BY 1")
 def _(t):
     rows = t.logs.select(c("src_ip").alias(" IP Address"), c("agent").alias("Host Name "), c("target_user").alias("Owner"), c("event_id").alias("_place"))

@@ -25,7 +25,7 @@ def con(folder):
 @pytest.mark.parametrize("key", KEYS)
 def test_equals_sql(spark, con, folder, key):
     status, note, _ = compare(spark, con, folder, key, entry.queries(), entry.oracle_sql())
-    assert status in ("ok", "rows-only"), note
+    assert status == "ok" or (status == "rows-only" and not note.startswith("0 ")), note
 
 
 def test_entry(spark):
