@@ -1,6 +1,7 @@
 import itertools
 import pickle
 import random
+import time
 
 import pytest
 
@@ -124,3 +125,63 @@ def test_slots_choose_inside_declared_articles_too(spark):
     frame = spark.createDataFrame(rows, "page_id long, url string, html string")
     text = {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()}
     assert text == {**{i: f"Text {i} varies" for i in range(6)}, **{10 + i: f"True text {i}" for i in range(6)}, 20: "Only a link", 21: "Bare"}
+
+
+ARTICLE = "<p>" + "The text of the article goes on for a while. " * 5 + "</p>"
+
+
+@pytest.mark.parametrize("source", [
+    '<div class="no-sidebar"><article>{}</article></div>', '<div class="layout with-sidebar">{}</div>', '<div class="content menu-open">{}</div>',
+    '<section class="related-to-work">{}</section>', '<form id="aspnetForm"><div><article>{}</article></div></form>', '<div class=sidebar>{}</div>',
+    '<article><div class="comment-on-law">{}</div></article>', '<nav><a href=1>Home</a></nav><div class=x>{}</div><div class="site-footer">By us</div>',
+    '<article>{}</article><article class=teaser><h2><a href=1>Another story</a></h2><p>Read more</p></article>',
+    '<div><div class=ad>Buy this now.</div><article>{}<div class=share-bar>Tell a friend</div></article></div><section id=comments><p>I agree'])
+def test_a_name_is_one_vote_and_never_cuts_the_main_part(source):
+    assert wrapper.main_text(dom.parse(source.format(ARTICLE))) == ARTICLE[3:-4].strip()
+
+
+def test_leads_in_an_articles_header_stay():
+    source = f"<article><header><h1>Head</h1><p>The lead</p></header>{ARTICLE}</article>"
+    assert wrapper.main_text(dom.parse(source)).startswith("Head\nThe lead\nThe text")
+
+
+def test_adverts_that_vary_are_known_by_their_place(spark):
+    """No tag, role or name tells the advert and the foot from the text; on some pages the advert is longer."""
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(500)]
+
+    def some(n):
+        return " ".join(rng.choices(words, k=n)) + "."
+    rows, want = [], {}
+    for i in range(30):
+        paragraphs = [some(rng.randrange(40, 90)) for _ in range(1 if i == 7 else 6)]
+        advert = some(200 if i == 7 else 12)
+        rows.append((i, f"http://a.example/{i}", f"<body><div class=q>{advert}</div><div class=r><div>{''.join(f'<p>{p}</p>' for p in paragraphs)}"
+                     f"</div></div><div class=s>{some(6)}</div></body>"))
+        want[i] = "\n".join(paragraphs)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrapper.extracted_text(frame).collect()} == want
+
+
+def test_pages_of_ten_thousand_blocks_are_aligned_fast():
+    def named(i):
+        return "k" + "".join("abcdefghij"[int(c)] for c in str(i))
+    alternating = ["".join(f"<h2>{i}</h2><p>{j}</p>" for i in range(5000)) for j in range(2)]
+    distinct = ["".join(f"<div class={named(i)}>x</div>" for i in range(10_000) if i % 7 != j) for j in range(2)]
+    for a, b in (alternating, distinct):
+        a, b = (dom.parse(f"<article>{x}</article>") for x in (a, b))
+        began = time.process_time()
+        forms = dom.shape(a), dom.shape(b)
+        both = dom.merged(*forms)
+        dom.assign(both, dom.numbered(both), forms[1])
+        assert time.process_time() - began < 3
+    root = dom.parse(f"<article>{alternating[0]}</article>")
+    assert len(wrapper.main_text(root).split("\n")) == 10_000
+
+
+def test_many_runs_of_a_label_are_one_place():
+    root = dom.parse("<div>" + "<h2>a</h2><p>b</p><p>c</p>" * 20 + "<ul><li>d</ul></div>")
+    form = dom.shape(root)
+    assert [c[0] for c in form[1][0][1]] == ["h2", "p", "ul"]
+    dom.mark(root, form, dom.assign(form, dom.numbered(form), form))
+    assert [c.id for c in root.elements()[0].elements()][-4:] == [2, 3, 3, 4]

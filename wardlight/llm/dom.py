@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import Counter
 
@@ -17,6 +18,9 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 SCOPES = frozenset("table ul ol dl select body html article section div main aside nav td th form".split())
 ENDS_P = BLOCKS - {"body", "html"}
 
+#: Siblings of one label that come in more runs than this are pooled as one.
+MANY_RUNS = 8
+
 #: Elements nested deeper are siblings; their text stays.
 DEEPEST = 150
 
@@ -27,7 +31,7 @@ _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "id")
+    __slots__ = ("tag", "attrs", "children", "id", "own", "mass", "led")
 
     def __init__(self, tag, attrs=()):
         self.tag, self.attrs, self.children, self.id = tag, dict(attrs), [], None
@@ -146,22 +150,43 @@ def label(node: Node) -> str:
     return f"{node.tag}.{mark}" if mark else node.tag
 
 
-def shape(node: Node):
-    """(label, children's shapes); neighbours of one label become one, their children pooled."""
-    out = []
-    for child in node.elements():
-        if child.tag not in BLOCKS and not child.elements():
-            continue
-        got = shape(child)
-        if out and out[-1][0] == got[0]:
-            out[-1] = (got[0], _pooled(out[-1][1], got[1]))
+def _places(labels):
+    """Each child's place among a shape's children: neighbours of one label share one, and so do all of a label that
+    comes in many runs."""
+    runs = Counter(name for i, name in enumerate(labels) if not i or labels[i - 1] != name)
+    first, out, n = {}, [], 0
+    for i, name in enumerate(labels):
+        if runs[name] > MANY_RUNS and name in first:
+            out.append(first[name])
+        elif i and labels[i - 1] == name:
+            out.append(out[-1])
         else:
+            first[name] = n
+            out.append(n)
+            n += 1
+    return out
+
+
+def _formed(node):
+    """Children that count for a shape."""
+    return [c for c in node.elements() if c.tag in BLOCKS or c.elements()]
+
+
+def shape(node: Node):
+    """(label, children's shapes); repeated children become one, their own children pooled."""
+    parts, out = [shape(c) for c in _formed(node)], []
+    for got, place in zip(parts, _places([p[0] for p in parts])):
+        if place == len(out):
             out.append(got)
+        else:
+            out[place] = (got[0], _pooled(out[place][1], got[1]))
     return label(node), tuple(out)
 
 
 def _pooled(a, b):
     """Children of repeated nodes: those of the first, and what only later ones have."""
+    if not b or a == b:
+        return a
     have = {c[0]: i for i, c in enumerate(a)}
     out = list(a)
     for c in b:
@@ -174,42 +199,71 @@ def _pooled(a, b):
     return tuple(out)
 
 
-def matched(a, b):
+def matched(a, b, known=None):
     """Simple tree matching of two shapes with one label: (size, pairs of child places).
 
-    The most nodes that can be paired so that order and parenthood hold, by the usual
-    table over both lists of children."""
-    m, n = len(a[1]), len(b[1])
-    table = [[0] * (n + 1) for _ in range(m + 1)]
-    weight = {}
-    for i in range(m):
-        for j in range(n):
-            w = 0
-            if a[1][i][0] == b[1][j][0]:
-                w = matched(a[1][i], b[1][j])[0]
-            weight[i, j] = w
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + w)
-    pairs, i, j = [], m, n
-    while i and j:
-        if weight[i - 1, j - 1] and table[i][j] == table[i - 1][j - 1] + weight[i - 1, j - 1]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif table[i][j] == table[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return table[m][n] + 1, pairs[::-1]
-
-
-def merged(a, b):
+    The most nodes that can be paired so that order and parenthood hold.  Only pairs of one label are looked at; the best chain
+    that ends before a pair comes from a tree of running maxima, so the work is near-linear in those pairs.  known: results
+    of pairs of shapes that live as long as it does."""
+    known = {} if known is None else known
+    if (id(a), id(b)) in known:
+        return known[id(a), id(b)]
+    size, pairs, top = 0, [], min(len(a[1]), len(b[1]))
+    lead = 0
+    while lead < top and a[1][lead] == b[1][lead]:
+        lead += 1
+    tail = 0
+    while tail < top - lead and a[1][-1 - tail] == b[1][-1 - tail]:
+        tail += 1
+    m, n = len(a[1]) - tail, len(b[1]) - tail
+    ends = [(i, i) for i in range(lead)], [(m + i, n + i) for i in range(tail)]
+    size = sum(_size(a[1][i]) for i, _ in itertools.chain(*ends))
+    places = {}
+    for j in range(n - 1, lead - 1, -1):                     # from the right, so a row's pairs don't chain with each other
+        places.setdefault(b[1][j][0], []).append(j)
+    best = [(0, None)] * (n - lead + 1)                      # of places before, by powers of two
+    for i in range(lead, m):
+        for j in places.get(a[1][i][0], ()):
+            at, before = j - lead, (0, None)
+            while at:
+                if best[at][0] > before[0]:
+                    before = best[at]
+                at -= at & -at
+            chain = before[0] + matched(a[1][i], b[1][j], known)[0], (i, j, before[1])
+            at = j - lead + 1
+            while at <= n - lead:
+                if chain[0] > best[at][0]:
+                    best[at] = chain
+                at += at & -at
+    got, at = (0, None), n - lead
+    while at > 0:
+        if best[at][0] > got[0]:
+            got = best[at]
+        at -= at & -at
+    size, link = size + got[0], got[1]
+    while link:
+        pairs.append(link[:2])
+        link = link[2]
+    known[id(a), id(b)] = size + 1, [*ends[0], *pairs[::-1], *ends[1]]
+    return known[id(a), id(b)]
+
+
+def _size(a):
+    return 1 + sum(map(_size, a[1]))
+
+
+def merged(a, b, known=None):
     """The smallest shape that holds both, aligned by tree matching."""
-    _, pairs = matched(a, b)
+    if a == b:
+        return a
+    known = {} if known is None else known
+    _, pairs = matched(a, b, known)
     out, i, j = [], 0, 0
     for x, y in [*pairs, (len(a[1]), len(b[1]))]:
         out += a[1][i:x]
         out += b[1][j:y]
         if x < len(a[1]) and y < len(b[1]):
-            out.append(merged(a[1][x], b[1][y]))
+            out.append(merged(a[1][x], b[1][y], known))
         i, j = x + 1, y + 1
     return a[0], tuple(out)
 
@@ -226,11 +280,11 @@ def numbered(template, at=0):
 
 def assign(template, numbers, page_shape):
     """{path in a page's shape: template node's number}, by tree matching from the root."""
-    out, todo = {}, [((), (), template, page_shape)]
+    out, todo, known = {}, [((), (), template, page_shape)], {}
     while todo:
         tpath, path, t, p = todo.pop()
         out[path] = numbers[tpath]
-        todo += [(tpath + (i,), path + (j,), t[1][i], p[1][j]) for i, j in matched(t, p)[1]]
+        todo += [(tpath + (i,), path + (j,), t[1][i], p[1][j]) for i, j in matched(t, p, known)[1]]
     return out
 
 
@@ -238,12 +292,13 @@ def mark(node: Node, form, found, path=()):
     """Writes the template's number (None where nothing matches) on a page's elements.
     form: the shape of the node, or of all the nodes that were pooled with it."""
     node.id = found.get(path)
-    children = [(c, label(c)) for c in node.elements() if c.tag in BLOCKS or c.elements()]
-    runs = [name for i, (_, name) in enumerate(children) if not i or children[i - 1][1] != name]
-    names, place = [c[0] for c in form[1]], -1
-    for i, (child, name) in enumerate(children):
-        if names == runs:
-            place += not i or children[i - 1][1] != name
-        else:
-            place = names.index(name)
+    children = _formed(node)
+    labels = [label(c) for c in children]
+    places, names = _places(labels), [c[0] for c in form[1]]
+    runs = [None] * (max(places, default=-1) + 1)
+    for name, place in zip(labels, places):
+        runs[place] = name
+    index = None if names == runs else {name: i for i, name in reversed(list(enumerate(names)))}
+    for child, name, place in zip(children, labels, places):
+        place = place if index is None else index[name]
         mark(child, form[1][place], found, path + (place,))

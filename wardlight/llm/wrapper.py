@@ -4,15 +4,21 @@ Per host a template is induced from all distinct shapes of its pages: their tree
 repeated siblings pooled, are aligned by simple tree matching and merged, ``FAN`` at a
 time in a tree of partial merges.  Every page is then aligned with its host's template,
 and for every template node the distinct page contents that have it, the most frequent
-text in it and its share of link text are counted.  A page's content is its text without
-what its markup declares to be no main text, so copies count once; a node that repeats
-on a page is one, with all its texts there.  A node whose text is the same on most
-contents is template, as is one of links; the others are slots.  A node is judged by its own text, outside of its block
-children, and loses only that: its block children are judged by themselves.  On a page, what its own markup
-declares as menu, header, footer, sidebar, notice, advert, form, script, style or comment
-goes, and of the rest the slots are the main text.  Where the page declares an article,
-its slots are preferred to those outside and its paragraphs count as slots; if no slot on
-the page has text, the article is taken as it is.
+text in it, its characters and its share of link text are counted; copies count once.
+A node is judged by its own text, outside of its block children: if it is the same on
+most contents it is template, and so is one of links; the others are slots.
+
+A slot weighs what it holds on average over the host's contents, so an advert that
+changes from page to page is known by its place.  From the root the page's main part is
+found by going down to the child that holds ``MOST`` of the weight (``DECLARED`` for one
+that leads to a declared article), never into lists, tables or running text.  Names,
+tags and roles of menus, footers, adverts and the like are a vote: it lowers the weight
+of what is inside (``VOTE``, ``COMMENT``), and an element with a vote goes only if little
+of the main part's weight (``MINOR``) is in it.  Beside the main part, siblings with less
+than ``BESIDE`` of its weight go; outside a declared article all but further articles do.
+A constant paragraph in a declared article stays.  If no slot on the page has text, the
+declared article, or else the page, is taken as it is.  Only what is never shown
+(scripts, styles, hidden elements) is cut by its markup alone.
 
 Shapes are counted by (host, shape) and texts by (host, node, text, content) first, so a
 host with a third of all pages is no single task.  Templates are joined by host, broadcast only if their size is small
@@ -33,6 +39,7 @@ from __future__ import annotations
 import itertools
 import pickle
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -47,98 +54,202 @@ FAN = 64
 SAME_PAGES, SAME_SHARE, LINK_SHARE = 4, 0.9, 0.6
 BROADCAST_BYTES = 16_000_000
 
-_DROPPED = frozenset("""script style noscript template nav footer aside form button select option input textarea iframe
-    svg canvas object embed head title menu dialog audio video map""".split())
+#: Shares of a page's weight: see above.
+MOST, DECLARED, MINOR, BESIDE = 0.7, 0.5, 0.3, 0.1
+VOTE, COMMENT = 0.25, 0.05
+
+_UNSEEN = frozenset("""script style noscript template head title select option textarea iframe svg canvas object embed
+    audio video map datalist""".split())
+_VOTES = frozenset("nav footer aside form button menu dialog".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar".split())
 _MARKS = frozenset("""ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner
     cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup
     login sidebar rail widget widgets related recommended recommendations share sharing social breadcrumb breadcrumbs
     menu navbar navigation nav topbar footer masthead comment comments disqus reply replies respond search pagination
     pager skip""".split())
+_TALK = frozenset("comment comments disqus reply replies respond".split())
+#: Parts of a name that say nothing: "site-footer" is a footer, "no-sidebar" isn't a sidebar.
+_PLAIN = frozenset("""bar box area block list item wrap wrapper container inner outer top bottom left right site page
+    global main section panel slot unit group row col links text content form js el""".split())
 _OWN = frozenset("article entry post story content main".split())
+#: What the way to the main part never enters.
+_RUN = frozenset("""p pre ul ol dl li dt dd table thead tbody tfoot tr td th blockquote figure figcaption h1 h2 h3 h4 h5 h6
+    hgroup address details summary""".split())
 #: What stays in a declared article even if it is the same on all pages.
 _RUNNING = frozenset(("p", "pre"))
 _SPLIT = re.compile(r"[^a-z]+")
 
 
-def _declared(node: dom.Node, in_article: bool) -> bool:
-    """Whether a page's own markup says that an element is not main text."""
-    tag, attrs = node.tag, node.attrs
-    if tag in _DROPPED or attrs.get("role", "").lower() in _ROLES or "hidden" in attrs:
-        return True
-    if attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
-        return True
+def _unseen(node: dom.Node) -> bool:
+    """Whether an element is never shown."""
+    attrs = node.attrs
+    return node.tag in _UNSEEN or bool(attrs) and (
+        "hidden" in attrs or attrs.get("aria-hidden") == "true"
+        or "display:none" in attrs.get("style", "").replace(" ", "").lower())
+
+
+def _vote(node: dom.Node, in_article: bool) -> float:
+    """What an element's tag, role and names leave of its weight; 1 without a vote against it."""
+    tag, names = node.tag, _names(node)
+    if any(not _TALK.isdisjoint(n) for n in names):
+        return COMMENT
     if tag in ("html", "body", "article", "main", "#root"):
-        return tag == "article" and not _MARKS.isdisjoint({"comment", "comments", "reply"} & _words(node))
-    words = _words(node)
-    if tag == "header" or "header" in words:
-        return not in_article and _OWN.isdisjoint(words)
-    return not _MARKS.isdisjoint(words)
+        return 1.0
+    if tag in _VOTES or node.attrs.get("role", "").lower() in _ROLES:
+        return VOTE
+    if tag == "header" or any("header" in n for n in names):
+        return 1.0 if in_article or any(not _OWN.isdisjoint(n) for n in names) else VOTE
+    return VOTE if names else 1.0
 
 
-def _words(node):
+def _names(node):
+    """Names of an element, by their words, that hold a mark (or "header") and else only plain words."""
     attrs = node.attrs
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return set(_SPLIT.split(re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower())) if named != " " else set()
+    if "class" not in attrs and "id" not in attrs:
+        return []
+    named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
+    marks = _MARKS | {"header"}
+    found = ({w for w in _SPLIT.split(name) if w} for name in named.split())
+    return [n for n in found if not marks.isdisjoint(n) and n <= marks | _PLAIN | _OWN]
 
 
-def _articles(node, found):
-    for child in node.elements():
-        if _declared(child, False):
-            continue
-        if child.tag == "article" or child.attrs.get("itemprop") == "articleBody":
-            found.append(child)
-        else:
-            _articles(child, found)
-    return found
+def _is_article(node):
+    return node.tag == "article" or node.attrs.get("itemprop") == "articleBody"
+
 
+def _is_main(node):
+    return node.tag == "main" or node.attrs.get("role") == "main"
 
-def _mains(node, found):
+
+def _parts(node, wanted, found):
     for child in node.elements():
-        if _declared(child, False):
-            continue
-        if child.tag == "main" or child.attrs.get("role") == "main":
-            found.append(child)
-        else:
-            _mains(child, found)
+        if not _unseen(child) and _vote(child, False) == 1.0:
+            if wanted(child):
+                found.append(child)
+            else:
+                _parts(child, wanted, found)
     return found
 
 
-def _blocks(node, template, in_article, out, own=True):
-    """Appends pieces of text, and None at every block's edge.  own: whether the node's own
-    text, that outside of its block children, is no template; each block child is judged by itself."""
-    for child in node.children:
-        if isinstance(child, str):
-            if own:
-                out.append(child)
-            continue
+def weigh(root: dom.Node, gone=frozenset(), means=None) -> None:
+    """Writes ``own``, the weight of an element's own text, ``mass``, that of all within, and ``led``, whether an
+    article is declared there.  means: characters of a template's slots, on average over a host's contents."""
+    chars, of = {}, Counter()
+    for node in itertools.chain([root], _judged(root)):
+        if node.tag in dom.BLOCKS or node is root:
+            text, links = _own_text(node)
+            n = len(" ".join(text.split()))
+            n = 0 if node.id in gone or links > LINK_SHARE * n else n - links
+            if n:
+                chars[id(node)] = n
+                of[node.id] += n
+    means = means or {}
+
+    def down(node, left, inside):
+        own = chars.get(id(node), 0)
+        if own and node.id in means:
+            own = means[node.id] * own / of[node.id]
+        left = min(left, _vote(node, inside))
+        inside = inside or _is_article(node) or _is_main(node)
+        node.own, node.led = own * left, inside and left == 1.0 and (_is_article(node) or _is_main(node))
+        node.mass = node.own
+        for child in node.elements():
+            if _unseen(child):
+                child.own, child.mass, child.led = 0, 0, False
+            else:
+                down(child, left, inside)
+                node.mass += child.mass
+                node.led = node.led or child.led and child.mass > 0
+    down(root, 1.0, False)
+
+
+def main_part(root: dom.Node) -> list:
+    """The elements from the root down to a weighed page's main part."""
+    path = [root]
+    while not _is_article(path[-1]):
+        node = path[-1]
+        best = max((c for c in node.elements() if c.tag not in _RUN), key=lambda c: c.mass, default=None)
+        if best is None or best.mass <= 0 or best.mass < (DECLARED if best.led else MOST) * node.mass:
+            break
+        if best.mass - best.own < (DECLARED if best.led else MOST) * node.mass and not _is_article(best):
+            break
+        path.append(best)
+    return path
+
+
+class _Reader:
+    """Writes out the pieces of a page's text, and None at every block's edge."""
+
+    def __init__(self, gone, part):
+        self.gone, self.part, self.out = gone, part, []
+
+    def along(self, path, declared):
+        """path: down to the main part.  declared: whether an article further down is declared."""
+        node, rest = path[0], path[1:]
+        if not rest:
+            return self.blocks(node, self.inside(path), self.kept(node, False))
+        for child in node.children:
+            if child is rest[0]:
+                self.out.append(None)
+                self.along(rest, declared and not (_is_article(child) or _is_main(child)))
+                self.out.append(None)
+            elif isinstance(child, str):
+                if not declared and self.kept(node, False):
+                    self.out.append(child)
+            elif self.beside(child, declared):
+                self.one(child, not declared, self.kept(node, False))
+
+    def inside(self, path):
+        return _is_article(path[0]) or _is_main(path[0]) or path[0].tag not in ("#root", "html", "body")
+
+    def beside(self, child, declared):
+        large = child.mass >= BESIDE * self.part.mass
+        if declared:
+            return _is_article(child) and large and not (child.mass < MINOR * self.part.mass and _leads_away(child))
+        return large or child.tag not in dom.BLOCKS or child.tag in ("h1", "h2") and child.mass > 0
+
+    def kept(self, node, in_article):
+        return node.id not in self.gone or in_article and node.tag in _RUNNING
+
+    def blocks(self, node, in_article, own):
+        """own: whether the node's own text, that outside of its block children, is no template."""
+        for child in node.children:
+            if isinstance(child, str):
+                if own:
+                    self.out.append(child)
+            else:
+                self.one(child, in_article, own)
+
+    def one(self, child, in_article, own):
         if child.tag in ("br", "wbr"):
             if own:
-                out.append(" " if child.tag == "br" else "")
-            continue
+                self.out.append(" " if child.tag == "br" else "")
+            return
         edge = child.tag in dom.BLOCKS
-        if _declared(child, in_article):
-            if edge:
-                out.append(None)
-            continue
         if edge:
-            out.append(None)
-        if child.tag == "header" and in_article:
-            for heading in _headings(child):
-                out.append(None)
-                _blocks(heading, template, True, out, heading.id not in template)
-                out.append(None)
-        elif edge:
-            _blocks(child, template, in_article, out, child.id not in template or (in_article and child.tag in _RUNNING))
-        else:
-            _blocks(child, template, in_article, out, own)
+            self.out.append(None)
+        if not (_unseen(child) or _vote(child, in_article) < 1.0 and child.mass <= MINOR * self.part.mass):
+            if child.tag == "header" and in_article:
+                for block in _headings(child):
+                    self.out.append(None)
+                    self.blocks(block, True, self.kept(block, True))
+                    self.out.append(None)
+            else:
+                self.blocks(child, in_article or _is_article(child), self.kept(child, in_article) if edge else own)
         if edge:
-            out.append(None)
+            self.out.append(None)
+
+
+def _leads_away(article):
+    """Whether a heading of it is a link, as in a teaser of another story."""
+    return any(c.tag == "a" or any(d.tag == "a" for d in c.elements()) for h in _headings(article) if h.tag[0] == "h"
+               for c in h.elements())
 
 
 def _headings(node):
+    """Headings and running text in a header."""
     for child in node.elements():
-        if re.fullmatch(r"h[1-6]", child.tag):
+        if re.fullmatch(r"h[1-6]|p|blockquote", child.tag):
             yield child
         else:
             yield from _headings(child)
@@ -157,19 +268,23 @@ def _lines(pieces):
     return out
 
 
-def main_text(root: dom.Node, template=frozenset(), links=frozenset()) -> str:
-    """template, links: numbers of nodes that are no slots.  The slots are the text; a declared
-    article chooses among them, and is taken whole only on a page without a slot."""
-    articles, wrapped = _articles(root, []) or _mains(root, []), template | links
-    for parts, gone in ((articles, wrapped), ([root], wrapped), (articles, frozenset())):
-        pieces = []
-        for part in parts:
-            _blocks(part, gone, part is not root, pieces, part.id not in gone)
-            pieces.append(None)
-        lines = _lines(pieces)
+def main_text(root: dom.Node, template=frozenset(), links=frozenset(), means=None) -> str:
+    """template, links: numbers of nodes that are no slots; means: average characters of the slots."""
+    gone = template | links
+    weigh(root, gone, means)
+    if root.mass > 0:
+        path = main_part(root)
+        reader = _Reader(gone, path[-1])
+        reader.along(path, any(map(_is_article, path)) or any(map(_is_main, path)))
+        lines = _lines(reader.out)
         if lines:
-            break
-    return "\n".join(lines)
+            return "\n".join(lines)
+    pieces = []
+    for part in _parts(root, _is_article, []) or _parts(root, _is_main, []) or [root]:
+        reader = _Reader(frozenset(), part)
+        reader.blocks(part, part is not root, True)
+        pieces += [*reader.out, None]
+    return "\n".join(_lines(pieces))
 
 
 def induce(shapes: list):
@@ -186,22 +301,28 @@ class Aligner:
     def __init__(self):
         self.templates, self.found = {}, {}
 
-    def page(self, host, packed, source):
+    def page(self, host, batch, i, source):
+        """The page's tree, and its host's fixed and linked nodes and means; batch: columns template, fixed, linked, means, of which
+        the last three may be missing, read once a host."""
         root = dom.parse(source)
-        if packed is None:
-            return root
         if host not in self.templates:
             if len(self.templates) > 1000:
                 self.templates.clear()
-            template = pickle.loads(packed)
-            self.templates[host] = template, dom.numbered(template)
+                self.found.clear()
+            packed, *known = (c[i].as_py() for c in batch)
+            template = packed and pickle.loads(packed)
+            known = [frozenset(known[0] or ()), frozenset(known[1] or ()), dict(known[2] or ())] if known else []
+            self.templates[host] = template, template and dom.numbered(template), known
+        template, numbers, known = self.templates[host]
+        if template is None:
+            return root, known
         form = dom.shape(root)
         if (host, form) not in self.found:
             if len(self.found) > 5000:
                 self.found.clear()
-            self.found[host, form] = dom.assign(*self.templates[host], form)
+            self.found[host, form] = dom.assign(template, numbers, form)
         dom.mark(root, form, self.found[host, form])
-        return root
+        return root, known
 
 
 def _own_text(node, linked=False):
@@ -218,12 +339,12 @@ def _own_text(node, linked=False):
     return "".join(text), links
 
 
-def _judged(node, inside=False):
-    """Elements of a page whose text the template can decide on: none that its markup drops."""
+def _judged(node):
+    """Elements of a page that may be shown."""
     for child in node.elements():
-        if not _declared(child, inside):
+        if not _unseen(child):
             yield child
-            yield from _judged(child, inside or child.tag in ("article", "main"))
+            yield from _judged(child)
 
 
 def _counted(batches):
@@ -232,8 +353,8 @@ def _counted(batches):
     for batch in batches:
         rows = set()
         hosts, packed, sources = (batch.column(i) for i in range(3))
-        for host, template, source in zip(hosts.to_pylist(), packed.to_pylist(), sources):
-            root, of = aligner.page(host, template, source.as_py()), {}
+        for i, host in enumerate(hosts.to_pylist()):
+            (root, _), of = aligner.page(host, [packed], i, sources[i].as_py()), {}
             for node in itertools.chain([root], _judged(root)):
                 if node.id is None or node.tag not in dom.BLOCKS and node is not root:
                     continue
@@ -269,10 +390,11 @@ _SHAPES = pa.schema([("host", pa.string()), ("key", pa.int64()), ("shape", pa.bi
 def _extracted(batches):
     aligner = Aligner()
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns[:4]]
-        out = [main_text(aligner.page(host, packed, source.as_py()), frozenset(fixed or ()), frozenset(linked or ()))
-               for host, packed, fixed, linked, source in zip(*columns, batch.column(4))]
-        yield pa.RecordBatch.from_arrays([batch.column(5), batch.column(6), pa.array(out, pa.string()),
+        out = []
+        for i, host in enumerate(batch.column(0).to_pylist()):
+            root, known = aligner.page(host, batch.columns[1:5], i, batch.column(5)[i].as_py())
+            out.append(main_text(root, *known))
+        yield pa.RecordBatch.from_arrays([batch.column(6), batch.column(7), pa.array(out, pa.string()),
                                           pa.array([len(t) for t in out], pa.int64())],
                                          ["page_id", "url", "text", "n_chars"])
 
@@ -317,11 +439,12 @@ def extracted_text(pages: DataFrame) -> DataFrame:
     same = (F.col("n") >= SAME_PAGES) & (F.col("same") >= SAME_SHARE * F.col("n"))
     found = nodes.groupBy("host").agg(                                  # of the nodes of one template
         F.array_sort(F.collect_set(F.when(same, F.col("node")))).alias("fixed"),
-        F.array_sort(F.collect_set(F.when(F.col("links") > LINK_SHARE * F.col("chars"), F.col("node")))).alias("linked"))
+        F.array_sort(F.collect_set(F.when(F.col("links") > LINK_SHARE * F.col("chars"), F.col("node")))).alias("linked"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", (F.col("chars") - F.col("links")) / F.col("n"))))).alias("means"))
     wrappers = checkpointed(spark, templates.join(found, F.col("template_host") == F.col("host"), "left").select(
-        "template_host", "template", "fixed", "linked"))
+        "template_host", "template", "fixed", "linked", "means"))
     rows = rows.join(_small(wrappers, "template"), F.col("host") == F.col("template_host"), "left")
-    return rows.select("host", "template", "fixed", "linked", "html", "page_id", "url").mapInArrow(
+    return rows.select("host", "template", "fixed", "linked", "means", "html", "page_id", "url").mapInArrow(
         _extracted, "page_id long, url string, text string, n_chars long")
 
 
