@@ -145,6 +145,8 @@ class _Deep:
 
 def label(node: Node) -> str:
     """Tag with its first class or id: what nodes must share to match."""
+    if not node.attrs:
+        return node.tag
     mark = node.attrs.get("id") or node.attrs.get("class") or node.attrs.get("role") or ""
     mark = re.sub(r"[0-9]+", "#", mark.split()[0]) if mark.split() else ""
     return f"{node.tag}.{mark}" if mark else node.tag
@@ -175,6 +177,8 @@ def _formed(node):
 def shape(node: Node):
     """(label, children's shapes); repeated children become one, their own children pooled."""
     parts, out = [shape(c) for c in _formed(node)], []
+    if not parts:
+        return label(node), ()
     for got, place in zip(parts, _places([p[0] for p in parts])):
         if place == len(out):
             out.append(got)
@@ -293,6 +297,8 @@ def mark(node: Node, form, found, path=()):
     form: the shape of the node, or of all the nodes that were pooled with it."""
     node.id = found.get(path)
     children = _formed(node)
+    if not children:
+        return
     labels = [label(c) for c in children]
     places, names = _places(labels), [c[0] for c in form[1]]
     runs = [None] * (max(places, default=-1) + 1)

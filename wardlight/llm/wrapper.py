@@ -36,6 +36,7 @@ read.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import pickle
 import re
@@ -91,11 +92,11 @@ def _unseen(node: dom.Node) -> bool:
 def _vote(node: dom.Node, in_article: bool) -> float:
     """What an element's tag, role and names leave of its weight; 1 without a vote against it."""
     tag, names = node.tag, _names(node)
-    if any(not _TALK.isdisjoint(n) for n in names):
+    if names and any(not _TALK.isdisjoint(n) for n in names):
         return COMMENT
     if tag in ("html", "body", "article", "main", "#root"):
         return 1.0
-    if tag in _VOTES or node.attrs.get("role", "").lower() in _ROLES:
+    if tag in _VOTES or node.attrs and node.attrs.get("role", "").lower() in _ROLES:
         return VOTE
     if tag == "header" or any("header" in n for n in names):
         return 1.0 if in_article or any(not _OWN.isdisjoint(n) for n in names) else VOTE
@@ -105,9 +106,12 @@ def _vote(node: dom.Node, in_article: bool) -> float:
 def _names(node):
     """Names of an element, by their words, that hold a mark (or "header") and else only plain words."""
     attrs = node.attrs
-    if "class" not in attrs and "id" not in attrs:
-        return []
-    named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()
+    return _marked(attrs.get("class", ""), attrs.get("id", "")) if "class" in attrs or "id" in attrs else ()
+
+
+@functools.lru_cache(4096)
+def _marked(classes, name):
+    named = re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{classes} {name}").lower()
     marks = _MARKS | {"header"}
     found = ({w for w in _SPLIT.split(name) if w} for name in named.split())
     return [n for n in found if not marks.isdisjoint(n) and n <= marks | _PLAIN | _OWN]
@@ -341,10 +345,12 @@ def _own_text(node, linked=False):
 
 def _judged(node):
     """Elements of a page that may be shown."""
-    for child in node.elements():
-        if not _unseen(child):
-            yield child
-            yield from _judged(child)
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if not isinstance(child, str) and not _unseen(child):
+                yield child
+                todo.append(child)
 
 
 def _counted(batches):
