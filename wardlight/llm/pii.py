@@ -2,17 +2,24 @@
 
 Base spans are found by four patterns and their checks.  High-recall generators propose
 further, overlapping spans: address-like texts (also with "at" and "dot" spelled out),
-runs of grouped digits, dotted numbers, and long mixed tokens.  Each candidate has
+runs of grouped digits, dotted numbers, and long mixed tokens behind a name or an assignment (but
+not behind that of a checksum or revision).  Each candidate has
 format features (digits, length, separators, letters, leading sign) and context
 features (words and signs just before it).  Boosted trees score candidates.  They are
 fitted to counts of candidates by feature cell over all documents, where a candidate
-counts as right if it covers a base span or is a long token behind a secret's name; the
-label's own checks (Luhn, byte range, digit count) are no features, so the trees carry
-over to spans in the same form and context that fail a check.  Per generator the lowest
-score at which held-out cells are right in ``PRECISION`` of cases is the threshold; with
-none, that generator adds nothing.  Accepted candidates are added where they overlap no
+counts as right if it covers a base span, or if it is a long token that looks random (many different signs that
+often change between capitals, small letters and digits).  What makes it right (Luhn, byte range, digit count,
+randomness) is no feature, so the trees carry over to spans in the same form and context that fail a check.
+
+Thresholds: trees of each four folds of documents score the fifth's cells; per generator precision is
+made monotone in the score by pooling neighbours, and a pool is accepted if it and all above it are right in
+``PRECISION`` of cases and in ``SURE`` by the lower end of a one-sided 90 % interval; with none, that generator adds
+nothing.  Accepted candidates are added where they overlap no
 base span, or are long tokens around one; of overlapping ones the better score stays, then the earlier, then the longer.
 
+Spans of one pattern don't overlap each other, so those of a kind that a span overlaps are found by halving, in time
+near-linear in the spans of a text.
+
 The cells are products of the few values that each feature has (at most
 :data:`CELL_BOUND`), so what is fetched to the driver doesn't grow with the documents.
 
@@ -35,7 +42,10 @@ from wardlight.llm.tables import query, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("email", "ip", "card", "phone", "secret")
-PRECISION = 0.9
+PRECISION, SURE = 0.9, 0.8
+FOLDS = 5
+#: Characters of a text that are cut together when spans are replaced.
+BLOCK = 1024
 TREES, DEPTH, RATE = 24, 3, 0.3
 #: 4 generators x 7 digit counts x 4 lengths x 3 separators x 2 signs x 4 contexts x 3 letters x 2 folds.
 CELL_BOUND = 16_128
@@ -53,6 +63,8 @@ _LOOSE = (
 )
 _BYTE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?$"
 _SECRET = r"(?i)(?:token|secret|password|passwd|pwd|api.?key|bearer)\W{0,4}$"
+_NAMED = r"(?i)(?:sha-?[0-9]*|md5|crc-?[0-9]*|commit|hash|checksum|digest|etag|uuid|guid|rev|revision)\W{0,4}$"
+_CHANGES = "[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"
 _REACH = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|iban|account|ssn|address|ip|host)\W{0,4}$"
 
 
@@ -66,14 +78,51 @@ def _sum(numbers: Column) -> Column:
 
 
 def _running(numbers: Column) -> Column:
-    """Running sums, by blocks of 256, so long lists don't cost their square."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / 256).cast("int")),
-                         lambda i: F.slice(numbers, i * 256 + 1, 256))
+    """Running sums, by blocks of 64, so long lists don't cost their square."""
+    blocks = _let(numbers, lambda ns: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(ns) - 1) / 64).cast("int")), lambda i: F.slice(ns, i * 64 + 1, 64)))
     return _let(blocks, lambda bs: _let(F.transform(bs, _sum), lambda sums: F.flatten(F.zip_with(
         bs, F.transform(sums, lambda s, i: _sum(F.slice(sums, 1, i))),
         lambda b, base: F.transform(b, lambda x, j: base + _sum(F.slice(b, 1, j + 1)))))))
 
 
+def _before(places, value, leaps) -> Column:
+    """How many of the sorted ``places`` are smaller than ``value``, by halving: ``leaps`` are falling powers of two."""
+    return F.aggregate(leaps, F.lit(0), lambda n, leap: F.when(F.get(places, n + leap - 1) < value, n + leap).otherwise(n))
+
+
+def _lane(spans: Column) -> Column:
+    """Sorted spans that don't overlap each other, ready to be searched by place."""
+    def leaps(n):
+        bits = F.length(F.bin(n))
+        return F.slice(F.lit([1 << i for i in range(30, -1, -1)]), 32 - bits, bits)
+    return _let(spans, lambda xs: F.struct(
+        xs.alias("xs"), F.transform(xs, lambda x: x["s"]).alias("starts"), F.transform(xs, lambda x: x["e"]).alias("ends"),
+        leaps(F.size(xs)).alias("leaps")))
+
+
+def _lanes(spans: Column, field: str, values) -> Column:
+    """A lane for each value of the field that spans have."""
+    def of(value):
+        return F.filter(spans, lambda x: x[field] == value)
+    return F.filter(F.array(*[_lane(of(v)) for v in values]), lambda lane: F.size(lane["xs"]) > 0)
+
+
+def _ended(lane, place) -> Column:
+    """How many spans end at ``place`` or before."""
+    return _before(lane["ends"], place + 1, lane["leaps"])
+
+
+def _started(lane, place) -> Column:
+    """How many spans start before ``place``."""
+    return _before(lane["starts"], place, lane["leaps"])
+
+
+def _met(lane, s, e) -> Column:
+    """Spans that overlap s to e; for all spans of another lane together no more than both lanes hold."""
+    return _let(_ended(lane, s), lambda n: F.slice(lane["xs"], n + 1, F.greatest(_started(lane, e) - n, F.lit(0))))
+
+
 _SPAN = "array<struct<s:int,e:int,m:string,before:string>>"
 
 
@@ -132,32 +181,37 @@ def _features(gen: int, x) -> Column:
         F.when(length < 12, 0).when(length < 20, 1).when(length < 40, 2).otherwise(3).alias("length"),
         F.when(separators == 0, 0).when(separators < 3, 1).otherwise(2).alias("separators"),
         m.startswith("+").cast("int").alias("sign"),
-        F.when(before.rlike(_SECRET), 3).when(before.rlike(_REACH), 2).when(before.rlike(r"[=:]\W{0,2}$"), 1)
+        F.when(before.rlike(_NAMED), 0).when(before.rlike(_SECRET), 3).when(before.rlike(_REACH), 2).when(before.rlike(r"[=:]\W{0,2}$"), 1)
         .otherwise(0).alias("context"),
-        F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("[a-z]") & m.rlike("[A-Z]"), 1).otherwise(2).alias("letters"))
+        F.when(~m.rlike("[A-Za-z]"), 0).when(m.rlike("[a-z]") & m.rlike("[A-Z]"), 1).otherwise(2).alias("letters"),
+        _random(m).cast("int").alias("random") if gen == 3 else F.lit(0).alias("random"))
+
+
+def _random(m) -> Column:
+    return (F.regexp_count(m, F.lit(_CHANGES)) >= 0.2 * F.length(m)) & (F.size(F.array_distinct(F.split(m, ""))) >= 10)
 
 
 FEATURES = ("gen", "digits", "length", "separators", "sign", "context", "letters")
-_CANDIDATE = "array<struct<s:int,e:int," + ",".join(f"{f}:int" for f in FEATURES) + ">>"
+_CANDIDATE = "array<struct<s:int,e:int," + ",".join(f"{f}:int" for f in FEATURES) + ",random:int>>"
+_BASE = "array<struct<s:int,e:int,kind:int>>"
 _SIGNS = ("@|at[)\\]]", "[0-9][ ().0-9-]{5}", r"[0-9]\.[0-9]+\.[0-9]", "[A-Za-z0-9+/_-]{16}")
 
 
 def _candidates(text: Column) -> Column:
-    """Candidates of all generators; long tokens count only with a digit."""
+    """Candidates of all generators; long tokens count only with a digit and a context."""
     found = []
     for gen, (pattern, sign) in enumerate(zip(_LOOSE, _SIGNS)):
         spans = located(text, pattern)
         if gen == 3:
             spans = F.filter(spans, lambda x: x["m"].rlike("[0-9]"))
-        found.append(F.when(text.rlike(sign), F.transform(spans, functools.partial(_features, gen)))
+        spans = F.transform(spans, functools.partial(_features, gen))
+        if gen == 3:
+            spans = F.filter(spans, lambda c: c["context"] > 0)
+        found.append(F.when(text.rlike(sign), spans)
                      .otherwise(F.array().cast(_CANDIDATE)))
     return F.concat(*[c.cast(_CANDIDATE) for c in found])
 
 
-def _overlap(a, b):
-    return (a["s"] < b["e"]) & (b["s"] < a["e"])
-
-
 def _of_kind(spans: Column, place: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(place).alias("kind")))
 
@@ -167,20 +221,24 @@ def spans_and_candidates(rows: DataFrame) -> DataFrame:
     Texts without a digit or an address sign are not searched."""
     base = F.concat(*[_of_kind(_base(F.col("text"), kind), k) for k, kind in enumerate(KINDS)])
     any_sign = F.col("text").rlike("[0-9@]|at[)\\]]")
-    return (rows.withColumn("base", F.when(any_sign, base).otherwise(F.array().cast("array<struct<s:int,e:int,kind:int>>")))
+    return (rows.withColumn("base", F.when(any_sign, base).otherwise(F.array().cast(_BASE)))
             .withColumn("candidates", F.when(any_sign, _candidates(F.col("text"))).otherwise(F.array().cast(_CANDIDATE))))
 
 
+def _base_lanes() -> Column:
+    return _lanes(F.col("base"), "kind", range(len(KINDS)))
+
+
 def cells(found: DataFrame) -> list:
     """Counts of candidates and of right ones by fold and feature cell, over all documents."""
-    labelled = F.transform("candidates", lambda c: F.struct(
-        *[c[f].alias(f) for f in FEATURES],
-        (F.exists("base", lambda b: (c["s"] <= b["s"]) & (b["e"] <= c["e"]))
-         | ((c["gen"] == 3) & (c["context"] == 3))).cast("int").alias("right")))
-    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0).alias("held_out")
+    def covers(lanes, c):
+        return F.exists(lanes, lambda lane: F.coalesce(F.get(lane["ends"], _started(lane, c["s"])) <= c["e"], F.lit(False)))
+    labelled = F.when(F.size("candidates") > 0, _let(_base_lanes(), lambda lanes: F.transform("candidates", lambda c: F.struct(
+        *[c[f].alias(f) for f in FEATURES], F.greatest(covers(lanes, c).cast("int"), c["random"]).alias("right")))))
+    fold = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS).alias("fold")
     # Not explode: its filter on the list would go below, and search each text anew for every candidate.
-    rows = found.select(fold, F.explode_outer(labelled).alias("c")).filter("c is not null").select("held_out", "c.*")
-    return rows.groupBy("held_out", *FEATURES).agg(F.count("*").alias("n"), F.sum("right").alias("k")).collect()
+    rows = found.select(fold, F.explode_outer(labelled).alias("c")).filter("c is not null").select("fold", "c.*")
+    return rows.groupBy("fold", *FEATURES).agg(F.count("*").alias("n"), F.sum("right").alias("k")).collect()
 
 
 def _fit(data):
@@ -222,23 +280,55 @@ def _value(tree, cell):
     return tree
 
 
+def _together(counted):
+    """One cell for all folds, in a fixed order."""
+    sums = {}
+    for c in counted:
+        n, k = sums.get(key := tuple(c[f] for f in FEATURES), (0, 0))
+        sums[key] = n + c["n"], k + c["k"]
+    return [dict(zip(FEATURES, key), n=n, k=k) for key, (n, k) in sorted(sums.items())]
+
+
+def _sure(k, n, z=1.2816):
+    """Lower end of Wilson's one-sided 90 % interval of k / n."""
+    p = k / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def threshold(scored) -> float | None:
+    """Lowest accepted score of (score, n, k): see above."""
+    pools = []
+    for score, n, k in sorted(scored):
+        if pools and pools[-1][3] == score:
+            low, pn, pk, _ = pools.pop()
+            score, n, k, top = low, n + pn, k + pk, score
+        else:
+            top = score
+        while pools and pools[-1][2] * n >= k * pools[-1][1]:          # no more precise than the pool below
+            low, pn, pk, _ = pools.pop()
+            score, n, k = low, n + pn, k + pk
+        pools.append((score, n, k, top))
+    least = None
+    for score, n, k, _ in reversed(pools):
+        if k < PRECISION * n or _sure(k, n) < SURE:
+            break
+        least = score
+    return least
+
+
 def fit(counted: list) -> tuple[float, list, dict[int, float]]:
     """Bias, trees, and the threshold of each generator that has one."""
-    key = lambda c: tuple(c[f] for f in FEATURES)
-    learn = sorted((c for c in counted if not c["held_out"]), key=key)
-    if not learn:
+    if not counted:
         return 0.0, [], {}
-    bias, trees = _fit(learn)
-    held = sorted((c for c in counted if c["held_out"]), key=key) or learn
-    thresholds = {}
-    for gen in range(len(_LOOSE)):
-        scored = sorted(((bias + sum(_value(t, c) for t in trees), c["n"], c["k"]) for c in held if c["gen"] == gen),
-                        reverse=True)
-        n = k = 0
-        for i, (score, cn, ck) in enumerate(scored):
-            n, k = n + cn, k + ck
-            if k >= PRECISION * n and (i + 1 == len(scored) or scored[i + 1][0] < score):
-                thresholds[gen] = score - 1e-9
+    folds = sorted({c["fold"] for c in counted})
+    scored = {gen: [] for gen in range(len(_LOOSE))}
+    for fold in folds:
+        others = _together(c for c in counted if c["fold"] != fold or len(folds) == 1)
+        bias, trees = _fit(others)
+        for c in _together(c for c in counted if c["fold"] == fold):
+            scored[c["gen"]].append((bias + sum(_value(t, c) for t in trees), c["n"], c["k"]))
+    bias, trees = _fit(_together(counted))
+    thresholds = {gen: least - 1e-9 for gen, cs in scored.items() if (least := threshold(cs)) is not None}
     return bias, trees, thresholds
 
 
@@ -268,16 +358,26 @@ def _added(model) -> Column:
         for gen, least in thresholds.items():
             ok = ok | ((c["gen"] == gen) & (c["score"] >= least))
         return ok
-    def free(c):
-        held = F.exists("base", lambda b: _overlap(b, c) & ~((c["gen"] == 3) & (c["s"] <= b["s"]) & (b["e"] <= c["e"])
-                                                              & (b["e"] - b["s"] < c["e"] - c["s"])))
-        return ~held
-    kept = F.filter(F.transform(F.filter("candidates", free), scored), enough)
+
+    def held(lane, c):
+        def by(o):
+            starts, ends, first = lane["starts"], lane["ends"], o["first"]
+            within = ((F.get(starts, first) >= c["s"]) & (F.get(ends, o["last"]) <= c["e"])
+                      & (F.get(ends, first) - F.get(starts, first) < c["e"] - c["s"]))
+            return (first <= o["last"]) & ~((c["gen"] == 3) & within)
+        return _let(F.struct(_ended(lane, c["s"]).alias("first"), (_started(lane, c["e"]) - 1).alias("last")), by)
+    free = _let(_base_lanes(), lambda lanes: F.filter("candidates", lambda c: ~F.exists(lanes, lambda lane: held(lane, c))))
+    kept = F.when(F.size("candidates") > 0, F.filter(F.transform(free, scored), enough))
 
     def better(a, b):
         return ((a["score"] > b["score"]) | ((a["score"] == b["score"]) & (
             (a["s"] < b["s"]) | ((a["s"] == b["s"]) & ((a["e"] > b["e"]) | ((a["e"] == b["e"]) & (a["gen"] < b["gen"])))))))
-    best = _let(kept, lambda ks: F.filter(ks, lambda a: ~F.exists(ks, lambda b: _overlap(a, b) & better(b, a))))
+
+    def uncontested(ks):
+        return _let(_lanes(ks, "gen", thresholds), lambda lanes: F.filter(ks, lambda a: ~F.exists(
+            lanes, lambda lane: F.exists(_met(lane, a["s"], a["e"]), lambda b: better(b, a)))))
+    best = _let(F.coalesce(kept, F.array().cast("array<struct<s:int,e:int,kind:int,score:double,gen:int>>")),
+                lambda ks: F.when(F.size(ks) > 1, uncontested(ks)).otherwise(ks))
     return F.transform(best, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"),
                                                 c["score"].alias("score")))
 
@@ -304,17 +404,38 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def _redaction(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans by the first's."""
+    """The text with each of the sorted spans (s, kind, e) replaced by its kind in brackets; overlapping spans by the
+    first's.  Spans of one kind don't overlap.  Each block of the text is cut by the spans that it meets."""
     named = F.array(*[F.lit(f"[{n.upper()}]") for n in ADDED])
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a, x):
-        fresh = x["s"] >= a["at"]
-        piece = F.concat(F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0))), F.get(named, x["kind"]))
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"),
-                        F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
-    return F.aggregate(spans, state, step, lambda a: F.concat(
-        F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+
+    def leading(lanes, xs):
+        """Spans beyond whose start no earlier one reaches."""
+        return F.filter(xs, lambda x: ~F.exists(lanes, lambda lane: F.coalesce(
+            F.get(lane["xs"], _ended(lane, x["s"])) < x, F.lit(False))))
+
+    def cuts(lanes, firsts):
+        """Leading spans up to the last end before the next of them."""
+        def reached(place):
+            return F.array_max(F.transform(lanes, lambda lane: F.get(lane["ends"], _started(lane, place) - 1)))
+        return F.transform(firsts, lambda x, i: F.struct(
+            x["s"].alias("s"), reached(F.coalesce(F.get(firsts, i + 1)["s"], F.lit(2**31 - 1))).alias("e"), x["kind"].alias("kind")))
+
+    def cut(start, block, met):
+        def piece(x, i):
+            since = F.greatest(F.coalesce(F.get(met, i - 1)["e"], start), start)
+            return F.concat(F.substring(block, since - start + 1, F.greatest(x["s"] - since, F.lit(0))),
+                            F.when(x["s"] >= start, F.get(named, x["kind"])).otherwise(""))
+        rest = F.element_at(met, -1)["e"] - start
+        return F.concat(F.array_join(F.transform(met, piece), ""),
+                        F.substring(block, rest + 1, F.greatest(F.length(block) - rest, F.lit(0))))
+
+    def replaced(lane):
+        return F.array_join(F.transform(
+            F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), lambda block, k: _let(
+                _met(lane, k * BLOCK, (k + 1) * BLOCK),
+                lambda met: F.when(F.size(met) == 0, block).otherwise(cut(k * BLOCK, block, met)))), "")
+    return _let(spans, lambda xs: _let(_lanes(xs, "kind", range(len(ADDED))), lambda lanes: _let(
+        _let(leading(lanes, xs), lambda firsts: _lane(cuts(lanes, firsts))), replaced)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
