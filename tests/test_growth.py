@@ -47,3 +47,16 @@ def events_by_source(spark, folder):
 def test_rows_with_repeats_are_written_in_many_files(spark, small_tasks):
     rows, files = query(spark, "o509_without_repeats", small_tasks)
     assert files > 10 and sorted(rows) == events_by_source(spark, small_tasks)
+
+
+def test_hours_of_many_files_are_whole(spark, small_tasks):
+    """More files than were once a batch: none of their rows counts as late."""
+    rows, files = query(spark, "o502_closed_hours", small_tasks)
+    ends = START + dt.timedelta(seconds=40 * (ROWS - 1)) - dt.timedelta(hours=1)
+    times = [START + dt.timedelta(seconds=40 * i) for i in range(ROWS)]
+    hours = Counter(x.replace(minute=0, second=0) for x in times)
+    want = {f"{h:%Y-%m-%d %H:%M:%S}.000000": n for h, n in hours.items() if h + dt.timedelta(hours=1) <= ends}
+    got = Counter()
+    for hour, _, _, n in rows:
+        got[hour] += n
+    assert files > 10 and dict(got) == want
