@@ -155,7 +155,7 @@ def json_files(rows, path, wrap=False):
 @check("o006_drop_folder", f"SELECT src_ip, count(*) AS events FROM logs GROUP BY 1")
 def _(t):
     root = shared_folder(t.spark)
-    flat_rows(t).repartition(2).write.option("header", True).csv(root + "/in")
+    flat_rows(t).write.option("header", True).csv(root + "/in")
     G.start_folder(t.spark, root + "/in", "*.csv", root + "/store", root + "/checkpoint", available_now=True).awaitTermination()
     return G.read_table(t.spark, root + "/store", "logs").groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import checks
 from checks import ingest_checks
+from wardlight.sources import flat
 
 ROWS, START = 4000, dt.datetime(2024, 1, 1)
 SMALL = {"spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "64k",
@@ -60,3 +61,9 @@ def test_hours_of_many_files_are_whole(spark, small_tasks):
     for hour, _, _, n in rows:
         got[hour] += n
     assert files > 10 and dict(got) == want
+
+
+@pytest.mark.parametrize("name", ["o006_drop_folder"])
+def test_dropped_rows_are_written_in_many_files(spark, small_tasks, name):
+    rows, files = query(spark, name, small_tasks)
+    assert files > 10 and sorted(rows) == events_by_source(spark, small_tasks)

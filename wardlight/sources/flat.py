@@ -1,5 +1,7 @@
 """Flat rows with dotted names (CSV uploads, JSON bodies) to log rows."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C, fixed as X
@@ -40,8 +42,26 @@ def read_json_body(spark: SparkSession, path) -> DataFrame:
     return _unwrapped(body)
 
 
-def read_json_lines(spark: SparkSession, path) -> DataFrame:
-    return spark.read.option("primitivesAsString", True).option("mode", "DROPMALFORMED").json(path)
+def read_json_lines(spark: SparkSession, path, schema=None) -> DataFrame:
+    """One object a line; a ``schema`` that is known already saves a pass."""
+    return spark.read.option("primitivesAsString", True).option("mode", "DROPMALFORMED").json(path, schema=schema)
+
+
+def read_dropped(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """Log rows of dropped files of one ``kind`` (csv, json or lines).  Files may differ in their
+    columns, so each is read by its own; CSV files and files of lines that have the same columns
+    are read together, so the plan grows with different layouts and not with files."""
+    if kind == "json":
+        parts = [to_log_rows(read_json_body(spark, path)) for path in paths]
+    else:
+        read = read_csv if kind == "csv" else read_json_lines
+        layouts: dict = {}
+        for path in paths:
+            schema = read(spark, path).schema
+            layouts.setdefault(schema.json(), (schema, []))[1].append(path)
+        parts = [to_log_rows(read_csv(spark, same) if kind == "csv" else read_json_lines(spark, same, schema))
+                 for schema, same in layouts.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _unwrapped(body: DataFrame) -> DataFrame:

@@ -152,19 +152,15 @@ def start_folder(spark, folder: str, pattern: str, root: str, checkpoint: str, a
     """Follow a drop folder of ``*.csv``, ``*.json``, ``*.ndjson`` or ``*.jsonl`` files;
     each file is read once.  Files may differ in their columns, so each is read by
     its own header; only their names pass the driver."""
-    reader = {"csv": flat.read_csv, "json": flat.read_json_body}.get(pattern.rsplit(".", 1)[-1], flat.read_json_lines)
+    kind = {"csv": "csv", "json": "json"}.get(pattern.rsplit(".", 1)[-1], "lines")
     names = (in_utc(spark).readStream.format("binaryFile")
              .schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern)
              .option("maxFilesPerTrigger", 100).load(folder).select("path"))
 
     def job(batch_df, batch):
-        session = batch_df.sparkSession
-        rows = None
-        for row in batch_df.collect():
-            part = flat.to_log_rows(reader(session, row["path"]))
-            rows = part if rows is None else rows.unionByName(part)
-        if rows is not None:
-            store_batch(rows, batch, root)
+        paths = [row["path"] for row in batch_df.collect()]
+        if paths:
+            store_batch(flat.read_dropped(batch_df.sparkSession, paths, kind), batch, root)
 
     trigger = {"availableNow": True} if available_now else {"processingTime": "30 seconds"}
     return names.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(**trigger).start()
