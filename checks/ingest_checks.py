@@ -172,7 +172,7 @@ def _(t):
 def _(t):
     """Files of one JSON object a line."""
     root = shared_folder(t.spark)
-    flat_rows(t).select(F.to_json(F.struct("*")).alias("value")).repartition(2).write.text(root + "/in")
+    flat_rows(t).select(F.to_json(F.struct("*")).alias("value")).write.text(root + "/in")
     G.start_folder(t.spark, root + "/in", "*.txt", root + "/store", root + "/checkpoint", available_now=True).awaitTermination()
     return G.read_table(t.spark, root + "/store", "logs").groupBy("src_ip").agg(F.count(F.lit(1)).alias("events"))
 

@@ -63,7 +63,24 @@ def test_hours_of_many_files_are_whole(spark, small_tasks):
     assert files > 10 and dict(got) == want
 
 
-@pytest.mark.parametrize("name", ["o006_drop_folder"])
+@pytest.mark.parametrize("name", ["o006_drop_folder", "o006_json_drop_folder"])
 def test_dropped_rows_are_written_in_many_files(spark, small_tasks, name):
     rows, files = query(spark, name, small_tasks)
     assert files > 10 and sorted(rows) == events_by_source(spark, small_tasks)
+
+
+def test_dropped_files_of_one_layout_are_one_scan(spark, tmp_path):
+    """And files of other columns are read by their own."""
+    bodies = {"a.csv": "data.srcip,data.dest_ip\n10.0.0.1,10.9.0.1\n", "b.csv": "data.srcip,data.dest_ip\n10.0.0.2,\n",
+              "c.csv": "data.dest_ip,data.srcip,data.dstip\n10.9.0.3,10.0.0.3,\n"}
+    for name, text in bodies.items():
+        (tmp_path / name).write_text(text)
+    rows = flat.read_dropped(spark, [str(tmp_path / n) for n in bodies], "csv")
+    assert sorted(map(tuple, rows.select("src_ip", "dst_ip").collect())) == [("10.0.0.1", "10.9.0.1"), ("10.0.0.2", ""), ("10.0.0.3", "")]
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    lines = ['{"data.srcip": "10.0.0.1"}', '{"data.srcip": "10.0.0.2", "data.dstip": "10.9.0.2"}', '{"data.srcip": "10.0.0.3"}\n{odd']
+    for i, line in enumerate(lines):
+        (tmp_path / f"{i}.jsonl").write_text(line + "\n")
+    rows = flat.read_dropped(spark, [str(tmp_path / f"{i}.jsonl") for i in range(3)], "lines")
+    assert sorted(map(tuple, rows.select("src_ip", "dst_ip").collect())) == [("10.0.0.1", ""), ("10.0.0.2", "10.9.0.2"), ("10.0.0.3", "")]
+    assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
