@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import checks
 from checks import ingest_checks
+from wardlight.operators.takeover import account_takeovers
 from wardlight.sources import flat
 
 ROWS, START = 4000, dt.datetime(2024, 1, 1)
@@ -84,3 +85,16 @@ def test_dropped_files_of_one_layout_are_one_scan(spark, tmp_path):
     rows = flat.read_dropped(spark, [str(tmp_path / f"{i}.jsonl") for i in range(3)], "lines")
     assert sorted(map(tuple, rows.select("src_ip", "dst_ip").collect())) == [("10.0.0.1", ""), ("10.0.0.2", "10.9.0.2"), ("10.0.0.3", "")]
     assert rows._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_takeovers_are_found_once(spark):
+    """The countries known before come without a second copy of the findings."""
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    rows = [("u", "10.0.0.1", at(0), "login_success", "India", 1), *[("u", "10.0.0.2", at(9), "login_success", "Germany", 2)] * 2,
+            ("u", "10.0.0.2", at(12), "login_success", "Brazil", 3), (None, "10.0.0.3", at(0), "login_success", "India", 4),
+            *[(None, "10.0.0.4", at(20 + i), "brute_force", "India", 10 + i) for i in range(5)],
+            (None, "10.0.0.4", at(30), "login_success", "India", 5)]
+    found = account_takeovers(spark.createDataFrame(rows, "username string, src_ip string, ts timestamp, threat_type string, country string, event_id long"))
+    got = sorted((r["event_id"], r["failures"], r["new_country"], r["severity"], r["usual_countries"]) for r in found.collect())
+    assert got == [(2, 0, True, "high", ["India"])] * 2 + [(3, 0, True, "high", ["Germany", "India"]), (5, 5, False, "high", [])]
+    assert found._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4

@@ -51,9 +51,9 @@ def account_takeovers(events, tie="event_id") -> DataFrame:
              .withColumn("new_country", F.coalesce("new_country", F.lit(False)))
              .where(burst | c("new_country"))
              .withColumn("severity", F.when(burst & c("new_country"), "critical").otherwise("high")))
-    known = firsts.select("username", c("country").alias("known"), "at")
-    usual = (found.select("username", "ts", tie).join(known, "username")
-             .where(c("at") < F.struct("ts", tie)).groupBy("username", "ts", tie)
-             .agg(F.array_sort(F.collect_set("known")).alias("usual_countries")))
-    return found.join(usual, ["username", "ts", tie], "left").withColumn(
-        "usual_countries", F.coalesce("usual_countries", F.array().cast("array<string>")))
+    # an account's countries are few, so they go along in one row and the findings are made once
+    known = firsts.groupBy("username").agg(F.collect_list(F.struct("at", "country")).alias("_known"))
+    before = F.filter("_known", lambda x: x["at"] < F.struct("ts", tie))
+    usual = F.when(c("ts").isNotNull() & c(tie).isNotNull(), F.array_sort(F.transform(before, lambda x: x["country"])))
+    return (found.join(known, "username", "left")
+            .withColumn("usual_countries", F.coalesce(usual, F.array().cast("array<string>"))).drop("_known"))

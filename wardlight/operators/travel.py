@@ -28,11 +28,16 @@ def sessions(placed) -> DataFrame:
     """Marks runs of events whose neighbours are at most five seconds apart.  An
     event after a longer pause always opens a new cluster, so clusters can be
     found run by run."""
+    return parted_sessions(placed).drop(*PARTED)
+
+
+def parted_sessions(placed) -> DataFrame:
+    """As :func:`sessions`, with the part of its account that an event is in."""
     order = ["ts", "event_id"]
     near = with_previous(parted(placed, ["username"], order), ["username"], order, ["ts"])
     opens = c("prev").isNull() | (F.unix_micros("ts") - F.unix_micros("prev.ts") > _MICROS)
     marked = near.withColumn("session", F.when(opens, c("ts"))).drop("prev")
-    return with_latest_mark(marked, ["username"], order, "session").drop(*PARTED)
+    return with_latest_mark(marked, ["username"], order, "session")
 
 
 def _anchors(points) -> DataFrame:
@@ -77,7 +82,8 @@ def clusters_of(runs) -> DataFrame:
     """As :func:`clusters`, over events already marked with their run."""
     size = runs.groupBy("username", "session").agg(
         F.min("country").alias("a"), F.max("country").alias("b"))
-    kept = runs.join(size.where("a <> b").select("username", "session"), ["username", "session"])
+    # a small part of the runs, read in every round of the anchors
+    kept = checkpointed(runs.sparkSession, runs.join(size.where("a <> b").select("username", "session"), ["username", "session"]))
     anchors = _anchors(kept)
     # a cluster lasts five seconds at most: each event looks up the anchors of its
     # own and the previous ten-second box
@@ -112,9 +118,11 @@ def simultaneous(clustered) -> DataFrame:
 
 
 def sequential(placed) -> DataFrame:
-    """Hops between countries faster than any flight; the farthest per pair."""
+    """Hops between countries faster than any flight; the farthest per pair.  Rows that
+    have the parts of their accounts already keep them."""
     order = ["ts", "event_id"]
-    moved = (with_previous(parted(placed, ["username"], order), ["username"], order, ["country"])
+    cut = placed if PARTED[0] in placed.columns else parted(placed, ["username"], order)
+    moved = (with_previous(cut, ["username"], order, ["country"])
              .where("prev is null or prev.country <> country").drop("prev"))
     values = ["country", "lat", "lon", "src_ip", "ts"]
     hop = with_previous(moved, ["username"], order, values).where("prev is not null")
@@ -137,8 +145,8 @@ def impossible_travel(events, tie="event_id", per_user=None) -> DataFrame:
     them, or a user's ``per_user`` worst."""
     spark = events.sparkSession
     # both are read several times below; the second is only a small part of the first
-    runs = checkpointed(spark, sessions(placed_events(events, tie)))
-    grouped = checkpointed(spark, clusters_of(runs))
+    runs = checkpointed(spark, parted_sessions(placed_events(events, tie)))
+    grouped = checkpointed(spark, clusters_of(runs.drop(*PARTED)))
     at_once = simultaneous(grouped)
     handled = (grouped.join(at_once.select("username", "anchor"), ["username", "anchor"], "left_semi")
                .select("username", "ts", "event_id"))
